@@ -2,9 +2,9 @@
 
 A text is normalised (runs of ASCII white space become one space) and cut into chunks whose ends depend on the
 content: a chunk ends at the first sentence end past the least size, or at the greatest size.  A document's recipe is
-the ordered list of its chunk identifiers.  Recipes, about a twentieth of the text, decide which documents may be
-equal; the chunks of only those are compared byte by byte, each distinct chunk once, so that a chunk digest which two
-different chunks share gets a version number.  Documents are equal when their lists of (digest, version) are equal.
+the ordered list of its chunk identifiers.  Each distinct chunk moves once and is compared byte by byte with those of
+the same digest; where different chunks share a digest, a version number tells them apart.  After that only recipes
+move, about a tenth of the text: documents are equal when their lists of (digest, version) are equal.
 """
 
 from __future__ import annotations
@@ -41,27 +41,24 @@ def exact_duplicates(
     then keep_id is null and kept true.  Other columns of the input, whatever their names, are not read.
     """
 
-    def recipes() -> DataFrame:
-        norm = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-        cutup = norm.withColumn("chunks", chunks(F.col("norm"), least, most))
-        return cutup.withColumn("recipe", F.array_join(F.transform("chunks", digest), ""))
-
-    known = cut(recipes().select("id", "recipe", F.sha2("norm", 256).alias("sha")))
-    likely = known.groupBy("recipe").agg(F.count("*").alias("n")).filter("n > 1").select("recipe")
-
-    # every distinct chunk of the likely copies moves once; versions tell chunks with one digest apart
-    pieces = recipes().join(likely, "recipe", "left_semi")
-    pieces = pieces.select("recipe", F.sha2("norm", 256).alias("sha"), F.posexplode("chunks").alias("pos", "chunk"))
-    pieces = pieces.withColumn("digest", digest(F.col("chunk")))
-    distinct = pieces.select("digest", "chunk").distinct()
-    several = distinct.groupBy("digest").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.sha2("chunk", 512))).alias("all"))
-    several = several.filter("n > 1").drop("n")
-    versions = pieces.join(several, "digest").select(
-        "recipe", "sha", F.struct("pos", F.array_position("all", F.sha2("chunk", 512)).alias("version")).alias("at")
-    )
-    versions = versions.groupBy("recipe", "sha").agg(F.to_json(F.sort_array(F.collect_set("at"))).alias("versions"))
+    norm = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
+    cutup = norm.withColumn("chunks", chunks(F.col("norm"), least, most))
+    recipe = F.array_join(F.transform("chunks", digest), "")
+    known = cut(cutup.select("id", recipe.alias("recipe"), F.sha2("norm", 256).alias("sha")))
+
+    # every distinct chunk moves once; digests that several chunks share are hardly ever found
+    distinct = cutup.select(F.explode("chunks").alias("chunk")).select(digest(F.col("chunk")).alias("digest"), "chunk").distinct()
+    shared = distinct.groupBy("digest").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.sha2("chunk", 512))).alias("all"))
+    shared = cut(shared.filter("n > 1").drop("n"))
+    if shared.isEmpty():
+        told = known.withColumn("versions", F.lit(""))
+    else:
+        pieces = cutup.select(recipe.alias("recipe"), F.sha2("norm", 256).alias("sha"), F.posexplode("chunks").alias("pos", "chunk"))
+        pieces = pieces.select("recipe", "sha", "pos", digest(F.col("chunk")).alias("digest"), F.sha2("chunk", 512).alias("strong"))
+        at = F.struct("pos", F.array_position("all", F.col("strong")).alias("version"))
+        versions = pieces.join(shared, "digest").groupBy("recipe", "sha").agg(F.to_json(F.sort_array(F.collect_set(at))).alias("versions"))
+        told = known.join(versions, ["recipe", "sha"], "left").withColumn("versions", F.coalesce("versions", F.lit("")))
 
-    told = known.join(versions, ["recipe", "sha"], "left").withColumn("versions", F.coalesce("versions", F.lit("")))
     groups = told.groupBy("recipe", "versions").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.filter("group_size > 1")
     out = told.join(groups, ["recipe", "versions"], "left")
