@@ -57,3 +57,10 @@ def bucket_of(key: Column, bounds: list, kind: str) -> Column:
     block = F.transform(F.split(text, ";"), lambda b: F.split(b, ",").cast(f"array<{kind}>"))
     top = at_most(many([b[0] for b in blocks]))
     return F.when(top == 0, 0).otherwise((top - 1) * step + at_most(F.element_at(block, top)))
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverspark.llm.common import table, text_of
+from coverspark.llm.bpe import encode_texts
+from coverspark.llm.common import table, text_of, vocabulary
 from coverspark.llm.exact_dedup import exact_duplicates
 from coverspark.llm.fingerprints import compare_with_edits
 from coverspark.llm.line_dedup import drop_site_lines
+from coverspark.llm.packing import pack
 from coverspark.llm.sharding import shard
 
 
@@ -27,6 +29,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_site_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(text_of("text"), 256).alias("kept_sha256"))
@@ -49,11 +56,18 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = encode_texts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_packing": op3_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLES: dict[str, str] = {
