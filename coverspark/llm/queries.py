@@ -14,6 +14,7 @@ from coverspark.llm.fingerprints import compare_with_edits
 from coverspark.llm.line_dedup import drop_site_lines
 from coverspark.llm.packing import pack
 from coverspark.llm.sharding import shard
+from coverspark.llm.simhash import near_duplicates
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -63,6 +68,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
