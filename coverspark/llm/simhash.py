@@ -50,13 +50,17 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """id and fp (the fingerprint as a long) of every whole text; zero for texts without words."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, distinct: bool = False) -> DataFrame:
+    """id and fp (the fingerprint as a long) of every whole text; zero for texts without words.
+
+    ``distinct``: each shingle counts once.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [simhash(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
+            hashes = (shingle_hashes(t.as_py(), words) for t in batch.column(1))
+            found = [simhash(np.unique(h) if distinct else h) for h in hashes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
@@ -128,20 +132,20 @@ def _links(groups: DataFrame, radius: int) -> DataFrame:
 def links(fps: DataFrame, radius: int = 2, block: int = 2048) -> DataFrame:
     """Links a, b between distinct fingerprints ``fp`` that keep every component of those within ``radius`` bits."""
     first = choices(list(range(BITS)), radius)
-    key = lambda masks: F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)]))
-    keyed = fps.select("fp", key([m for m, _ in first]).alias("k"))
+    keys = lambda masks, *more: F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m)), *more) for i, m in enumerate(masks)])
+    masks = [m for m, _ in first]
+    keyed = fps.select("fp", F.posexplode(keys(masks)).alias("c", "k"))
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     keyed = cut(keyed.join(sizes, "k"))
     few = keyed.filter(F.col("n") <= block).groupBy("k").agg(F.collect_list("fp").alias("fps"))
     found = _links(few, radius)
     hot = keyed.filter(F.col("n") > block)
     if not hot.isEmpty():
-        inner = [choices(free, radius) for _, free in first]
         again: Column | None = None
-        for i, masks in enumerate(inner):
-            parts = F.array(*[F.struct(F.lit(j).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for j, (m, _) in enumerate(masks)])
-            again = F.when(F.col("k.c") == i, parts) if again is None else again.when(F.col("k.c") == i, parts)
-        split = hot.select("fp", "k", F.explode(again).alias("k2")).groupBy("k", "k2").agg(F.collect_list("fp").alias("fps"))
+        for i, (_, free) in enumerate(first):
+            parts = keys([m for m, _ in choices(free, radius)], F.col("k"))
+            again = F.when(F.col("c") == i, parts) if again is None else again.when(F.col("c") == i, parts)
+        split = hot.select("fp", F.explode(again).alias("k2")).groupBy("k2").agg(F.collect_list("fp").alias("fps"))
         found = found.union(_links(split.filter(F.size("fps") > 1), radius))
     return found.distinct()
 
