@@ -13,8 +13,10 @@ from coverspark.llm.exact_dedup import exact_duplicates
 from coverspark.llm.fingerprints import compare_with_edits
 from coverspark.llm.line_dedup import drop_site_lines
 from coverspark.llm.packing import pack
+from coverspark.llm.quality import score_quality
 from coverspark.llm.sharding import shard
 from coverspark.llm.simhash import near_duplicates
+from coverspark.llm.warc import capture_index
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = capture_index(table(spark, sf_dir, "pages"))
+    number = lambda c: F.col(c).cast("long")
+    return out.select(number("page_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
@@ -74,9 +87,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op9_warc": op9_warc,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        g AS (SELECT html, max(page_id) AS response FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+        SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+            CASE WHEN g.response <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN g.response <> p.page_id THEN g.response END AS refers_to
+        FROM p LEFT JOIN g ON p.html = g.html""",
     "op5_line_dedup": """
         WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         totals AS (SELECT source, count(DISTINCT coalesce(text, '')) AS pages FROM d GROUP BY source),
