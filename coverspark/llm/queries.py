@@ -16,6 +16,7 @@ from coverspark.llm.packing import pack
 from coverspark.llm.quality import score_quality
 from coverspark.llm.sharding import shard
 from coverspark.llm.simhash import near_duplicates
+from coverspark.llm.suffix_dedup import remove_repeats
 from coverspark.llm.warc import capture_index
 
 
@@ -41,6 +42,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_site_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "n_lines", "n_dropped", F.sha2(text_of("text"), 256).alias("kept_sha256"))
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
