@@ -13,6 +13,7 @@ by the number of its bit patterns.  Groups give a spanning forest of their links
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -50,17 +51,14 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int, distinct: bool = False) -> DataFrame:
-    """id and fp (the fingerprint as a long) of every whole text; zero for texts without words.
-
-    ``distinct``: each shingle counts once.
-    """
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """id and fp (the fingerprint as a long) of every whole text; zero for texts without words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = (shingle_hashes(t.as_py(), words) for t in batch.column(1))
-            found = [simhash(np.unique(h) if distinct else h) for h in hashes]
+            found = [simhash(h) for h in hashes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
@@ -92,10 +90,11 @@ def pivots(fps: np.ndarray, every: int = 8) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
 
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (member, first member) of a spanning star for every component of a group within ``radius`` bits."""
-    if len(fps) == 2:
-        return [(1, 0)] if int(fps[0] ^ fps[1]).bit_count() <= radius else []
+def forest(fps: np.ndarray, radius: int, wide: np.ndarray | None = None, limit: int = 0) -> list[tuple[int, int]]:
+    """Links (member, first member) of a spanning star for every component of a group within ``radius`` bits.
+
+    With ``wide`` fingerprints (one row of 64-bit words each), a link needs at most ``limit`` differing bits there too.
+    """
     table = pivots(fps)
     left, links = np.arange(len(fps)), []
     while len(left):
@@ -106,50 +105,73 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
             for one in edge:
                 far = np.abs(table[left] - table[one]).max(axis=1)
                 maybe = np.flatnonzero((far <= radius) & ~near)
-                near[maybe] = np.bitwise_count(fps[left[maybe]] ^ fps[one]) <= radius
+                maybe = maybe[np.bitwise_count(fps[left[maybe]] ^ fps[one]) <= radius]
+                if wide is not None:
+                    maybe = maybe[np.bitwise_count(wide[left[maybe]] ^ wide[one]).sum(axis=1) <= limit]
+                near[maybe] = True
             edge, left = left[near], left[~near]
             links += [(int(x), int(first)) for x in edge]
     return links
 
 
-def _links(groups: DataFrame, radius: int) -> DataFrame:
-    """Links a, b within the groups (arrays ``fps`` of distinct fingerprints)."""
+def _links(groups: DataFrame, radius: int, limit: int) -> DataFrame:
+    """Links a, b between the nodes of each group ``g``, an array of struct(node, fp, wide)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for group in batch.column(0):
-                fps = group.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                for x, y in forest(fps, radius):
-                    a.append(fps[x])
-                    b.append(fps[y])
-            columns = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+                members = group.values
+                node = members.field("node").to_numpy(zero_copy_only=False)
+                fps = members.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+                wide = None
+                if limit:
+                    wide = np.array([np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in members.field("wide")])
+                for x, y in forest(fps, radius, wide, limit):
+                    a.append(node[x])
+                    b.append(node[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return groups.select("g").mapInArrow(run, "a long, b long")
 
-    return groups.select("fps").mapInArrow(run, "a long, b long")
 
+def links(fps: DataFrame, radius: int = 2, limit: int = 0, block: int = 2048) -> DataFrame:
+    """Links a, b between the nodes of ``fps`` (node, fp, wide; distinct) that keep every component.
 
-def links(fps: DataFrame, radius: int = 2, block: int = 2048) -> DataFrame:
-    """Links a, b between distinct fingerprints ``fp`` that keep every component of those within ``radius`` bits."""
+    Nodes link within ``radius`` bits of fp and, if ``limit`` is given, within so many of wide.
+    """
     first = choices(list(range(BITS)), radius)
-    keys = lambda masks, *more: F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m)), *more) for i, m in enumerate(masks)])
-    masks = [m for m, _ in first]
-    keyed = fps.select("fp", F.posexplode(keys(masks)).alias("c", "k"))
+    keys = lambda masks, *more: F.array(*[F.xxhash64(F.lit(i), F.col("m.fp").bitwiseAND(F.lit(m)), *more) for i, m in enumerate(masks)])
+    gathered = lambda df, k: df.groupBy(k).agg(F.collect_list("m").alias("g"))
+    keyed = fps.select(F.struct("node", "fp", "wide").alias("m"))
+    keyed = keyed.select("m", F.posexplode(keys([m for m, _ in first])).alias("c", "k"))
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
     keyed = cut(keyed.join(sizes, "k"))
-    few = keyed.filter(F.col("n") <= block).groupBy("k").agg(F.collect_list("fp").alias("fps"))
-    found = _links(few, radius)
+    found = _links(gathered(keyed.filter(F.col("n") <= block), "k"), radius, limit)
     hot = keyed.filter(F.col("n") > block)
     if not hot.isEmpty():
         again: Column | None = None
         for i, (_, free) in enumerate(first):
             parts = keys([m for m, _ in choices(free, radius)], F.col("k"))
             again = F.when(F.col("c") == i, parts) if again is None else again.when(F.col("c") == i, parts)
-        split = hot.select("fp", F.explode(again).alias("k2")).groupBy("k2").agg(F.collect_list("fp").alias("fps"))
-        found = found.union(_links(split.filter(F.size("fps") > 1), radius))
+        split = gathered(hot.select("m", F.explode(again).alias("k2")), "k2")
+        found = found.union(_links(split.filter(F.size("g") > 1), radius, limit))
     return found.distinct()
 
 
+def _grouped(known: DataFrame, radius: int, limit: int) -> DataFrame:
+    """component_id for every row of ``known`` (id, fp, wide): the least id that links reach."""
+    node = F.col("fp") if not limit else F.xxhash64("fp", "wide")
+    known = cut(known.withColumn("node", node))
+    fps = cut(known.groupBy("node", "fp", "wide").agg(F.min("id").alias("least")))
+    roots = components(links(fps.drop("least"), radius, limit)).withColumnRenamed("node", "at")
+    linked = roots.join(fps, roots["at"] == fps["node"]).select("node", "root", "least")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = linked.join(least, "root").select("node", "component_id")
+    groups = fps.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    return known.join(groups, "node", "left")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id, one row per input row.
 
@@ -158,13 +180,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows share their component; null ids are never a component_id unless a component has no other.  An empty table
     gives no rows; other columns are not read.
     """
-    known = cut(fingerprints(docs, id_col, text_col, words))
-    fps = cut(known.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(fps.select("fp"), radius))
-    linked = roots.join(fps, roots["node"] == fps["fp"]).select("fp", "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "root").select("fp", "component_id")
-    groups = fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return known.join(groups, "fp", "left").select(
+    known = fingerprints(docs, id_col, text_col, words).withColumn("wide", F.lit(None).cast("binary"))
+    return _grouped(known, radius, 0).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def wide_simhash(hashes: np.ndarray, words: int) -> bytes:
+    """``words`` times 64 bits of SimHash, from as many mixtures of each hash."""
+    out = []
+    for i in range(words):
+        h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        out.append(simhash(h ^ (h >> np.uint64(29))))
+    return np.array(out, dtype=np.int64).tobytes()
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 7, wide_words: int = 8
+) -> DataFrame:
+    """id and component_id (the least id that links reach), one row per input row.
+
+    Two texts link if the SimHash of their sets of single words is within ``radius`` bits, which near copies keep even
+    when they are short, and the wide SimHash of their sets of ``words``-word shingles is within the bits that a
+    Jaccard ``similarity`` leads one to expect (and half a standard deviation).  Nulls, texts without words, repeated
+    rows and empty tables are treated as in ``near_duplicates``.
+    """
+    bits = wide_words * BITS
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    limit = int(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, wides = [], []
+            for text in batch.column(1).to_pylist():
+                fps.append(simhash(np.unique(shingle_hashes(text, 1))))
+                wides.append(wide_simhash(np.unique(shingle_hashes(text, words)), wide_words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(wides, pa.binary())], ["id", "fp", "wide"])
+
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    known = texts.mapInArrow(run, f"id {kind}, fp long, wide binary")
+    return _grouped(known, radius, limit).select(F.col("id").alias(id_col), "component_id")

@@ -204,12 +204,13 @@ def _join(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, kind)), np.array([len(p) for p in parts], dtype=np.int64)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, whole_characters: bool = False) -> DataFrame:
     """The input's columns plus n_bytes, n_removed, spans (start and end bytes of maximal removed runs) and kept (bytes).
 
     A byte goes if a string of ``least`` bytes that covers it also starts in a row with a smaller id; strings are
     judged on the input and never cross texts.  Null texts count as empty.  Rows that share an id don't remove each
-    other; a null id counts as larger than all others.  The order of rows doesn't matter and an empty table gives no
+    other; a null id counts as larger than all others.  With ``whole_characters`` a character goes if any of its bytes
+    does, so that what is kept is text.  The order of rows doesn't matter and an empty table gives no
     rows.  Input columns that are called n_bytes, n_removed, spans or kept are replaced.
     """
     spark = docs.sparkSession
@@ -377,6 +378,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sizes, spans, kept, counts = [], [], [], []
         for begin, end in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
             m = mask[begin:end]
+            if whole_characters and m.any():
+                lead = np.flatnonzero((data[begin:end] & 0xC0) != 0x80)
+                m = np.repeat(np.logical_or.reduceat(m, lead), np.diff(np.append(lead, len(m))))
             edge = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]])))
             spans.append([{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
             sizes.append(end - begin)
