@@ -214,14 +214,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows.  Input columns that are called n_bytes, n_removed, spans or kept are replaced.
     """
     spark = docs.sparkSession
-    buckets = partitions(spark)
-    homes = 4 * buckets
+    parts = partitions(spark)
+    buckets = homes = 4 * parts  # groups that one task holds at a time
     added = ("n_bytes", "n_removed", "spans", "kept")
     own = [c for c in docs.columns if c not in added]
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     base = docs.select(number.alias("id"), text_of(text_col).cast("binary").alias("text"), F.struct(*own).alias("row"))
     base = base.withColumn("home", F.pmod(F.xxhash64("id", "text"), F.lit(homes)).cast("int"))
-    texts = base.repartition(buckets, "home")
+    texts = base.repartition(parts, "home")
 
     def hashed(home: pa.Table) -> pa.Table:
         _, data, ends, _ = _home(home)
@@ -261,8 +261,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         b = group["bucket"][0].as_py()
         return _table({"home": ([home[i] for i in used], pa.int32()), "bucket": ([b] * len(used), pa.int32()), "keys": ([blobs[i] for i in used], pa.binary())})
 
-    known = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared, "home int, bucket int, keys binary")
-    known = known.repartition(buckets, "home")
+    known = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(shared, "home int, bucket int, keys binary")
+    known = known.repartition(parts, "home")
 
     def asked(home: pa.Table, cand: pa.Table) -> pa.Table:
         names = {"bucket": pa.int32(), "home": pa.int32(), "key": pa.binary(), "whole": pa.binary(), "strings": pa.binary(), "low": pa.binary(), "high": pa.binary(), "text": pa.binary()}
@@ -338,14 +338,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         run = np.arange(len(rep)) - np.repeat(np.cumsum(per[cls]) - per[cls], per[cls]) + start[cls[rep]]
         use = who[run] < high[rep]
         rep, run = rep[use], run[use]
-        parts = {"key": key[rep], "whole": whole[rep], "first": a[run].astype("u1"), "last": b[run].astype("u1"), "doc": who[run]}
-        made = {k: _blobs(v, source[rep], len(sizes)) for k, v in parts.items()}
+        columns = {"key": key[rep], "whole": whole[rep], "first": a[run].astype("u1"), "last": b[run].astype("u1"), "doc": who[run]}
+        made = {k: _blobs(v, source[rep], len(sizes)) for k, v in columns.items()}
         used = [i for i in range(len(sizes)) if made["key"][i]]
         home = group["home"].to_pylist()
         return _table({"home": ([home[i] for i in used], pa.int32())} | {k: ([v[i] for i in used], pa.binary()) for k, v in made.items()})
 
-    answers = asking.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answered, "home int, key binary, whole binary, first binary, last binary, doc binary")
-    answers = answers.repartition(buckets, "home")
+    answers = asking.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answered, "home int, key binary, whole binary, first binary, last binary, doc binary")
+    answers = answers.repartition(parts, "home")
     row_kind = base.schema["row"].dataType.simpleString()
     out_fields = f"row {row_kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
