@@ -1,6 +1,7 @@
 """WARC archives: write captures, read them back, and merge their indexes into capture histories.
 
-Writing is a Spark job whose text writer puts one record after another into files of bounded size; of captures with one
+Writing is a Spark job whose text writer puts one record after another into gzip files of bounded size (offsets count
+bytes of the archive inside); of captures with one
 payload of some size, only one carries it and the others refer to it.  Reading parses each file and sorts its index
 entries: a run.  Runs are cut at shared bounds of (URL key, timestamp, page) and the pieces of a range are merged by a
 loser tree, so that histories come out in order over all ranges, however many captures one URL has.
@@ -9,6 +10,7 @@ loser tree, so that histories come out in order over all ranges, however many ca
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -73,7 +75,7 @@ def write_archives(
     record = _record(kind, head, http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     most = max(1, file_bytes * count // max(1, (total or 0) + 500 * count))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).text(folder)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").text(folder)
     return folder
 
 
@@ -134,7 +136,7 @@ def read_runs(spark, folder: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for head, block, at, length in parse(content.as_buffer().to_pybytes()):
+                for head, block, at, length in parse(zlib.decompress(content.as_buffer().to_pybytes(), 31)):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind = head["warc-type"]
                     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
