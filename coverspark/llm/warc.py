@@ -1,7 +1,6 @@
 """WARC archives: write captures, read them back, and merge their indexes into capture histories.
 
-Writing is a Spark job whose text writer puts one record after another into gzip files of bounded size (offsets count
-bytes of the archive inside); of captures with one
+Writing is a Spark job whose text writer puts one record after another into files of bounded size; of captures with one
 payload of some size, only one carries it and the others refer to it.  Reading parses each file and sorts its index
 entries: a run.  Runs are cut at shared bounds of (URL key, timestamp, page) and the pieces of a range are merged by a
 loser tree, so that histories come out in order over all ranges, however many captures one URL has.
@@ -10,7 +9,6 @@ loser tree, so that histories come out in order over all ranges, however many ca
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -44,7 +42,7 @@ def _record(kind: Column, head: list[tuple[str, Column]], http: Column, payload:
 
 
 def write_archives(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, file_bytes: int = 16 << 20
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000, file_bytes: int = 8 << 20, broadcast_rows: int = 500_000
 ) -> str:
     """Write a record for every row and return the folder, a new one under the session's shared folder.
 
@@ -56,9 +54,13 @@ def write_archives(
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), text_of(payload_col).alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    kept = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n"))
+    large = rows.filter(F.col("size") >= least).select("id", "digest")
+    kept = large.groupBy("digest").agg(F.max("id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    kept = cut(kept)
+    # few enough of them: payloads need not move to meet their response
+    near = F.broadcast(kept) if kept.count() <= broadcast_rows else kept
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
-    rows = rows.join(kept.filter("n > 1").drop("n"), "digest", "left")
+    rows = rows.join(near, "digest", "left")
     revisit = F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response")) & (F.col("size") >= least)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("-")), F.lit(">"))
     moment = F.timestamp_seconds(F.lit(946684800) + F.pmod(F.coalesce("id", F.lit(0)), F.lit(7_000_000_000)))
@@ -75,7 +77,7 @@ def write_archives(
     record = _record(kind, head, http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     most = max(1, file_bytes * count // max(1, (total or 0) + 500 * count))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").text(folder)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).text(folder)
     return folder
 
 
@@ -136,7 +138,7 @@ def read_runs(spark, folder: str) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for head, block, at, length in parse(zlib.decompress(content.as_buffer().to_pybytes(), 31)):
+                for head, block, at, length in parse(content.as_buffer().to_pybytes()):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind = head["warc-type"]
                     size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
