@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PIX = ["tile", "row", "col"]
-ALL = Window.partitionBy()
 
 
 def crosstab(df: DataFrame, classes: Sequence[int], truth: str = "truth", predict: str = "predict") -> DataFrame:
@@ -43,7 +42,7 @@ def _sides(conf: DataFrame) -> DataFrame:
         F.struct(F.col("truth").alias("class"), F.col("n").alias("t"), F.lit(0).cast("bigint").alias("p"), F.when(F.col("truth") == F.col("predict"), F.col("n")).otherwise(0).alias("hit")),
         F.struct(F.col("predict").alias("class"), F.lit(0).cast("bigint").alias("t"), F.col("n").alias("p"), F.lit(0).cast("bigint").alias("hit")))).alias("e")).select("e.*")
     out = long.groupBy("class").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("hit").alias("hit"))
-    return out.withColumn("total", F.sum("t").over(ALL))
+    return out.withColumn("total", F.sum("t").over(Window.partitionBy()))
 
 
 def kappa(conf: DataFrame) -> DataFrame:
@@ -113,16 +112,16 @@ def error_matrix(pairs: DataFrame, areas: DataFrame, classes: Sequence[int], wei
     rows = counts.withColumn("row_total", total).join(F.broadcast(areas.select(F.col("class").alias("map"), F.col("ha").cast("bigint").alias("map_area"))), "map", "left")
     if weights == "sample":
         share = F.broadcast(pairs.groupBy(F.col("ref").alias("map")).agg(F.count("*").alias("_n")))
-        rows = rows.join(share, "map", "left").withColumn("w", F.coalesce("_n", F.lit(0)) / F.sum("row_total").over(ALL)).drop("_n")
+        rows = rows.join(share, "map", "left").withColumn("w", F.coalesce("_n", F.lit(0)) / F.sum("row_total").over(Window.partitionBy())).drop("_n")
     else:
-        rows = rows.withColumn("w", F.col("map_area") / F.sum("map_area").over(ALL))
+        rows = rows.withColumn("w", F.col("map_area") / F.sum("map_area").over(Window.partitionBy()))
     totals = rows.agg(F.lit(None).cast("int").alias("map"), *[F.sum(c).alias(c) for c in [*cols, "row_total", "map_area", "w"]])
     return rows.unionByName(totals)
 
 
 def area_proportions(conf: DataFrame, areas: DataFrame) -> DataFrame:
     """map, ref, n, weight, share in its map row (u) and of the whole area (p).  ``conf``: map, ref, n; ``areas``: class, ha."""
-    a = F.broadcast(areas.select(F.col("class").alias("map"), F.col("ha").alias("a")).withColumn("total", F.sum("a").over(ALL)))
+    a = F.broadcast(areas.select(F.col("class").alias("map"), F.col("ha").alias("a")).withColumn("total", F.sum("a").over(Window.partitionBy())))
     rows = conf.join(a, "map").withColumn("ni", F.sum("n").over(Window.partitionBy("map")))
     u = F.col("n") / F.nullif(F.col("ni"), F.lit(0))
     return rows.select("map", "ref", "n", "ni", "a", (F.col("a") / F.col("total")).alias("w"), u.alias("u"), (F.col("a") / F.col("total") * u).alias("p"), "total")
@@ -146,7 +145,7 @@ def olofsson(conf: DataFrame, areas: DataFrame) -> DataFrame:
     pa = F.col("pjj") / F.nullif(F.col("area"), F.lit(0.0))
     cols = cols.withColumn("pa", pa)
     pa_var = (F.col("a") * F.col("a") * F.pow(1 - F.col("pa"), 2) * F.col("ua_var") + F.pow("pa", 2) * F.col("off")) / F.nullif(F.pow("aj", 2), F.lit(0.0))
-    cols = cols.withColumn("oa", F.sum("pjj").over(ALL)).withColumn("oa_var", F.sum(F.col("w") * F.col("w") * F.col("ua_var")).over(ALL))
+    cols = cols.withColumn("oa", F.sum("pjj").over(Window.partitionBy())).withColumn("oa_var", F.sum(F.col("w") * F.col("w") * F.col("ua_var")).over(Window.partitionBy()))
     return cols.select(
         F.col("ref").alias("class"), "ua", F.sqrt("ua_var").alias("ua_se"), "pa", F.when(F.col("off_gaps") == 0, F.sqrt(pa_var)).alias("pa_se"), "area", F.when(F.col("gaps") == 0, F.sqrt("area_var")).alias("area_se"), "oa", F.sqrt("oa_var").alias("oa_se")
     )

@@ -11,7 +11,6 @@ from coverspark.functions import chisq
 
 PIX = ["tile", "row", "col"]
 HA = 0.09  # a 30 m pixel
-ALL = Window.partitionBy()
 #: Transition codes of the gain, unchanged and loss maps.
 FOREST = {"gain": [101106, 102106, 101109, 102109], "unchanged": [106106, 109109, 106109, 109106], "loss": [106101, 106102, 109101, 109102]}
 BUILT = {"gain": [106101, 106102, 109101, 109102], "unchanged": [101101, 102102], "loss": [102101, 101102, 101106, 101109, 102106, 102109]}
@@ -115,7 +114,7 @@ def gain_loss_counts(tr: DataFrame, rules: Mapping[str, Sequence[int]], by: Sequ
 def chi_square_table(px: DataFrame, c1: str, c2: str) -> DataFrame:
     """Per class: frequencies, fraction, expected (whole), observed and (O-E)²/E; null where nothing is expected."""
     gl = gain_loss(px, c1, c2).select("class", F.col("n1").alias("f1"), F.col("n2").alias("f2"))
-    gl = gl.withColumn("fraction", F.col("f1") / F.sum("f1").over(ALL)).withColumn("expected", (F.col("fraction") * F.sum("f2").over(ALL)).cast("bigint"))
+    gl = gl.withColumn("fraction", F.col("f1") / F.sum("f1").over(Window.partitionBy())).withColumn("expected", (F.col("fraction") * F.sum("f2").over(Window.partitionBy())).cast("bigint"))
     o_e = F.col("f2") - F.col("expected")
     return gl.withColumn("chi", o_e * o_e / F.nullif(F.col("expected"), F.lit(0)))
 
@@ -137,7 +136,7 @@ def contingency_test(table: DataFrame, alpha: float = 0.05) -> dict[str, object]
     Classes that are 0 on both sides are dropped; with one degree of freedom Yates' correction applies.
     """
     s = table.filter("expected > 0 or f2 > 0").select(F.col("expected").alias("a"), F.col("f2").alias("b"))
-    s = s.withColumns({"sa": F.sum("a").over(ALL), "sb": F.sum("b").over(ALL), "k": F.count("*").over(ALL)})
+    s = s.withColumns({"sa": F.sum("a").over(Window.partitionBy()), "sb": F.sum("b").over(Window.partitionBy()), "k": F.count("*").over(Window.partitionBy())})
     yates = F.when(F.col("k") == 2, 0.5).otherwise(0.0)
 
     def part(x: str, sx: str) -> Column:
@@ -179,4 +178,4 @@ def change_pixel_counts(px: DataFrame, ref: tuple[str, str], map_: tuple[str, st
     r = transition_counts(px, *ref).groupBy("code").agg(F.sum("n").alias("ref_n"))
     m = transition_counts(px, *map_).groupBy("code").agg(F.sum("n").alias("map_n"))
     both = r.join(m, "code", "full").filter("code <> 0")
-    return both.withColumn("ref_pct", F.col("ref_n") / F.sum("ref_n").over(ALL) * 100)
+    return both.withColumn("ref_pct", F.col("ref_n") / F.sum("ref_n").over(Window.partitionBy()) * 100)

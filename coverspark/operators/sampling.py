@@ -55,7 +55,8 @@ def stratified_sample(px: DataFrame, targets: DataFrame, w: int, rows: int, cols
     r0, c0, r1, c1 = box or (0, 0, rows, cols)
     lattice = windows(px, w, r1, c1, r0, c0)
     taken = stratified_windows(window_counts(lattice, value), targets, seed, max_windows)
-    return lattice.join(taken.select("wr", "wc", F.col("class").alias(value)), ["wr", "wc", value], "left_semi").drop("wr", "wc")
+    kept = lattice.join(taken.select("wr", "wc", F.col("class").alias(value)), ["wr", "wc", value], "left_semi")
+    return kept.select(*px.columns)
 
 
 def sample_report(freq: DataFrame, targets: DataFrame, sample: DataFrame) -> DataFrame:
