@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coverspark.llm.common import text_of
 
@@ -219,7 +220,6 @@ def score_quality(
     shared = docs.sparkSession.sparkContext.broadcast((table, net))
     own = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     rows = docs.select(text_of(text_col).alias("text"), F.struct(*own).alias("row"))
-    kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, fitted = shared.value
@@ -227,7 +227,7 @@ def score_quality(
             scores = fitted.probability(pooled(batch.column(0), known).astype(np.float64))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scores, pa.float64())], ["row", "score"])
 
-    scored = rows.mapInArrow(run, f"row {kind}, score double")
+    scored = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
     return scored.select(
         *[F.col("row").getField(c).alias(c) for c in own],
         (remainder(F.col("row").getField(id_col)) == 2).alias("held_out"),

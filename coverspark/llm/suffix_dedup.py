@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coverspark.llm.common import partitions, text_of
 
@@ -29,8 +30,23 @@ GRAM = 16
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5], dtype=np.uint64)
 _CHUNK = 1 << 20
 _BASE = 0xD6E8FEB86659FD93
-_UP = np.concatenate([[1], np.cumprod(np.full(_CHUNK + 4096, _BASE, dtype=np.uint64))]).astype(np.uint64)
-_DOWN = np.concatenate([[1], np.cumprod(np.full(_CHUNK + 4096, pow(_BASE, -1, 1 << 64), dtype=np.uint64))]).astype(np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def _prefix_hashes(data: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """Sums of (byte + 1) times the base to its place, modulo 2**64, before each place."""
+    out = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=out[1:])
+    return out
+
+
+_UP = _powers(_BASE, _CHUNK + 4096)
+_DOWN = _powers(pow(_BASE, -1, 1 << 64), _CHUNK + 4096)
 LAST = (1 << 63) - 1
 
 
@@ -72,7 +88,7 @@ def contexts(data: np.ndarray, ends: np.ndarray, least: int) -> Iterator[tuple[n
             continue
         changes = np.append(np.flatnonzero(np.concatenate([anchor[1:] != anchor[:-1], [True]]) | (inside[1:] == 0)), n - 1)
         closes = changes[np.searchsorted(changes, opens)]
-        sums = np.concatenate([[0], np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _UP[: len(part)])]).astype(np.uint64)
+        sums = _prefix_hashes(part, _UP)
         whole = (sums[closes + least] - sums[opens]) * _DOWN[opens]
         yield h[anchor[opens]], opens + start, closes + start, whole
 
@@ -82,11 +98,8 @@ class Suffixes:
 
     def __init__(self, text: np.ndarray, least: int):
         self.text, self.least = np.concatenate([text, np.zeros(least, np.uint8)]), least
-        power = np.empty(len(text) + least + 1, dtype=np.uint64)
-        power[0] = 1
-        power[1:] = np.cumprod(np.full(len(text) + least, _BASE, dtype=np.uint64))
-        self.power = power
-        self.sums = np.concatenate([[0], np.cumsum((self.text.astype(np.uint64) + np.uint64(1)) * power[:-1])]).astype(np.uint64)
+        self.power = _powers(_BASE, len(text) + least + 1)
+        self.sums = _prefix_hashes(self.text, self.power)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes a and b, at most ``least``; found by binary search on hashes."""
@@ -346,8 +359,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     answers = asking.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answered, "home int, key binary, whole binary, first binary, last binary, doc binary")
     answers = answers.repartition(parts, "home")
-    row_kind = base.schema["row"].dataType.simpleString()
-    out_fields = f"row {row_kind}, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+    out_fields = T.StructType([base.schema["row"], *T.StructType.fromDDL("n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")])
 
     def removed(home: pa.Table, reply: pa.Table) -> pa.Table:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
