@@ -16,6 +16,7 @@ Texts move once, to their homes; that exchange serves all three passes over them
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -313,7 +314,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows["home"].append(h)
                 for name, values in (("key", key), ("whole", whole), ("strings", (last - first + 1).astype("u1")), ("low", doc), ("high", high)):
                     rows[name].append(values[some].tobytes())
-                rows["text"].append(b"".join([raw[x : y + least] for x, y in zip(first[some].tolist(), last[some].tolist(), strict=True)]))
+                text = b"".join([raw[x : y + least] for x, y in zip(first[some].tolist(), last[some].tolist(), strict=True)])
+                rows["text"].append(zlib.compress(text, 1))
         return _table({k: (rows[k], t) for k, t in names.items()})
 
     fields = "bucket int, home int, key binary, whole binary, strings binary, low binary, high binary, text binary"
@@ -324,7 +326,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         whole, _ = _join(group["whole"], "<u8")
         strings = _join(group["strings"], "u1")[0].astype(np.int64)
         low, high = _join(group["low"], "<i8")[0], _join(group["high"], "<i8")[0]
-        text, _ = _join(group["text"], "u1")
+        text = np.frombuffer(b"".join([zlib.decompress(b.as_buffer()) for b in group["text"].combine_chunks()]), dtype=np.uint8)
         source = np.repeat(np.arange(len(sizes)), sizes)
         length = strings + least - 1
         offset = np.cumsum(length) - length
