@@ -338,15 +338,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cls[order] = np.cumsum(new) - 1
         one = order[at]
         least_doc = np.minimum.reduceat(low[order], at) if len(at) else low
-        # contexts differ in where their anchor lies: it is the least 16-byte hash of any of their strings
-        lead = _leads(text, offset[one], strings[one], key[one], least)
-        best = least_documents(text, offset[one], strings[one], key[one], lead, least_doc, least)
-        begin = np.cumsum(strings[one]) - strings[one]
+        # an anchor with one context everywhere needs no sorting: all its strings have that context's documents
+        unique = key[one]
+        lone = np.concatenate([[True], unique[1:] != unique[:-1]]) & np.concatenate([unique[1:] != unique[:-1], [True]]) if len(one) else np.zeros(0, bool)
+        many = np.flatnonzero(~lone)
+        some = one[many]
+        lead = _leads(text, offset[some], strings[some], key[some], least)
+        best = least_documents(text, offset[some], strings[some], key[some], lead, least_doc[many], least)
         # answers: runs of strings with one least document, for contexts where some document is larger
-        ctx = np.repeat(np.arange(len(one)), strings[one])
+        begin = np.cumsum(strings[some]) - strings[some]
+        ctx = np.repeat(np.arange(len(some)), strings[some])
         cut = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (best[1:] != best[:-1])])) if len(best) else np.zeros(0, int)
-        close = np.append(cut[1:], len(best))
-        a, b, who, owner = cut - begin[ctx[cut]], close - begin[ctx[cut]], best[cut], ctx[cut]
+        close = np.append(cut[1:], len(best)) if len(best) else cut
+        alone = np.flatnonzero(lone)
+        owner = np.concatenate([many[ctx[cut]], alone])
+        a = np.concatenate([cut - begin[ctx[cut]], np.zeros(len(alone), int)])
+        b = np.concatenate([close - begin[ctx[cut]], strings[one[alone]]])
+        who = np.concatenate([best[cut], least_doc[alone]])
+        order = np.argsort(owner, kind="stable")
+        owner, a, b, who = owner[order], a[order], b[order], who[order]
         per = np.bincount(owner, minlength=len(one))
         start = np.cumsum(per) - per
         rep = np.repeat(np.arange(len(key)), per[cls])
