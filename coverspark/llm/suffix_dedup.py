@@ -228,8 +228,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows.  Input columns that are called n_bytes, n_removed, spans or kept are replaced.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
-    buckets = homes = 4 * parts  # groups that one task holds at a time
+    parts = buckets = homes = partitions(spark)
     added = ("n_bytes", "n_removed", "spans", "kept")
     own = [c for c in docs.columns if c not in added]
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
@@ -343,8 +342,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         lone = np.concatenate([[True], unique[1:] != unique[:-1]]) & np.concatenate([unique[1:] != unique[:-1], [True]]) if len(one) else np.zeros(0, bool)
         many = np.flatnonzero(~lone)
         some = one[many]
-        lead = _leads(text, offset[some], strings[some], key[some], least)
-        best = least_documents(text, offset[some], strings[some], key[some], lead, least_doc[many], least)
+        best = _in_slices(text, offset[some], strings[some], key[some], least_doc[many], least)
         # answers: runs of strings with one least document, for contexts where some document is larger
         begin = np.cumsum(strings[some]) - strings[some]
         ctx = np.repeat(np.arange(len(some)), strings[some])
@@ -398,7 +396,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rep, at = rep[use], at[use]
                 np.add.at(gone, first[rep] + a[at], 1)
                 np.add.at(gone, first[rep] + b[at] - 1 + least, -1)
-        mask = np.cumsum(gone[:-1]) > 0
+        mask = np.cumsum(gone[:-1], out=gone[:-1]) > 0
         sizes, spans, kept, counts = [], [], [], []
         for begin, end in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
             m = mask[begin:end]
@@ -417,6 +415,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(*[F.col("row").getField(c).alias(c) for c in own], *added)
 
 
+def _in_slices(text: np.ndarray, offset: np.ndarray, strings: np.ndarray, key: np.ndarray, doc: np.ndarray, least: int, most: int = 400_000) -> np.ndarray:
+    """``least_documents`` for contexts in order of their keys, about ``most`` strings at a time; keys stay whole."""
+    if not len(key):
+        return doc
+    before = np.cumsum(strings) - strings
+    opens = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    piece = before[opens] // most
+    cuts = np.append(opens[np.concatenate([[True], piece[1:] != piece[:-1]])], len(key))
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        length = strings[a:b] + least - 1
+        start = np.cumsum(length) - length
+        own = text[np.repeat(offset[a:b] - start, length) + np.arange(int(length.sum()))]
+        lead = _leads(own, start, strings[a:b], key[a:b], least)
+        out.append(least_documents(own, start, strings[a:b], key[a:b], lead, doc[a:b], least))
+    return np.concatenate(out)
+
+
 def _leads(text: np.ndarray, offset: np.ndarray, strings: np.ndarray, key: np.ndarray, least: int) -> np.ndarray:
     """Where in its context each anchor lies: the first 16 bytes with the anchor's hash that every string covers."""
     lead = np.full(len(offset), -1, dtype=np.int64)
