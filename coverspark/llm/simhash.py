@@ -141,18 +141,18 @@ def links(fps: DataFrame, radius: int = 2, limit: int = 0, block: int = 2048) ->
     Nodes link within ``radius`` bits of fp and, if ``limit`` is given, within so many of wide.
     """
     first = choices(list(range(BITS)), radius)
-    keys = lambda masks, *more: F.array(*[F.xxhash64(F.lit(i), F.col("m.fp").bitwiseAND(F.lit(m)), *more) for i, m in enumerate(masks)])
+    keys = lambda fp, masks, *more: F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m)), *more) for i, m in enumerate(masks)])
     gathered = lambda df, k: df.groupBy(k).agg(F.collect_list("m").alias("g"))
-    keyed = fps.select(F.struct("node", "fp", "wide").alias("m"))
-    keyed = keyed.select("m", F.posexplode(keys([m for m, _ in first])).alias("c", "k"))
+    keyed = fps.select("node", F.posexplode(keys(F.col("fp"), [m for m, _ in first])).alias("c", "k"))
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = cut(keyed.join(sizes, "k"))
+    keyed = cut(keyed.join(sizes, "k"))  # only node numbers move until keys that one node has are gone
+    keyed = keyed.join(fps, "node").select("k", "c", "n", F.struct("node", "fp", "wide").alias("m"))
     found = _links(gathered(keyed.filter(F.col("n") <= block), "k"), radius, limit)
     hot = keyed.filter(F.col("n") > block)
     if not hot.isEmpty():
         again: Column | None = None
         for i, (_, free) in enumerate(first):
-            parts = keys([m for m, _ in choices(free, radius)], F.col("k"))
+            parts = keys(F.col("m.fp"), [m for m, _ in choices(free, radius)], F.col("k"))
             again = F.when(F.col("c") == i, parts) if again is None else again.when(F.col("c") == i, parts)
         split = gathered(hot.select("m", F.explode(again).alias("k2")), "k2")
         found = found.union(_links(split.filter(F.size("g") > 1), radius, limit))
