@@ -114,6 +114,24 @@ def forest(fps: np.ndarray, radius: int, wide: np.ndarray | None = None, limit:
     return links
 
 
+def _near(groups: DataFrame, radius: int) -> DataFrame:
+    """grp, first, fp: the members of each group (array ``fps``) that have another within ``radius`` bits, by component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grp, first, member = [], [], []
+            for k, group in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                signed = group.values.to_numpy(zero_copy_only=False)
+                found = forest(signed.view(np.uint64), radius)
+                for x, y in {*found, *((y, y) for _, y in found)}:
+                    grp.append(k)
+                    first.append(signed[y])
+                    member.append(signed[x])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (grp, first, member)], ["grp", "first", "fp"])
+
+    return groups.mapInArrow(run, "grp long, first long, fp long")
+
+
 def _links(groups: DataFrame, radius: int, limit: int) -> DataFrame:
     """Links a, b between the nodes of each group ``g``, an array of struct(node, fp, wide)."""
 
@@ -124,9 +142,7 @@ def _links(groups: DataFrame, radius: int, limit: int) -> DataFrame:
                 members = group.values
                 node = members.field("node").to_numpy(zero_copy_only=False)
                 fps = members.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-                wide = None
-                if limit:
-                    wide = np.array([np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in members.field("wide")])
+                wide = np.array([np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in members.field("wide")])
                 for x, y in forest(fps, radius, wide, limit):
                     a.append(node[x])
                     b.append(node[y])
@@ -138,25 +154,31 @@ def _links(groups: DataFrame, radius: int, limit: int) -> DataFrame:
 def links(fps: DataFrame, radius: int = 2, limit: int = 0, block: int = 2048) -> DataFrame:
     """Links a, b between the nodes of ``fps`` (node, fp, wide; distinct) that keep every component.
 
-    Nodes link within ``radius`` bits of fp and, if ``limit`` is given, within so many of wide.
+    Nodes link within ``radius`` bits of fp and, if ``limit`` is given, within so many of wide.  Only distinct fp move
+    under their keys; wide joins those that have a neighbour.
     """
     first = choices(list(range(BITS)), radius)
-    keys = lambda fp, masks, *more: F.array(*[F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(m)), *more) for i, m in enumerate(masks)])
-    gathered = lambda df, k: df.groupBy(k).agg(F.collect_list("m").alias("g"))
-    keyed = fps.select("node", F.posexplode(keys(F.col("fp"), [m for m, _ in first])).alias("c", "k"))
+    keys = lambda masks, *more: F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m)), *more) for i, m in enumerate(masks)])
+    gathered = lambda df, k: df.groupBy(F.col(k).alias("grp")).agg(F.collect_list("fp").alias("fps"))
+    keyed = fps.select("fp").distinct().select("fp", F.posexplode(keys([m for m, _ in first])).alias("c", "k"))
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = cut(keyed.join(sizes, "k"))  # only node numbers move until keys that one node has are gone
-    keyed = keyed.join(fps, "node").select("k", "c", "n", F.struct("node", "fp", "wide").alias("m"))
-    found = _links(gathered(keyed.filter(F.col("n") <= block), "k"), radius, limit)
-    hot = keyed.filter(F.col("n") > block)
+    keyed = keyed.join(sizes, "k")
+    near = _near(gathered(keyed.filter(F.col("n") <= block), "k"), radius)
+    hot = cut(keyed.filter(F.col("n") > block))
     if not hot.isEmpty():
         again: Column | None = None
         for i, (_, free) in enumerate(first):
-            parts = keys(F.col("m.fp"), [m for m, _ in choices(free, radius)], F.col("k"))
+            parts = keys([m for m, _ in choices(free, radius)], F.col("k"))
             again = F.when(F.col("c") == i, parts) if again is None else again.when(F.col("c") == i, parts)
-        split = gathered(hot.select("m", F.explode(again).alias("k2")), "k2")
-        found = found.union(_links(split.filter(F.size("g") > 1), radius, limit))
-    return found.distinct()
+        split = gathered(hot.select("fp", F.explode(again).alias("k2")), "k2")
+        near = near.union(_near(split.filter(F.size("fps") > 1), radius))
+    if not limit:
+        return near.filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct()
+    # nodes of one fp may differ in wide, so each fp is a group of its own too
+    own = fps.select(F.lit(None).cast("long").alias("grp"), F.col("fp").alias("first"), "fp").distinct()
+    members = near.distinct().union(own).join(fps, "fp")
+    groups = members.groupBy("grp", "first").agg(F.collect_list(F.struct("node", "fp", "wide")).alias("g"))
+    return _links(groups.filter(F.size("g") > 1), radius, limit).distinct()
 
 
 def _grouped(known: DataFrame, radius: int, limit: int) -> DataFrame:
