@@ -14,7 +14,7 @@ by the number of its bit patterns.  Groups give a spanning forest of their links
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -27,6 +27,9 @@ from coverspark.llm.components import components
 
 BITS = 64
 
+#: So many ids are sent to the executors whole; more of them meet the texts by a shuffle.
+FEW = 1_000_000
+
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
     """XXH64 of every run of ``words`` lower-cased words, repeats included; of the whole sequence if there are fewer."""
@@ -90,27 +93,28 @@ def pivots(fps: np.ndarray, every: int = 8) -> np.ndarray:
     return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
 
 
-def forest(fps: np.ndarray, radius: int, wide: np.ndarray | None = None, limit: int = 0) -> list[tuple[int, int]]:
-    """Links (member, first member) of a spanning star for every component of a group within ``radius`` bits.
-
-    With ``wide`` fingerprints (one row of 64-bit words each), a link needs at most ``limit`` differing bits there too.
-    """
+def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links (member, first member) of a spanning star for every component of a group within ``radius`` bits."""
     table = pivots(fps)
-    left, links = np.arange(len(fps)), []
+
+    def near(one: int, left: np.ndarray) -> np.ndarray:
+        maybe = np.flatnonzero(np.abs(table[left] - table[one]).max(axis=1) <= radius)
+        return maybe[np.bitwise_count(fps[left[maybe]] ^ fps[one]) <= radius]
+
+    return stars(len(fps), near)
+
+
+def stars(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links (member, first member) of n members; ``near`` gives the places in ``left`` that are near to one."""
+    left, links = np.arange(n), []
     while len(left):
         first, left = left[0], left[1:]
-        edge = np.array([first])
+        edge = [first]
         while len(edge) and len(left):
-            near = np.zeros(len(left), dtype=bool)
-            for one in edge:
-                far = np.abs(table[left] - table[one]).max(axis=1)
-                maybe = np.flatnonzero((far <= radius) & ~near)
-                maybe = maybe[np.bitwise_count(fps[left[maybe]] ^ fps[one]) <= radius]
-                if wide is not None:
-                    maybe = maybe[np.bitwise_count(wide[left[maybe]] ^ wide[one]).sum(axis=1) <= limit]
-                near[maybe] = True
-            edge, left = left[near], left[~near]
-            links += [(int(x), int(first)) for x in edge]
+            at = near(edge.pop(), left)
+            links += [(int(x), int(first)) for x in left[at]]
+            edge += left[at].tolist()
+            left = np.delete(left, at)
     return links
 
 
@@ -132,30 +136,10 @@ def _near(groups: DataFrame, radius: int) -> DataFrame:
     return groups.mapInArrow(run, "grp long, first long, fp long")
 
 
-def _links(groups: DataFrame, radius: int, limit: int) -> DataFrame:
-    """Links a, b between the nodes of each group ``g``, an array of struct(node, fp, wide)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for group in batch.column(0):
-                members = group.values
-                node = members.field("node").to_numpy(zero_copy_only=False)
-                fps = members.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-                wide = np.array([np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in members.field("wide")])
-                for x, y in forest(fps, radius, wide, limit):
-                    a.append(node[x])
-                    b.append(node[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return groups.select("g").mapInArrow(run, "a long, b long")
-
-
-def links(fps: DataFrame, radius: int = 2, limit: int = 0, block: int = 2048) -> DataFrame:
-    """Links a, b between the nodes of ``fps`` (node, fp, wide; distinct) that keep every component.
+def links(fps: DataFrame, radius: int = 2, block: int = 2048) -> DataFrame:
+    """Links a, b within ``radius`` bits between the fingerprints of ``fps`` (fp) that keep every component.
 
-    Nodes link within ``radius`` bits of fp and, if ``limit`` is given, within so many of wide.  Only distinct fp move
-    under their keys; wide joins those that have a neighbour.
+    Only distinct fp move under their keys.
     """
     first = choices(list(range(BITS)), radius)
     keys = lambda masks, *more: F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m)), *more) for i, m in enumerate(masks)])
@@ -172,25 +156,21 @@ def links(fps: DataFrame, radius: int = 2, limit: int = 0, block: int = 2048) ->
             again = F.when(F.col("c") == i, parts) if again is None else again.when(F.col("c") == i, parts)
         split = gathered(hot.select("fp", F.explode(again).alias("k2")), "k2")
         near = near.union(_near(split.filter(F.size("fps") > 1), radius))
-    if not limit:
-        return near.filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct()
-    # nodes of one fp may differ in wide, so each fp is a group of its own too
-    own = fps.select(F.lit(None).cast("long").alias("grp"), F.col("fp").alias("first"), "fp").distinct()
-    members = near.distinct().union(own).join(fps, "fp")
-    groups = members.groupBy("grp", "first").agg(F.collect_list(F.struct("node", "fp", "wide")).alias("g"))
-    return _links(groups.filter(F.size("g") > 1), radius, limit).distinct()
-
-
-def _grouped(known: DataFrame, radius: int, limit: int) -> DataFrame:
-    """component_id for every row of ``known`` (id, fp, wide): the least id that links reach."""
-    node = F.col("fp") if not limit else F.xxhash64("fp", "wide")
-    known = cut(known.withColumn("node", node))
-    fps = cut(known.groupBy("node", "fp", "wide").agg(F.min("id").alias("least")))
-    roots = components(links(fps.drop("least"), radius, limit)).withColumnRenamed("node", "at")
-    linked = roots.join(fps, roots["at"] == fps["node"]).select("node", "root", "least")
+    return near.filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct()
+
+
+def _grouped(known: DataFrame, roots_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """component_id for every row of ``known`` (id, node, and what nodes have): the least id of its component.
+
+    ``roots_of`` gets the distinct nodes, with an id each (least), and returns node and root of those that link.
+    """
+    known = cut(known)
+    nodes = cut(known.groupBy(*[c for c in known.columns if c != "id"]).agg(F.min("id").alias("least")))
+    roots = roots_of(nodes).select(F.col("node").alias("at"), "root")
+    linked = roots.join(nodes, roots["at"] == nodes["node"]).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "root").select("node", "component_id")
-    groups = fps.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
+    groups = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
     return known.join(groups, "node", "left")
 
 
@@ -202,45 +182,135 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows share their component; null ids are never a component_id unless a component has no other.  An empty table
     gives no rows; other columns are not read.
     """
-    known = fingerprints(docs, id_col, text_col, words).withColumn("wide", F.lit(None).cast("binary"))
-    return _grouped(known, radius, 0).select(
+    known = fingerprints(docs, id_col, text_col, words).select("id", F.col("fp").alias("node"), "fp")
+    return _grouped(known, lambda nodes: components(links(nodes, radius))).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def wide_simhash(hashes: np.ndarray, words: int) -> bytes:
-    """``words`` times 64 bits of SimHash, from as many mixtures of each hash."""
-    out = []
-    for i in range(words):
-        h = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        out.append(simhash(h ^ (h >> np.uint64(29))))
-    return np.array(out, dtype=np.int64).tobytes()
+#: Keys of a text, and minima in each.  Of pairs with a similarity of 0.8, (1 - 0.8 ** 5) ** 32 = 0.000003 share no key.
+KEYS, ROWS = 32, 5
+_MIXES = np.random.default_rng(42).integers(0, 2**63, (2, KEYS * ROWS, 1), dtype=np.uint64)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each of the mixtures."""
+    out = np.full(KEYS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        np.minimum(out, (hashes[at : at + 4096] * (2 * _MIXES[0] + np.uint64(1)) + _MIXES[1]).min(axis=1), out=out)
+    return out
+
+
+def set_node(hashes: np.ndarray) -> int:
+    """A set of shingles (sorted) as a signed 64-bit number."""
+    from xxhash import xxh64_intdigest
+
+    found = xxh64_intdigest(hashes.tobytes())
+    return found - (1 << 64) if found >> 63 else found
+
+
+def jaccard_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For every set (distinct hashes each) the number of the first set of its component under Jaccard ``similarity``."""
+    sizes = np.array([len(s) for s in sets])
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(ids, np.cumsum(sizes)[:-1])
+    marks = np.zeros(len(words), dtype=np.int64)
+
+    def near(one: int, left: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(sizes[left], sizes[one]), np.maximum(sizes[left], sizes[one])
+        maybe = np.flatnonzero((low >= 1) & (low / np.maximum(high, 1) >= similarity))
+        if not len(maybe):
+            return maybe
+        some = left[maybe]
+        marks[parts[one]] = 1
+        both = np.add.reduceat(marks[np.concatenate([parts[x] for x in some])], np.cumsum(sizes[some]) - sizes[some])
+        marks[parts[one]] = 0
+        return maybe[both / (sizes[some] + sizes[one] - both) >= similarity]
+
+    root = np.arange(len(sets))
+    for x, first in stars(len(sets), near):
+        root[x] = first
+    return root
+
+
+def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b between nodes (node, minima as bytes) that share a key and show ``similarity``, less five deviations."""
+    n = KEYS * ROWS
+    least = n * similarity - 5 * math.sqrt(n * similarity * (1 - similarity))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for group in batch.column(0):
+                node = group.values.field("node").to_numpy(zero_copy_only=False)
+                sketch = np.array([np.frombuffer(w.as_buffer(), dtype=np.uint8) for w in group.values.field("sketch")])
+                for x, y in stars(len(node), lambda one, left, t=sketch: np.flatnonzero((t[left] == t[one]).sum(axis=1) >= least)):
+                    a.append(node[x])
+                    b.append(node[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    keyed = nodes.select("node", F.explode("keys").alias("k"))
+    sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
+    keyed = keyed.join(sizes, "k").join(nodes.select("node", "sketch"), "node")
+    return keyed.groupBy("k").agg(F.collect_list(F.struct("node", "sketch")).alias("g")).select("g").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(linked: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """node and root under the exact Jaccard ``similarity``, for the nodes of ``linked`` (node, root, least).
+
+    Only texts that have a candidate are read again.  Ids may repeat or be null, so what counts is the node of the text.
+    """
+    ids = linked.select(F.col("least").alias("id")).distinct()
+    ids = F.broadcast(ids) if linked.count() <= FEW else ids
+    chosen = texts.join(ids, texts["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(0)]
+            nodes = pa.array([set_node(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in batch.column(0):
+                nodes = group.values.field("node").to_numpy(zero_copy_only=False)
+                sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in group.values.field("shingles")]
+                root = nodes[jaccard_forest(sets, similarity)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(root, pa.int64())], ["node", "root"])
+
+    sets = chosen.mapInArrow(shingles, "node long, shingles binary").join(linked.select("node", "root"), "node")
+    sets = sets.groupBy("root", "node").agg(F.first("shingles").alias("shingles"))
+    groups = sets.groupBy("root").agg(F.collect_list(F.struct("node", "shingles")).alias("g")).select("g")
+    return groups.mapInArrow(run, "node long, root long")
 
 
-def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 7, wide_words: int = 8
-) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id and component_id (the least id that links reach), one row per input row.
 
-    Two texts link if the SimHash of their sets of single words is within ``radius`` bits, which near copies keep even
-    when they are short, and the wide SimHash of their sets of ``words``-word shingles is within the bits that a
-    Jaccard ``similarity`` leads one to expect (and half a standard deviation).  Nulls, texts without words, repeated
+    Two texts link if the Jaccard similarity of their sets of ``words``-word shingles is ``similarity`` or more.
+    Candidates are components of texts that share a key of minima and whose minima agree as often as ``similarity`` leads
+    one to expect, less five standard deviations; inside them all pairs count.  Nulls, texts without words, repeated
     rows and empty tables are treated as in ``near_duplicates``.
     """
-    bits = wide_words * BITS
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    limit = int(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, wides = [], []
-            for text in batch.column(1).to_pylist():
-                fps.append(simhash(np.unique(shingle_hashes(text, 1))))
-                wides.append(wide_simhash(np.unique(shingle_hashes(text, words)), wide_words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(wides, pa.binary())], ["id", "fp", "wide"])
+            nodes, keys, sketches = [], [], []
+            for text in batch.column(1):
+                shingles = np.unique(shingle_hashes(text.as_py(), words))
+                found = minima(shingles)
+                nodes.append(set_node(shingles))
+                keys.append([set_node(np.append(row, np.uint64(i))) for i, row in enumerate(found.reshape(KEYS, ROWS))] if len(shingles) else [])
+                sketches.append((found & np.uint64(255)).astype(np.uint8).tobytes())
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "keys", "sketch"])
+
+    def roots_of(nodes: DataFrame) -> DataFrame:
+        roots = components(_candidates(nodes, similarity)).withColumnRenamed("node", "at")
+        linked = cut(roots.join(nodes, roots["at"] == nodes["node"]).select("node", "root", "least"))
+        return _verified(linked, texts, words, similarity)
 
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    known = texts.mapInArrow(run, f"id {kind}, fp long, wide binary")
-    return _grouped(known, radius, limit).select(F.col("id").alias(id_col), "component_id")
+    known = texts.mapInArrow(run, f"id {kind}, node long, keys array<long>, sketch binary")
+    return _grouped(known, roots_of).select(F.col("id").alias(id_col), "component_id")

@@ -137,6 +137,35 @@ def test_near_copies(spark, docs, texts):
     assert simhash.near_copies(docs).count() == len(texts)
 
 
+def test_near_copies_equal_brute_force_jaccard(spark):
+    rng = random.Random(7)
+    rows = []
+    for length in (120, 200, 320, 500):
+        for lost in range(4, 30, 2):  # one block of words replaced: similarity from 0.6 to 0.97
+            words = [f"w{rng.randrange(3000)}" for _ in range(length)]
+            at, n = rng.randrange(10, 40), length * lost // 200
+            rows += [" ".join(words), " ".join(words[:at] + [f"v{rng.randrange(3000)}" for _ in range(n)] + words[at + n :])]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in rows]
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    assert sum(0.7 <= likeness(sets[i], sets[i + 1]) < 0.8 for i in range(0, len(rows), 2)) > 5
+    roots = plain_components(sets, lambda a, b: likeness(a, b) >= 0.8)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [roots.index(r) for r in roots]
+
+
+def test_jaccard_forest_equals_all_pairs():
+    rng = np.random.default_rng(5)
+    sets = [np.array([], dtype=np.uint64)]
+    for _ in range(20):
+        one = rng.integers(0, 2**60, rng.integers(1, 60), dtype=np.uint64)
+        for _ in range(8):
+            sets.append(np.unique(np.concatenate([one[rng.random(len(one)) < rng.choice([0.8, 0.95, 1])], rng.integers(0, 2**60, rng.integers(0, 4), dtype=np.uint64)])))
+    plain = [set(s.tolist()) for s in sets]
+    want = plain_components(plain, lambda a, b: bool(a and b) and len(a & b) / len(a | b) >= 0.8)
+    got = simhash.jaccard_forest(sets, 0.8).tolist()
+    assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
+
+
 def test_components_of_a_path(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (101, 101), (None, 3), (100, 101)], "a long, b long")
