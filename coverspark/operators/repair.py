@@ -49,17 +49,18 @@ def fill_int_mean(long: DataFrame, by: Sequence[str], low: float = 0) -> DataFra
     return _fill(long, by, low, False)
 
 
-def _windows(px: DataFrame, low: float, value: str, radius: int) -> DataFrame:
+def _windows(px: DataFrame, low: float, value: str, radius: int | None) -> DataFrame:
     """pixel, neighbour value and distance, for the missing pixels and the least window that holds a valid value.
 
-    Only missing pixels are multiplied by the window's offsets; what radius 1 resolves takes no part in larger ones.
+    Only missing pixels are multiplied by the window's offsets; what a radius resolves takes no part in larger ones.
+    Radii are 1, 3 and then doubled until all pixels of tiles with a valid one are resolved, or ``radius`` is reached.
     """
     v = F.col(value)
     valid = px.filter(~_missing(v, low)).select(*PIX, v.alias("v"))
-    left = px.filter(_missing(v, low)).select(*PIX)
+    left = px.filter(_missing(v, low)).select(*PIX).join(valid.select("tile").distinct(), "tile", "left_semi").select(*PIX)
     found = None
-    inner = 0
-    for k in sorted({1, 3, radius} if radius > 3 else {1, radius}):
+    inner, k = 0, 1 if radius is None else min(1, radius)
+    while True:
         steps = F.sequence(F.lit(-k), F.lit(k))
         near = left.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
         near = near.withColumn("d", F.greatest(F.abs("dr"), F.abs("dc"))).filter(F.col("d") > inner)
@@ -68,31 +69,36 @@ def _windows(px: DataFrame, low: float, value: str, radius: int) -> DataFrame:
         least = F.min("d").over(Window.partitionBy(*PIX))
         hits = hits.withColumn("least", least).filter("d = least").drop("least")
         found = hits if found is None else found.unionByName(hits)
-        if k < radius:
-            left = left.join(hits.select(*PIX).distinct(), PIX, "left_anti")
-        inner = k
-    return found
-
-
-def _window_modes(px: DataFrame, low: float, value: str, radius: int) -> DataFrame:
+        if radius is not None and k >= radius:
+            return found
+        left = left.join(hits.select(*PIX).distinct(), PIX, "left_anti")
+        if k >= 3:
+            left = left.persist()
+            if left.isEmpty():
+                return found
+        inner, k = k, 3 if k < 3 else 2 * k
+        k = k if radius is None else min(k, radius)
+
+
+def _window_modes(px: DataFrame, low: float, value: str, radius: int | None) -> DataFrame:
     counts = _windows(px, low, value, radius).groupBy(*PIX, "v").agg(F.count("*").alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("n"), "v"))
     out = counts.groupBy(*PIX).agg(best.alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
     return out.select(*PIX, F.col("b.v").alias("mode"), (-F.col("b.n")).alias("n"), "lo", "hi", F.col("mean").cast("int").alias("mean"))
 
 
-def fill_mode(px: DataFrame, low: float = 0, radius: int = 10, value: str = "value") -> DataFrame:
+def fill_mode(px: DataFrame, low: float = 0, radius: int | None = None, value: str = "value") -> DataFrame:
     """Missing pixels become the mode (the least of ties) of the smallest square window with a valid value.
 
-    If the mode is the window's minimum, its truncated mean is taken.  Windows stop at the tile's edge; pixels with no
-    valid value within ``radius`` stay.
+    If the mode is the window's minimum, its truncated mean is taken.  Windows stop at the tile's edge; pixels of
+    tiles with no valid value (within ``radius``, if it is given) stay.
     """
     modes = _window_modes(px, low, value, radius).select(*PIX, F.when(F.col("mode") == F.col("lo"), F.col("mean")).otherwise(F.col("mode")).alias("_f"))
     v = F.col(value)
     return px.join(modes, PIX, "left").withColumn(value, F.when(_missing(v, low), F.coalesce("_f", v)).otherwise(v)).drop("_f")
 
 
-def fill_season(px: DataFrame, low: float = 0, radius: int = 10) -> DataFrame:
+def fill_season(px: DataFrame, low: float = 0, radius: int | None = None) -> DataFrame:
     """Missing sos becomes the window's mode; eos its mode, or its maximum if the mode is a minimum seen once; los the rest.
 
     A length of zero or less becomes 365.

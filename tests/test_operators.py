@@ -53,6 +53,22 @@ def test_windows_stop_at_tiles_and_nothing_valid_stays(spark):
     assert got == {("a", 0): -1, ("a", 1): -1, ("b", 0): 4, ("b", 1): 4}
 
 
+def test_gaps_wider_than_21_pixels_are_filled(spark):
+    cells = [[(r * 7 + c * 3) % 5 if c < 2 or c > 30 else -1 for c in range(33)] for r in range(30)]
+    cells[3:] = [[-1] * 33 for _ in cells[3:]]
+    got = grid_of(repair.fill_mode(px(spark, cells)))
+    season = spark.createDataFrame([("a", r, c, v, v, v) for r, line in enumerate(cells) for c, v in enumerate(line)], "tile string, row int, col int, sos int, eos int, los int")
+    sos = {(r["row"], r["col"]): r["sos"] for r in repair.fill_season(season).collect()}
+    for r, c in ((r, c) for r in range(30) for c in range(33) if cells[r][c] < 0):
+        found, k = [], 0
+        while not found:
+            k += 1
+            found = [v for line in cells[max(0, r - k) : r + k + 1] for v in line[max(0, c - k) : c + k + 1] if v >= 0]
+        mode = min(found, key=lambda v: (-found.count(v), v))
+        assert got[r, c] == (sum(found) // len(found) if mode == min(found) else mode)
+        assert sos[r, c] == mode
+
+
 def test_lattice(spark):
     for rows, cols, n in ((14, 14, 4), (15, 15, 4), (16, 10, 2)):
         df = spark.range(rows * cols).select((F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
