@@ -879,7 +879,7 @@ def _vectors(spark, sf_dir):
 
 
 def _model(spark, sf_dir):
-    return forest.fit_forest(forest.training_set(_vectors(spark, sf_dir), "label"), range(10), trees=20, depth=8)
+    return forest.fit_forest(forest.training_set(_vectors(spark, sf_dir), "label"), range(10))
 
 
 @_query()
@@ -895,7 +895,7 @@ def feature_importance(spark, sf_dir):
 @_query()
 def holdout_accuracy(spark, sf_dir):
     data = _vectors(spark, sf_dir)
-    share = forest.holdout_accuracy(data.select("vec_id", "features", "label"), list(range(10)), "vec_id", trees=20, depth=8)
+    share = forest.holdout_accuracy(data.select("vec_id", "features", "label"), list(range(10)), "vec_id")
     return spark.createDataFrame([(share,)], "accuracy double")
 
 

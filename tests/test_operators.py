@@ -231,3 +231,17 @@ def test_forest_is_repeatable_and_survives_saving(spark, tmp_path):
     assert one == two == [(i, i % 2 + 101) for i in range(200)]
     forest.save_model(fit(), str(tmp_path / "m"))
     assert forest.load_model(str(tmp_path / "m")).getNumTrees == 5
+
+
+def test_registered_forests_have_production_size(spark, sf_dir, monkeypatch):
+    from coverspark.plans import registry
+
+    asked = []
+    fit = lambda df, classes, trees=250, depth=30, **more: asked.append((trees, depth)) or real(df.limit(50), classes, trees=1, depth=2, **more)
+    real = forest.fit_forest
+    assert real.__defaults__[:2] == (250, 30)
+    monkeypatch.setattr(forest, "fit_forest", fit)
+    registry.QUERIES["feature_importance"](spark, sf_dir)
+    registry.QUERIES["forest_predict"](spark, sf_dir)
+    registry.QUERIES["holdout_accuracy"](spark, sf_dir)
+    assert asked == [(250, 30)] * 3
