@@ -12,18 +12,19 @@ def _state(edges: DataFrame) -> tuple:
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """node and root (the least node of its component) for every node of the edges ``a``, ``b``.
 
     Each round hooks every node's neighbours to its least neighbour, larger ones first and then smaller ones, until
     nothing changes; the number of rounds grows with the logarithm of the longest path.  Loops, repeated edges and
-    nulls are dropped; no edges give no rows.
+    nulls are dropped; no edges give no rows.  If ``rounds`` don't suffice an error is raised.
     """
     down = F.struct(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = cut(edges.filter("a is not null and b is not null and a <> b").select(down.alias("e")).select("e.*").distinct())
     before = _state(edges)
+    settled = not before[0]
     for _ in range(rounds):
-        if not before[0]:
+        if settled:
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -32,8 +33,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         after = _state(edges)
-        if after == before:
-            break
-        before = after
+        settled, before = after == before, after
+    if not settled:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -1,14 +1,12 @@
 """SimHash near-duplicates found with pivot distance tables.
 
-A pivot table holds a fingerprint's Hamming distances to reference fingerprints; two fingerprints within r bits differ
-by at most r in every coordinate.  The references here are the prefixes 0, 1, 11, 111, ...: from one to the next the
-distance steps up or down, and fingerprints within r bits have at most r unequal steps.  So of r + 3 bands of steps
-they agree in three at least, and every choice of three bands is a key under which all links are found.  Within a key,
-pairs are discarded by their maximum coordinate difference, and survivors are verified bit by bit.
-
-Only distinct fingerprints take part, each under its keys.  A key with more than ``block`` of them is split by a second
-choice of three bands out of the steps that are still free; what remains free then is so short that a group is bounded
-by the number of its bit patterns.  Groups give a spanning forest of their links, not pairs.
+The pivot table holds every distinct fingerprint's Hamming distances to fifty reference fingerprints.  Fingerprints
+within r bits differ by at most r in every coordinate; where the references are nested prefixes, the differences of
+neighbouring coordinates differ in at most r places, so some cell of them is shared and gives the blocks in which pairs
+meet.  In a block, pairs are discarded by their greatest coordinate difference, and survivors are verified bit by bit.
+
+Blocks that are too large for a task are dealt out in chunks, without losing links (``grouped_links``).  They give a
+spanning forest of their links, not pairs.
 """
 
 from __future__ import annotations
@@ -22,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coverspark.llm.common import cut, text_of
+from coverspark.llm.common import batches_of, cut, text_of, tidy
 from coverspark.llm.components import components
 
 BITS = 64
+Near = Callable[[int, np.ndarray], np.ndarray]
 
 #: So many ids are sent to the executors whole; more of them meet the texts by a shuffle.
 FEW = 1_000_000
@@ -58,6 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     """id and fp (the fingerprint as a long) of every whole text; zero for texts without words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = (shingle_hashes(t.as_py(), words) for t in batch.column(1))
@@ -67,111 +67,154 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
-def _bands(positions: list[int], n: int) -> list[list[int]]:
-    cuts = [round(i * len(positions) / n) for i in range(n + 1)]
-    return [positions[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+#: The reference fingerprints: two families of prefixes, 0, 4, ... bits long, over two patterns, then sixteen spread ones.
+BLOCK, BASES = 4, (0, 0x5555555555555555)
+SPREAD = tuple(sum(1 << b for b in range(BITS) if ((4 * j + 2) & b).bit_count() & 1) for j in range(16))
+REFERENCES = tuple(base ^ ((1 << k) - 1) for base in BASES for k in range(0, BITS + 1, BLOCK)) + SPREAD
 
 
-def _mask(positions: list[int]) -> int:
-    m = sum(1 << p for p in positions)
-    return m - (1 << BITS) if m >> (BITS - 1) else m
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def choices(positions: list[int], radius: int) -> list[tuple[int, list[int]]]:
-    """Masks of three bands out of ``radius + 3``, each with the positions that it leaves free."""
-    bands = _bands(positions, radius + 3)
-    out = []
-    for chosen in combinations(range(len(bands)), 3):
-        held = [p for b in chosen for p in bands[b]]
-        out.append((_mask(held), sorted(set(positions) - set(held))))
-    return out
+def pivots(fp: Column) -> Column:
+    """The pivot table's row of a fingerprint: its Hamming distance to every reference."""
+    return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(_signed(r)))).cast("tinyint") for r in REFERENCES])
+
+
+def cells(table: Column, radius: int) -> Column:
+    """Keys of a pivot table's row such that fingerprints within ``radius`` bits share one at least.
+
+    From one prefix reference to the next the distance changes by what one block of bits adds, so fingerprints within
+    r bits have at most r unequal changes in each family: of r + 3 bands of blocks, three at least agree throughout.
+    """
+    n, per = BITS // BLOCK, BITS // BLOCK + 1
+    cuts = [round(i * n / (radius + 3)) for i in range(radius + 4)]
+    change = lambda f, b: table[f * per + b + 1] - table[f * per + b]
+    bands = [F.xxhash64(*[change(f, b) for f in range(len(BASES)) for b in range(lo, hi)]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return F.array(*[F.xxhash64(F.lit(i), *[bands[b] for b in chosen]) for i, chosen in enumerate(combinations(range(radius + 3), 3))])
+
 
+def near_bits(radius: int) -> Callable[[pa.Array], Near]:
+    """Pairs whose greatest coordinate difference is over ``radius`` are discarded, the others verified bit by bit."""
 
-def pivots(fps: np.ndarray, every: int = 8) -> np.ndarray:
-    """Distances to the prefix references of every so many bits, one row a fingerprint."""
-    refs = np.array([(1 << k) - 1 for k in range(0, BITS + 1, every)], dtype=np.uint64)
-    return np.bitwise_count(fps[:, None] ^ refs[None, :]).astype(np.int8)
+    def of(load: pa.Array) -> Near:
+        fps = load.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        table = load.field("pivots").flatten().to_numpy(zero_copy_only=False).reshape(len(fps), -1)
 
+        def near(one: int, left: np.ndarray) -> np.ndarray:
+            maybe = np.flatnonzero(np.abs(table[left] - table[one]).max(axis=1) <= radius)
+            return maybe[np.bitwise_count(fps[left[maybe]] ^ fps[one]) <= radius]
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (member, first member) of a spanning star for every component of a group within ``radius`` bits."""
-    table = pivots(fps)
+        return near
 
-    def near(one: int, left: np.ndarray) -> np.ndarray:
-        maybe = np.flatnonzero(np.abs(table[left] - table[one]).max(axis=1) <= radius)
-        return maybe[np.bitwise_count(fps[left[maybe]] ^ fps[one]) <= radius]
+    return of
 
-    return stars(len(fps), near)
 
+def stars(cls: np.ndarray, near: Near) -> list[tuple[int, int]]:
+    """Links between members that join all classes with near members; members of one class are linked already.
 
-def stars(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
-    """Links (member, first member) of n members; ``near`` gives the places in ``left`` that are near to one."""
-    left, links = np.arange(n), []
-    while len(left):
-        first, left = left[0], left[1:]
-        edge = [first]
-        while len(edge) and len(left):
+    ``near`` gives the places in ``left`` that are near to one.  Small classes look first, so the largest never does.
+    """
+    if len(cls) == 2:
+        return [(1, 0)] if cls[0] != cls[1] and len(near(0, np.array([1]))) else []
+    _, cls, sizes = np.unique(cls, return_inverse=True, return_counts=True)
+    members = np.split(np.argsort(cls, kind="stable"), np.cumsum(sizes)[:-1])
+    alive, links = np.ones(len(cls), dtype=bool), []
+    for c in np.argsort(sizes, kind="stable"):
+        first = members[c][0]
+        if not alive[first]:
+            continue
+        alive[members[c]] = False
+        edge, left = members[c].tolist(), np.flatnonzero(alive)
+        while edge and len(left):
             at = near(edge.pop(), left)
-            links += [(int(x), int(first)) for x in left[at]]
-            edge += left[at].tolist()
-            left = np.delete(left, at)
+            if len(at):
+                for k in np.unique(cls[left[at]]):
+                    links.append((int(members[k][0]), int(first)))
+                    edge += members[k].tolist()
+                    alive[members[k]] = False
+                left = left[alive[left]]
     return links
 
 
-def _near(groups: DataFrame, radius: int) -> DataFrame:
-    """grp, first, fp: the members of each group (array ``fps``) that have another within ``radius`` bits, by component."""
+def _linked(groups: DataFrame, near_of: Callable[[pa.Array], Near], rows: int) -> DataFrame:
+    """Links a, b of each group (array ``g`` of node, root and load); at most ``rows`` groups are in memory at once."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grp, first, member = [], [], []
-            for k, group in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                signed = group.values.to_numpy(zero_copy_only=False)
-                found = forest(signed.view(np.uint64), radius)
-                for x, y in {*found, *((y, y) for _, y in found)}:
-                    grp.append(k)
-                    first.append(signed[y])
-                    member.append(signed[x])
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (grp, first, member)], ["grp", "first", "fp"])
+            a, b = [], []
+            for group in batch.column(0):
+                node = group.values.field("node").to_numpy(zero_copy_only=False)
+                root = group.values.field("root").to_numpy(zero_copy_only=False)
+                for x, y in stars(root, near_of(group.values.field("load"))):
+                    a.append(node[x])
+                    b.append(node[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return groups.mapInArrow(run, "grp long, first long, fp long")
+    with batches_of(groups.sparkSession, rows):
+        return cut(groups.select("g").mapInArrow(run, "a long, b long").distinct())
 
 
-def links(fps: DataFrame, radius: int = 2, block: int = 2048) -> DataFrame:
-    """Links a, b within ``radius`` bits between the fingerprints of ``fps`` (fp) that keep every component.
+def grouped_links(keyed: DataFrame, loads: DataFrame, near_of: Callable[[pa.Array], Near], block: int, rows: int) -> DataFrame:
+    """Links a, b that connect all nodes which share a group and, within it, are near, directly or over others.
 
-    Only distinct fp move under their keys.
+    ``keyed`` has grp, node and w (weight), ``loads`` node and load.  A group that weighs over ``block`` is dealt out in
+    chunks; each chunk finds its own links.  Of such a group only nodes that then lie in different components can still
+    lack a link, so those outside its main component meet every chunk once more.  No task holds more than two chunks.
     """
-    first = choices(list(range(BITS)), radius)
-    keys = lambda masks, *more: F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m)), *more) for i, m in enumerate(masks)])
-    gathered = lambda df, k: df.groupBy(F.col(k).alias("grp")).agg(F.collect_list("fp").alias("fps"))
-    keyed = fps.select("fp").distinct().select("fp", F.posexplode(keys([m for m, _ in first])).alias("c", "k"))
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    keyed = keyed.join(sizes, "k")
-    near = _near(gathered(keyed.filter(F.col("n") <= block), "k"), radius)
-    hot = cut(keyed.filter(F.col("n") > block))
-    if not hot.isEmpty():
-        again: Column | None = None
-        for i, (_, free) in enumerate(first):
-            parts = keys([m for m, _ in choices(free, radius)], F.col("k"))
-            again = F.when(F.col("c") == i, parts) if again is None else again.when(F.col("c") == i, parts)
-        split = gathered(hot.select("fp", F.explode(again).alias("k2")), "k2")
-        near = near.union(_near(split.filter(F.size("fps") > 1), radius))
-    return near.filter("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct()
+    spark = keyed.sparkSession
+    sizes = keyed.groupBy("grp").agg(F.sum("w").alias("weight"), F.count("*").alias("n")).filter("n > 1")
+    dealt = keyed.join(sizes, "grp").select("grp", "node", F.ceil(F.col("weight") / block).cast("int").alias("chunks"))
+    dealt = cut(dealt.withColumn("chunk", F.pmod(F.xxhash64("grp", "node"), F.col("chunks")).cast("int")))
+    listed = F.collect_list(F.struct("node", "root", "load")).alias("g")
+    own = dealt.withColumn("root", F.col("node")).join(loads, "node").groupBy("grp", "chunk").agg(listed)
+    links = _linked(own.filter(F.size("g") > 1), near_of, rows)
+    hot = dealt.filter("chunks > 1")
+    if hot.isEmpty():
+        return links
+    roots = components(links)
+    hot = cut(hot.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    parts = hot.groupBy("grp", "root", "chunks").agg(F.count("*").alias("n"))
+    main = parts.groupBy("grp").agg(F.max_by("root", "n").alias("main"), (F.sum("n") - F.max("n")).alias("n"), F.sum("n").alias("all"), F.max("chunks").alias("c"))
+    main = main.filter("n > 0").select("grp", "main", F.ceil(F.col("n") * F.col("c") / F.col("all")).cast("int").alias("slices"))
+    hot = hot.join(main, "grp")
+    outside = hot.filter("root <> main").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    outside = outside.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    every = hot.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    names = ["grp", "slice", "chunk", "node", "root"]
+    met = cut(outside.select(*names).union(every.select(*names)).distinct())
+    if met.isEmpty():
+        return links
+    met = met.join(loads, "node").groupBy("grp", "slice", "chunk").agg(listed)
+    return links.union(_linked(met, near_of, rows))
+
+
+def links(fps: DataFrame, radius: int = 2, block: int = 2048) -> DataFrame:
+    """Links a, b within ``radius`` bits between the fingerprints of ``fps`` (fp) that keep every component."""
+    table = cut(fps.select("fp").distinct().select(F.col("fp").alias("node"), F.struct("fp", pivots(F.col("fp")).alias("pivots")).alias("load")))
+    keyed = table.select("node", F.explode(cells(F.col("load.pivots"), radius)).alias("grp"), F.lit(1).alias("w"))
+    return grouped_links(keyed, table, near_bits(radius), block, 1000)
 
 
 def _grouped(known: DataFrame, roots_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """component_id for every row of ``known`` (id, node, and what nodes have): the least id of its component.
 
     ``roots_of`` gets the distinct nodes, with an id each (least), and returns node and root of those that link.
+    Nodes that a thousandth of the rows share are at most a thousand: those are sent to their rows.
     """
     known = cut(known)
-    nodes = cut(known.groupBy(*[c for c in known.columns if c != "id"]).agg(F.min("id").alias("least")))
+    nodes = cut(known.groupBy(*[c for c in known.columns if c != "id"]).agg(F.min("id").alias("least"), F.count("*").alias("rows")))
     roots = roots_of(nodes).select(F.col("node").alias("at"), "root")
     linked = roots.join(nodes, roots["at"] == nodes["node"]).select("node", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "root").select("node", "component_id")
-    groups = nodes.join(linked, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    return known.join(groups, "node", "left")
+    groups = cut(nodes.join(linked, "node", "left").select("node", "rows", F.coalesce("component_id", "least").alias("component_id")))
+    common = F.broadcast(groups.filter(F.col("rows") * 1000 >= known.count()).drop("rows"))
+    kept = [c for c in known.columns if c not in ("keys", "sketch", "size")]
+    rest = known.select(*kept).join(common.select("node"), "node", "left_anti").join(groups.drop("rows"), "node")
+    return known.select(*kept).join(common, "node").unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -209,108 +252,95 @@ def set_node(hashes: np.ndarray) -> int:
     return found - (1 << 64) if found >> 63 else found
 
 
-def jaccard_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For every set (distinct hashes each) the number of the first set of its component under Jaccard ``similarity``."""
-    sizes = np.array([len(s) for s in sets])
-    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    parts = np.split(ids, np.cumsum(sizes)[:-1])
-    marks = np.zeros(len(words), dtype=np.int64)
-
-    def near(one: int, left: np.ndarray) -> np.ndarray:
-        low, high = np.minimum(sizes[left], sizes[one]), np.maximum(sizes[left], sizes[one])
-        maybe = np.flatnonzero((low >= 1) & (low / np.maximum(high, 1) >= similarity))
-        if not len(maybe):
-            return maybe
-        some = left[maybe]
-        marks[parts[one]] = 1
-        both = np.add.reduceat(marks[np.concatenate([parts[x] for x in some])], np.cumsum(sizes[some]) - sizes[some])
-        marks[parts[one]] = 0
-        return maybe[both / (sizes[some] + sizes[one] - both) >= similarity]
-
-    root = np.arange(len(sets))
-    for x, first in stars(len(sets), near):
-        root[x] = first
-    return root
-
-
-def _candidates(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b between nodes (node, minima as bytes) that share a key and show ``similarity``, less five deviations."""
-    n = KEYS * ROWS
-    least = n * similarity - 5 * math.sqrt(n * similarity * (1 - similarity))
+def near_sets(similarity: float) -> Callable[[pa.Array], Near]:
+    """Pairs of shingle sets (distinct hashes, as bytes) with a Jaccard similarity of at least ``similarity``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for group in batch.column(0):
-                node = group.values.field("node").to_numpy(zero_copy_only=False)
-                sketch = np.array([np.frombuffer(w.as_buffer(), dtype=np.uint8) for w in group.values.field("sketch")])
-                for x, y in stars(len(node), lambda one, left, t=sketch: np.flatnonzero((t[left] == t[one]).sum(axis=1) >= least)):
-                    a.append(node[x])
-                    b.append(node[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def of(load: pa.Array) -> Near:
+        sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in load]
+        sizes = np.array([len(s) for s in sets])
+        words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        marks = np.zeros(len(words), dtype=np.int64)
 
-    keyed = nodes.select("node", F.explode("keys").alias("k"))
-    sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    keyed = keyed.join(sizes, "k").join(nodes.select("node", "sketch"), "node")
-    return keyed.groupBy("k").agg(F.collect_list(F.struct("node", "sketch")).alias("g")).select("g").mapInArrow(run, "a long, b long").distinct()
+        def near(one: int, left: np.ndarray) -> np.ndarray:
+            low, high = np.minimum(sizes[left], sizes[one]), np.maximum(sizes[left], sizes[one])
+            maybe = np.flatnonzero((low >= 1) & (low / np.maximum(high, 1) >= similarity))
+            if not len(maybe):
+                return maybe
+            some = left[maybe]
+            marks[parts[one]] = 1
+            both = np.add.reduceat(marks[np.concatenate([parts[x] for x in some])], np.cumsum(sizes[some]) - sizes[some])
+            marks[parts[one]] = 0
+            return maybe[both / (sizes[some] + sizes[one] - both) >= similarity]
 
+        return near
 
-def _verified(linked: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """node and root under the exact Jaccard ``similarity``, for the nodes of ``linked`` (node, root, least).
+    return of
 
-    Only texts that have a candidate are read again.  Ids may repeat or be null, so what counts is the node of the text.
-    """
-    ids = linked.select(F.col("least").alias("id")).distinct()
-    ids = F.broadcast(ids) if linked.count() <= FEW else ids
-    chosen = texts.join(ids, texts["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(0)]
-            nodes = pa.array([set_node(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+def near_sketches(similarity: float) -> Callable[[pa.Array], Near]:
+    """Pairs whose minima agree as often as ``similarity`` leads one to expect, less five standard deviations."""
+    n = KEYS * ROWS
+    least = n * similarity - 5 * math.sqrt(n * similarity * (1 - similarity))
+
+    def of(load: pa.Array) -> Near:
+        table = np.frombuffer(b"".join([w.as_buffer() for w in load]), dtype=np.uint8).reshape(len(load), n)
+        return lambda one, left: np.flatnonzero((table[left] == table[one]).sum(axis=1) >= least)
 
+    return of
+
+
+def _shingle_sets(chosen: DataFrame, words: int) -> DataFrame:
+    """node and load (the sorted distinct shingle hashes as bytes) of the distinct sets of ``text``."""
+
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group in batch.column(0):
-                nodes = group.values.field("node").to_numpy(zero_copy_only=False)
-                sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in group.values.field("shingles")]
-                root = nodes[jaccard_forest(sets, similarity)]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(root, pa.int64())], ["node", "root"])
+            for at in range(0, batch.num_rows, 256):
+                sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(0).slice(at, 256)]
+                nodes = pa.array([set_node(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "load"])
 
-    sets = chosen.mapInArrow(shingles, "node long, shingles binary").join(linked.select("node", "root"), "node")
-    sets = sets.groupBy("root", "node").agg(F.first("shingles").alias("shingles"))
-    groups = sets.groupBy("root").agg(F.collect_list(F.struct("node", "shingles")).alias("g")).select("g")
-    return groups.mapInArrow(run, "node long, root long")
+    return chosen.mapInArrow(run, "node long, load binary").groupBy("node").agg(F.first("load").alias("load"))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int = 4096, set_block: int = 1 << 19) -> DataFrame:
     """id and component_id (the least id that links reach), one row per input row.
 
     Two texts link if the Jaccard similarity of their sets of ``words``-word shingles is ``similarity`` or more.
-    Candidates are components of texts that share a key of minima and whose minima agree as often as ``similarity`` leads
-    one to expect, less five standard deviations; inside them all pairs count.  Nulls, texts without words, repeated
-    rows and empty tables are treated as in ``near_duplicates``.
+    Candidates share a key of minima and agree in their minima nearly as often as that leads one to expect; inside the
+    components of candidates all pairs count, by their exact sets.  A task holds at most two chunks, of ``block``
+    sketches or ``set_block`` shingles each.  Null texts count as empty; texts without words have equal, empty sets and
+    share a component; very long texts are read whole; repeated rows share theirs; null ids are never a component_id
+    unless a component has no other.  An empty table gives no rows; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys, sketches = [], [], []
+            nodes, keys, sketches, sizes = [], [], [], []
             for text in batch.column(1):
                 shingles = np.unique(shingle_hashes(text.as_py(), words))
                 found = minima(shingles)
                 nodes.append(set_node(shingles))
                 keys.append([set_node(np.append(row, np.uint64(i))) for i, row in enumerate(found.reshape(KEYS, ROWS))] if len(shingles) else [])
                 sketches.append((found & np.uint64(255)).astype(np.uint8).tobytes())
-            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "keys", "sketch"])
+                sizes.append(len(shingles))
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "keys", "sketch", "size"])
 
     def roots_of(nodes: DataFrame) -> DataFrame:
-        roots = components(_candidates(nodes, similarity)).withColumnRenamed("node", "at")
-        linked = cut(roots.join(nodes, roots["at"] == nodes["node"]).select("node", "root", "least"))
-        return _verified(linked, texts, words, similarity)
+        keyed = nodes.select("node", F.explode("keys").alias("grp"), F.lit(1).alias("w"))
+        found = grouped_links(keyed, nodes.select("node", F.col("sketch").alias("load")), near_sketches(similarity), block, 128)
+        roots = components(found).withColumnRenamed("node", "at")
+        linked = cut(roots.join(nodes, roots["at"] == nodes["node"]).select("node", F.col("root").alias("grp"), F.col("size").alias("w"), "least"))
+        # only texts that have a candidate are read again; ids may repeat or be null, so what counts is the node of the text
+        ids = linked.select(F.col("least").alias("id")).distinct()
+        ids = F.broadcast(ids) if linked.count() <= FEW else ids
+        sets = cut(_shingle_sets(texts.join(ids, texts["id"].eqNullSafe(ids["id"]), "left_semi").select("text"), words))
+        return components(grouped_links(linked.drop("least"), sets, near_sets(similarity), set_block, 16))
 
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    known = texts.mapInArrow(run, f"id {kind}, node long, keys array<long>, sketch binary")
+    known = texts.mapInArrow(run, f"id {kind}, node long, keys array<long>, sketch binary, size long")
     return _grouped(known, roots_of).select(F.col("id").alias(id_col), "component_id")

@@ -135,6 +135,7 @@ def test_near_copies(spark, docs, texts):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 1, 7: 0}
     assert simhash.near_copies(docs).count() == len(texts)
+    assert simhash.near_copies(docs.filter("false")).count() == 0
 
 
 def test_near_copies_equal_brute_force_jaccard(spark):
@@ -149,11 +150,32 @@ def test_near_copies_equal_brute_force_jaccard(spark):
     likeness = lambda a, b: len(a & b) / len(a | b)
     assert sum(0.7 <= likeness(sets[i], sets[i + 1]) < 0.8 for i in range(0, len(rows), 2)) > 5
     roots = plain_components(sets, lambda a, b: likeness(a, b) >= 0.8)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for sizes in ({}, {"block": 4, "set_block": 900}):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, **sizes).collect()}
+        assert [got[i] for i in range(len(rows))] == [roots.index(r) for r in roots]
+
+
+def test_near_copies_where_one_group_holds_a_third(spark):
+    """Copies and near copies of one text, repeats, nulls and empties among others, against all pairs."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(500)}" for _ in range(60)]
+    rows = [" ".join(base)] * 30
+    for _ in range(60):
+        words = base[:]
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(60)] = f"v{rng.randrange(500)}"
+        rows.append(" ".join(words))
+    rows += [None, "", " \n", "one two", "One  two", "one two three"] + [" ".join(f"u{rng.randrange(900)}" for _ in range(40)) for _ in range(150)]
+    rng.shuffle(rows)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in rows)]
+    roots = plain_components(sets, lambda a, b: not a and not b or len(a & b) / len(a | b) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("node", F.lit("own"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, block=16, set_block=500).collect()}
     assert [got[i] for i in range(len(rows))] == [roots.index(r) for r in roots]
 
 
-def test_jaccard_forest_equals_all_pairs():
+def test_grouped_links_of_sets_equal_all_pairs(spark):
     rng = np.random.default_rng(5)
     sets = [np.array([], dtype=np.uint64)]
     for _ in range(20):
@@ -162,8 +184,37 @@ def test_jaccard_forest_equals_all_pairs():
             sets.append(np.unique(np.concatenate([one[rng.random(len(one)) < rng.choice([0.8, 0.95, 1])], rng.integers(0, 2**60, rng.integers(0, 4), dtype=np.uint64)])))
     plain = [set(s.tolist()) for s in sets]
     want = plain_components(plain, lambda a, b: bool(a and b) and len(a & b) / len(a | b) >= 0.8)
-    got = simhash.jaccard_forest(sets, 0.8).tolist()
-    assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
+    loads = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, load binary")
+    keyed = spark.createDataFrame([(i % 2 if i < 8 else 7, i, len(s)) for i, s in enumerate(sets)], "grp long, node long, w long").union(spark.createDataFrame([(7, i, len(s)) for i, s in enumerate(sets[:8])], "grp long, node long, w long"))
+    for block in (1 << 19, 300):  # one chunk, and many
+        found = simhash.grouped_links(keyed, loads, simhash.near_sets(0.8), block, 3)
+        roots = {r["node"]: r["root"] for r in components.components(found).collect()}
+        got = [roots.get(i, i) for i in range(len(sets))]
+        assert len(set(zip(want, got, strict=True))) == len(set(want)) == len(set(got))
+
+
+def test_cells_are_made_of_pivot_distances(spark):
+    """Fingerprints with equal rows of the pivot table share all cells; neighbours within the radius share at least one."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(200):
+        a = rng.getrandbits(64)
+        rows += [(i, "a", a), (i, "b", a ^ sum(1 << b for b in rng.sample(range(64), 2)))]
+    df = spark.createDataFrame([(i, k, simhash._signed(x)) for i, k, x in rows], "i int, k string, fp long")
+    made = df.withColumn("pivots", simhash.pivots(F.col("fp"))).withColumn("cells", simhash.cells(F.col("pivots"), 2)).collect()
+    got = {(r["i"], r["k"]): r for r in made}
+    for i, k, x in rows:
+        assert got[i, k]["pivots"] == [(x ^ ref).bit_count() for ref in simhash.REFERENCES]
+    assert all(set(got[i, "a"]["cells"]) & set(got[i, "b"]["cells"]) for i in range(200))
+    assert len(simhash.REFERENCES) == len(set(simhash.REFERENCES)) == 50
+    zero = df.select(simhash.cells(F.array(*[F.lit(0)] * 50), 2).alias("c")).distinct()
+    assert zero.count() == 1  # the key is a function of the distances alone
+
+
+def test_components_raise_if_unsettled(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components.components(edges, rounds=1)
 
 
 def test_components_of_a_path(spark):
