@@ -108,9 +108,9 @@ ORACLES: dict[str, str] = {
         FROM p LEFT JOIN g ON p.html = g.html""",
     "op5_line_dedup": """
         WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-        totals AS (SELECT source, count(DISTINCT coalesce(text, '')) AS pages FROM d GROUP BY source),
-        held AS (SELECT DISTINCT source, coalesce(text, '') AS page, unnest(lines) AS line FROM d),
-        counts AS (SELECT source, line, count(*) AS n FROM held WHERE trim(line) <> '' GROUP BY source, line HAVING count(*) >= 5),
+        totals AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
+        held AS (SELECT source, unnest(list_distinct(lines)) AS line FROM d),
+        counts AS (SELECT source, line, count(*) AS n FROM held WHERE trim(line) <> '' GROUP BY source, line HAVING count(*) >= 2),
         bad AS (SELECT c.source, list(c.line) AS bad FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
                 WHERE c.n / t.pages > 0.02 GROUP BY c.source)
         SELECT d.doc_id, d.source, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(d.lines) END AS BIGINT) AS n_lines,

@@ -6,18 +6,20 @@ have equal anchors at equal places, so only places whose anchor another document
 1. each home (a group of documents) sends the distinct hashes of its anchors, by hash, and learns which are shared;
 2. it sends the distinct contexts of the shared ones (all strings with that anchor lie in one short context), with the
    least document that has each, so that a passage of very many documents is sent once a home;
-3. where an anchor has several contexts, the suffixes of its contexts that start a string are sorted.  Two suffixes are
-   compared by their common extension, found by binary search over prefix polynomial hashes, within a mergesort whose
-   equal results are verified byte by byte; classes of equal strings give the least document that has them;
+3. where an anchor has several contexts, the suffixes of its contexts that start a string are sorted, save those whose
+   hash occurs once.  Two suffixes are compared by their common extension, found by binary search over prefix polynomial
+   hashes, within a mergesort whose equal results are verified byte by byte; classes of equal strings give the least
+   document that has them.  An anchor with one context leaves nothing to sort;
 4. the homes get the answers and drop the bytes of strings which a smaller document has.
 
-Texts move once, to their homes; that exchange serves all three passes over them.
+Contexts are taken for equal, at home and where they meet, only after their bytes were compared.  Texts move once, to
+their homes; that exchange serves all three passes over them.  Homes and buckets hold about ``home_bytes`` of the input.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coverspark.llm.common import partitions, text_of
+from coverspark.llm.common import partitions, released, text_of
 
 GRAM = 16
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5], dtype=np.uint64)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _BASE = 0xD6E8FEB86659FD93
 
 
@@ -94,6 +96,47 @@ def contexts(data: np.ndarray, ends: np.ndarray, least: int) -> Iterator[tuple[n
         yield h[anchor[opens]], opens + start, closes + start, whole
 
 
+def whole_hashes(text: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The contexts' hashes, as ``contexts`` gives them, from their places and lengths."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    top = len(text) - 1
+    for j in range(int(length.max(initial=0))):
+        byte = text[np.minimum(at + j, top)].astype(np.uint64) + np.uint64(1)
+        out += np.where(j < length, byte * _UP[j], np.uint64(0))
+    return out
+
+
+def same_bytes(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the bytes at a and b, so many of them, are equal."""
+    out = np.empty(len(a), dtype=bool)
+    top = len(text) - 1
+    for start in range(0, len(a), 10_000):
+        some = slice(start, start + 10_000)
+        span = np.arange(int(length[some].max(initial=0)))
+        x, y = text[np.minimum(a[some, None] + span, top)], text[np.minimum(b[some, None] + span, top)]
+        out[some] = ((x == y) | (span >= length[some, None])).all(axis=1)
+    return out
+
+
+def verified_classes(text: np.ndarray, at: np.ndarray, length: np.ndarray, key: np.ndarray, whole: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the contexts in which equal ones follow each other, by ``last``, and where a class begins.
+
+    Equal hashes propose a class; members whose bytes differ from its first one's get a class of their own.
+    """
+    version = np.zeros(len(key), dtype=np.int64)
+    while True:
+        order = np.lexsort((last, version, whole, key))
+        k, w, v = key[order], whole[order], version[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1]) | (v[1:] != v[:-1])]) if len(k) else np.zeros(0, bool)
+        first = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(k) else order
+        other = np.flatnonzero(~new)
+        one, two = first[other], order[other]
+        differ = (length[one] != length[two]) | ~same_bytes(text, at[one], at[two], length[two])
+        if not differ.any():
+            return order, new
+        version[two[differ]] += 1
+
+
 class Suffixes:
     """Strings of ``least`` bytes of a text, compared through prefix polynomial hashes."""
 
@@ -179,6 +222,16 @@ def least_documents(text: np.ndarray, offset: np.ndarray, strings: np.ndarray, k
         return best
     suffixes = Suffixes(text, least)
     at = offset[ctx[order]] + nth[order]
+    # a string whose hash is the only one of its kind has no equal
+    found = (suffixes.sums[at + least] - suffixes.sums[at]) * suffixes.power[len(text) - at]
+    alike = np.lexsort((found, group))
+    f, g = found[alike], group[alike]
+    new = np.concatenate([[True], (f[1:] != f[:-1]) | (g[1:] != g[:-1])])
+    kind = np.cumsum(new) - 1
+    more = np.sort(alike[np.bincount(kind)[kind] > 1])
+    order, group, at = order[more], group[more], at[more]
+    if not len(order):
+        return best
     sorted_ = suffixes.sort(at, group)
     order, at, group = order[sorted_], at[sorted_], group[sorted_]
     new = np.concatenate([[True], (group[1:] != group[:-1]) | (suffixes.compare(at[:-1], at[1:]) != 0)])
@@ -218,17 +271,39 @@ def _join(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, kind)), np.array([len(p) for p in parts], dtype=np.int64)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, whole_characters: bool = False) -> DataFrame:
+def _tidy(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """``run``, with the memory of the group before it given back first."""
+
+    def wrapped(group: pa.Table) -> pa.Table:
+        released()
+        return run(group)
+
+    return wrapped
+
+
+def _tidy2(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def wrapped(one: pa.Table, two: pa.Table) -> pa.Table:
+        released()
+        return run(one, two)
+
+    return wrapped
+
+
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, whole_characters: bool = False, home_bytes: int = 32 << 20
+) -> DataFrame:
     """The input's columns plus n_bytes, n_removed, spans (start and end bytes of maximal removed runs) and kept (bytes).
 
     A byte goes if a string of ``least`` bytes that covers it also starts in a row with a smaller id; strings are
     judged on the input and never cross texts.  Null texts count as empty.  Rows that share an id don't remove each
     other; a null id counts as larger than all others.  With ``whole_characters`` a character goes if any of its bytes
     does, so that what is kept is text.  The order of rows doesn't matter and an empty table gives no
-    rows.  Input columns that are called n_bytes, n_removed, spans or kept are replaced.
+    rows.  A text is never cut, so a home holds ``home_bytes`` or one longer text.  Input columns that are called
+    n_bytes, n_removed, spans or kept are replaced.
     """
     spark = docs.sparkSession
-    parts = buckets = homes = partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
+    parts = buckets = homes = max(partitions(spark), -(-size // home_bytes))
     added = ("n_bytes", "n_removed", "spans", "kept")
     own = [c for c in docs.columns if c not in added]
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
@@ -256,7 +331,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         h = home["home"][0].as_py()
         return _table({"bucket": (used, pa.int32()), "home": ([h] * len(used), pa.int32()), "keys": ([ks[b] for b in used], pa.binary()), "several": ([fs[b] for b in used], pa.binary())})
 
-    sent = texts.groupBy("home").applyInArrow(hashed, "bucket int, home int, keys binary, several binary")
+    sent = texts.groupBy("home").applyInArrow(_tidy(hashed), "bucket int, home int, keys binary, several binary")
 
     def shared(group: pa.Table) -> pa.Table:
         keys, sizes = _join(group["keys"], "<u4")
@@ -274,11 +349,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         b = group["bucket"][0].as_py()
         return _table({"home": ([home[i] for i in used], pa.int32()), "bucket": ([b] * len(used), pa.int32()), "keys": ([blobs[i] for i in used], pa.binary())})
 
-    known = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(shared, "home int, bucket int, keys binary")
+    known = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_tidy(shared), "home int, bucket int, keys binary")
     known = known.repartition(parts, "home")
 
     def asked(home: pa.Table, cand: pa.Table) -> pa.Table:
-        names = {"bucket": pa.int32(), "home": pa.int32(), "key": pa.binary(), "whole": pa.binary(), "strings": pa.binary(), "low": pa.binary(), "high": pa.binary(), "text": pa.binary()}
+        names = {"bucket": pa.int32(), "home": pa.int32(), "key": pa.binary(), "at": pa.binary(), "strings": pa.binary(), "low": pa.binary(), "high": pa.binary(), "text": pa.binary()}
         if not home.num_rows or not cand.num_rows:
             return _table({k: ([], t) for k, t in names.items()})
         _, data, ends, ids = _home(home)
@@ -295,12 +370,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 store.append(values)
         key, first, last, whole, doc = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in got)
         # one of each distinct context, with the least and the greatest document that has it here
-        order = np.lexsort((doc, whole, key))
-        key, first, last, whole, doc = key[order], first[order], last[order], whole[order], doc[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])]) if len(key) else np.zeros(0, bool)
+        order, new = verified_classes(data, first, last - first + least, key, whole, doc)
+        key, first, last, doc = key[order], first[order], last[order], doc[order]
         at = np.flatnonzero(new)
         high = doc[np.append(at[1:], len(doc)) - 1] if len(at) else doc
-        key, first, last, whole, doc = key[at], first[at], last[at], whole[at], doc[at]
+        key, first, last, doc = key[at], first[at], last[at], doc[at]
         bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -311,18 +385,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if len(some):
                 rows["bucket"].append(b)
                 rows["home"].append(h)
-                for name, values in (("key", key), ("whole", whole), ("strings", (last - first + 1).astype("u1")), ("low", doc), ("high", high)):
+                for name, values in (("key", key), ("at", first.astype("<u4")), ("strings", (last - first + 1).astype("u1")), ("low", doc), ("high", high)):
                     rows[name].append(values[some].tobytes())
                 text = b"".join([raw[x : y + least] for x, y in zip(first[some].tolist(), last[some].tolist(), strict=True)])
                 rows["text"].append(zlib.compress(text, 1))
         return _table({k: (rows[k], t) for k, t in names.items()})
 
-    fields = "bucket int, home int, key binary, whole binary, strings binary, low binary, high binary, text binary"
-    asking = texts.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(asked, fields)
+    fields = "bucket int, home int, key binary, at binary, strings binary, low binary, high binary, text binary"
+    asking = texts.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(_tidy2(asked), fields)
 
     def answered(group: pa.Table) -> pa.Table:
         key, sizes = _join(group["key"], "<u8")
-        whole, _ = _join(group["whole"], "<u8")
+        place, _ = _join(group["at"], "<u4")
         strings = _join(group["strings"], "u1")[0].astype(np.int64)
         low, high = _join(group["low"], "<i8")[0], _join(group["high"], "<i8")[0]
         text = np.frombuffer(b"".join([zlib.decompress(b.as_buffer()) for b in group["text"].combine_chunks()]), dtype=np.uint8)
@@ -330,9 +404,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         length = strings + least - 1
         offset = np.cumsum(length) - length
         # contexts that are equal here and there count once
-        order = np.lexsort((whole, key))
-        k, w, n = key[order], whole[order], strings[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1]) | (n[1:] != n[:-1])]) if len(k) else np.zeros(0, bool)
+        order, new = verified_classes(text, offset, length, key, whole_hashes(text, offset, length), low)
         at, cls = np.flatnonzero(new), np.empty(len(order), dtype=np.int64)
         cls[order] = np.cumsum(new) - 1
         one = order[at]
@@ -361,13 +433,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         run = np.arange(len(rep)) - np.repeat(np.cumsum(per[cls]) - per[cls], per[cls]) + start[cls[rep]]
         use = who[run] < high[rep]
         rep, run = rep[use], run[use]
-        columns = {"key": key[rep], "whole": whole[rep], "first": a[run].astype("u1"), "last": b[run].astype("u1"), "doc": who[run]}
+        columns = {"key": key[rep], "at": place[rep], "strings": strings[rep].astype("u1"), "first": a[run].astype("u1"), "last": b[run].astype("u1"), "doc": who[run]}
         made = {k: _blobs(v, source[rep], len(sizes)) for k, v in columns.items()}
         used = [i for i in range(len(sizes)) if made["key"][i]]
         home = group["home"].to_pylist()
         return _table({"home": ([home[i] for i in used], pa.int32())} | {k: ([v[i] for i in used], pa.binary()) for k, v in made.items()})
 
-    answers = asking.repartition(parts, "bucket").groupBy("bucket").applyInArrow(answered, "home int, key binary, whole binary, first binary, last binary, doc binary")
+    answers = asking.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_tidy(answered), "home int, key binary, at binary, strings binary, first binary, last binary, doc binary")
     answers = answers.repartition(parts, "home")
     out_fields = T.StructType([base.schema["row"], *T.StructType.fromDDL("n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")])
 
@@ -378,21 +450,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         order, data, ends, ids = _home(home)
         gone = np.zeros(len(data) + 1, dtype=np.int32)
         if reply.num_rows:
-            key, whole = _join(reply["key"], "<u8")[0], _join(reply["whole"], "<u8")[0]
+            key, place = _join(reply["key"], "<u8")[0], _join(reply["at"], "<u4")[0].astype(np.int64)
+            length = _join(reply["strings"], "u1")[0].astype(np.int64) + least - 1
+            whole = whole_hashes(data, place, length)
             a, b = _join(reply["first"], "u1")[0].astype(np.int64), _join(reply["last"], "u1")[0].astype(np.int64)
             who = _join(reply["doc"], "<i8")[0]
             mix = lambda k, w: k ^ (w * _C[0])
             name = mix(key, whole)
             sort = np.argsort(name, kind="stable")
-            name, key, whole, a, b, who = name[sort], key[sort], whole[sort], a[sort], b[sort], who[sort]
-            for k, first, _, w in contexts(data, ends, least):
+            name, place, length, a, b, who = name[sort], place[sort], length[sort], a[sort], b[sort], who[sort]
+            for k, first, last, w in contexts(data, ends, least):
                 m = mix(k, w)
                 lo, hi = np.searchsorted(name, m, side="left"), np.searchsorted(name, m, side="right")
                 n = hi - lo
                 rep = np.repeat(np.arange(len(k)), n)
                 at = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n) + lo[rep]
                 doc = ids[np.searchsorted(ends, first[rep], side="right")]
-                use = (who[at] < doc) & (key[at] == k[rep]) & (whole[at] == w[rep])
+                use = (who[at] < doc) & (length[at] == (last - first + least)[rep])
+                rep, at = rep[use], at[use]
+                use = same_bytes(data, place[at], first[rep], length[at])
                 rep, at = rep[use], at[use]
                 np.add.at(gone, first[rep] + a[at], 1)
                 np.add.at(gone, first[rep] + b[at] - 1 + least, -1)
@@ -411,7 +487,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = home["row"].take(pa.array(order))
         return pa.table({"row": rows, "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(counts, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
 
-    out = texts.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(removed, out_fields)
+    out = texts.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(_tidy2(removed), out_fields)
     return out.select(*[F.col("row").getField(c).alias(c) for c in own], *added)
 
 

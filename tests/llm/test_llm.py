@@ -304,6 +304,38 @@ def test_suffix_dedup_on_periodic_texts(spark):
     assert got == {i: bytes(np.frombuffer(b, np.uint8)[~m]) for i, b, m in plain_repeats(rows, 50)}
 
 
+def test_equal_hashes_do_not_make_contexts_equal():
+    """Every key and hash collides; only the bytes tell contexts apart."""
+    rng = np.random.default_rng(1)
+    text = rng.integers(97, 99, 400).astype(np.uint8)
+    at = rng.integers(0, 390, 200)
+    length = rng.integers(4, 8, 200)
+    doc = rng.integers(0, 50, 200)
+    zero = np.zeros(200, dtype=np.uint64)
+    order, new = suffix_dedup.verified_classes(text, at, length, zero, zero, doc)
+    cls = np.empty(200, dtype=int)
+    cls[order] = np.cumsum(new) - 1
+    raw = [text[a : a + n].tobytes() for a, n in zip(at, length, strict=True)]
+    assert len(set(zip(cls.tolist(), raw, strict=True))) == len(set(raw)) == cls.max() + 1
+    assert all(doc[order[k]] <= doc[order[k + 1]] for k in range(199) if not new[k + 1])
+
+
+def test_context_hashes_can_be_found_again():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 123, 5000).astype(np.uint8)
+    for _, first, last, whole in suffix_dedup.contexts(data, np.array([2000, 2040, 5000]), 50):
+        assert (suffix_dedup.whole_hashes(data, first, last - first + 50) == whole).all()
+
+
+def test_suffix_dedup_with_more_homes_than_partitions(spark):
+    rng = random.Random(3)
+    passages = [sentence(rng, 14) for _ in range(6)]
+    rows = [(i, sentence(rng, 6) + rng.choice(passages) + sentence(rng, 6) + rng.choice(passages)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: int(m.sum()) for i, _, m in plain_repeats(rows, 50)}
+    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df, home_bytes=400).collect()} == want
+
+
 def test_suffix_sort_equals_sorting():
     rng = np.random.default_rng(0)
     text = rng.integers(97, 99, 3000).astype(np.uint8)
@@ -322,14 +354,25 @@ def test_line_dedup(spark, docs, empty, texts):
     rows = [(i, "h1" if i < 40 else "h2", "\n".join([sentence(rng, 5), "Menu", "", sentence(rng, 5)] if i % 2 else [sentence(rng, 4), "Once"])) for i in range(60)]
     rows += [(60, "h1", "Rare\nMenu"), (61, None, "Menu\nalone"), (62, "h1", None)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("lines", F.lit("mine"))
-    got = {r["doc_id"]: r for r in line_dedup.drop_site_lines(df, max_ratio=0.3).collect()}
-    assert "Menu" not in got[1]["text"] and got[1]["n_dropped"] == 1 and got[1]["n_lines"] == 4 and got[1]["lines"] == "mine"
-    assert "\n\n" in got[1]["text"]
-    assert got[60]["text"] == "Rare" and got[61]["text"] == "Menu\nalone" and got[62]["text"] is None
-    assert line_dedup.drop_site_lines(docs).count() == len(texts)
+    for more in ({}, {"few": 0}):  # sent whole, and joined
+        got = {r["doc_id"]: r for r in line_dedup.drop_site_lines(df, max_ratio=0.3, **more).collect()}
+        assert "Menu" not in got[1]["text"] and got[1]["n_dropped"] == 1 and got[1]["n_lines"] == 4 and got[1]["lines"] == "mine"
+        assert "\n\n" in got[1]["text"]
+        assert got[60]["text"] == "Rare" and got[61]["text"] == "Menu\nalone" and got[62]["text"] is None
+        assert line_dedup.drop_site_lines(docs, **more).count() == len(texts)
     assert line_dedup.drop_site_lines(empty).count() == 0
 
 
+def test_line_dedup_counts_pages(spark):
+    """A page of which a third of its host are copies: its lines are boilerplate, unless pages of one text count once."""
+    rows = [(i, "h", f"one {i}\ntwo {i}") for i in range(40)] + [(100 + i, "h", "copied\ntext") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_site_lines(df, max_ratio=0.3).collect()}
+    assert got[100] == "" and got[1] == "one 1\ntwo 1"
+    once = {r["doc_id"]: r["text"] for r in line_dedup.drop_site_lines(df, max_ratio=0.3, distinct_pages=True).collect()}
+    assert once == {i: t for i, _, t in rows}
+
+
 def test_sharding(docs, empty, texts, spark):
     for df, n, shards in ((docs, len(texts), 4), (spark.range(5000).select(F.col("id").alias("doc_id"), F.expr("if(id % 3 = 0, 'same', repeat('x', int(id % 97)))").alias("text")), 5000, 24)):
         got = sharding.shard(df, shards).collect()
@@ -443,7 +486,9 @@ def test_quality(spark, docs, empty, texts):
     assert sum(r["predicted"] == int(r["doc_id"] % 3 > 0) for r in held) / len(held) > 0.97
     edge = quality.score_quality(docs, labels)
     assert edge.count() == len(texts) and "own key" in {r["key"] for r in edge.collect()}
-    assert quality.score_quality(docs, labels.filter("false")).agg(F.min("score")).first()[0] > 0.99
+    spread = lambda kept, **more: quality.score_quality(docs, labels.filter(kept), **more).agg(F.min("score"), F.max("score")).first()
+    assert tuple(spread("false")) == pytest.approx((0.5, 0.5)) and min(spread("false", prior=1.0)) > 0.99
+    assert max(spread("quality = 0")) < 0.1 and min(spread("quality = 1")) > 0.9  # few of these texts are labelled
     assert quality.score_quality(empty, labels).count() == 0
 
 
