@@ -249,7 +249,7 @@ def _home(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     texts = table["text"].combine_chunks()
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
     ids = table["id"].to_numpy(zero_copy_only=False).astype(np.int64)
-    raw = [t.as_buffer().to_pybytes() for t in texts]
+    raw = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts]
     order = sorted(range(len(raw)), key=lambda i: (ids[i], raw[i]))
     data = np.frombuffer(b"".join([raw[i] for i in order]), dtype=np.uint8)
     ends = np.cumsum([len(raw[i]) for i in order])
@@ -290,7 +290,7 @@ def _tidy2(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table,
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, whole_characters: bool = False, home_bytes: int = 32 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, whole_characters: bool = False, home_bytes: int = 12 << 20
 ) -> DataFrame:
     """The input's columns plus n_bytes, n_removed, spans (start and end bytes of maximal removed runs) and kept (bytes).
 
@@ -306,9 +306,10 @@ def remove_repeats(
     parts = buckets = homes = max(partitions(spark), -(-size // home_bytes))
     added = ("n_bytes", "n_removed", "spans", "kept")
     own = [c for c in docs.columns if c not in added]
+    beside = F.struct(*[c for c in own if c != text_col]) if len(own) > 1 else F.struct(F.lit(0).alias("none"))
     number = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    base = docs.select(number.alias("id"), text_of(text_col).cast("binary").alias("text"), F.struct(*own).alias("row"))
-    base = base.withColumn("home", F.pmod(F.xxhash64("id", "text"), F.lit(homes)).cast("int"))
+    base = docs.select(number.alias("id"), F.col(text_col).cast("binary").alias("text"), beside.alias("row"))
+    base = base.withColumn("home", F.pmod(F.xxhash64("id", text_of("text").cast("binary")), F.lit(homes)).cast("int"))
     texts = base.repartition(parts, "home")
 
     def hashed(home: pa.Table) -> pa.Table:
@@ -441,12 +442,12 @@ def remove_repeats(
 
     answers = asking.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_tidy(answered), "home int, key binary, at binary, strings binary, first binary, last binary, doc binary")
     answers = answers.repartition(parts, "home")
-    out_fields = T.StructType([base.schema["row"], *T.StructType.fromDDL("n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")])
+    out_fields = T.StructType([base.schema["row"], base.schema["text"], *T.StructType.fromDDL("n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")])
 
     def removed(home: pa.Table, reply: pa.Table) -> pa.Table:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         if not home.num_rows:
-            return pa.table({"row": home["row"], "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "spans": pa.array([], span), "kept": pa.array([], pa.binary())})
+            return pa.table({"row": home["row"], "text": home["text"], "n_bytes": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "spans": pa.array([], span), "kept": pa.array([], pa.binary())})
         order, data, ends, ids = _home(home)
         gone = np.zeros(len(data) + 1, dtype=np.int32)
         if reply.num_rows:
@@ -484,11 +485,12 @@ def remove_repeats(
             sizes.append(end - begin)
             counts.append(int(m.sum()))
             kept.append(data[begin:end][~m].tobytes())
-        rows = home["row"].take(pa.array(order))
-        return pa.table({"row": rows, "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(counts, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
+        taken = home.select(["row", "text"]).take(pa.array(order))
+        out = pa.table({"row": taken["row"], "text": taken["text"], "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(counts, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
+        return pa.Table.from_batches(out.to_batches(max_chunksize=256))  # Spark reads batch by batch
 
     out = texts.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(_tidy2(removed), out_fields)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in own], *added)
+    return out.select(*[(F.col("text").cast("string") if c == text_col else F.col("row").getField(c)).alias(c) for c in own], *added)
 
 
 def _in_slices(text: np.ndarray, offset: np.ndarray, strings: np.ndarray, key: np.ndarray, doc: np.ndarray, least: int, most: int = 400_000) -> np.ndarray:
