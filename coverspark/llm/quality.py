@@ -235,9 +235,10 @@ def score_quality(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, fitted = shared.value
         for batch in batches:
-            texts = batch.column(0).field(at).fill_null("")
-            scores = fitted.probability(pooled(texts, known).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["row", "score"])
+            for start in range(0, batch.num_rows, 512):
+                some = batch.column(0).slice(start, 512)
+                scores = fitted.probability(pooled(some.field(at).fill_null(""), known).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([some, pa.array(scores, pa.float64())], ["row", "score"])
 
     scored = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
     return scored.select(
