@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coverspark.llm.common import tidy
+
 #: Stands for the word-end suffix inside the automaton; byte-level characters never include it.
 END = "\x01"
 
@@ -32,26 +34,46 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _runs(kind: str) -> list[tuple[int, int]]:
+    """Ranges of the code points that the library's own patterns take for a letter (L) or a number (N)."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    split = Split(Regex(rf"\p{{{kind}}}+"), "removed", invert=True)
+    plain = [*range(0xD800), *range(0xE000, 0x110000)]
+    found = []
+    for at in range(0, len(plain), 1 << 16):
+        some = plain[at : at + (1 << 16)]
+        for _, (a, b) in split.pre_tokenize_str("".join(map(chr, some))):
+            cuts = [a, *[i for i in range(a + 1, b) if some[i] != some[i - 1] + 1], b]
+            found += [(some[x], some[y - 1]) for x, y in zip(cuts, cuts[1:], strict=False)]
+    return found
+
+
 @lru_cache(maxsize=1)
 def word_pattern() -> re.Pattern:
     """The vocabulary's splitting pattern: contractions, runs of letters, single numbers, runs of anything else.
 
-    Letters and numbers are spelled out from the Unicode data of this Python, which is nearer to the library's than
-    that of the regex module.
+    Letters and numbers are spelled out as the tokenizers library has them, since Unicode versions differ.
     """
-    kinds: dict[str, list[list[int]]] = {"L": [], "N": []}
-    for c in range(0x110000):
-        held = kinds.get(unicodedata.category(chr(c))[0])
-        if held is not None:
-            if held and held[-1][1] == c - 1:
-                held[-1][1] = c
-            else:
-                held.append([c, c])
-    letters, numbers = ("".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in kinds[k]) for k in "LN")
+    letters, numbers = ("".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _runs(k)) for k in "LN")
     white = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+")
 
 
+@lru_cache(maxsize=1)
+def unknown_characters() -> re.Pattern:
+    """Characters that this Python's Unicode data has not assigned; the library may know them."""
+    runs: list[list[int]] = []
+    for c in range(0x110000):
+        if unicodedata.category(chr(c)) == "Cn":
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "]")
+
+
 class PrefixBpe:
     """Encoder and decoder for one vocabulary file."""
 
@@ -75,7 +97,8 @@ class PrefixBpe:
         for t in self.id_of:
             self.suffixes.add_word(t, (t, len(t)))
         self.suffixes.make_automaton()
-        self.words = word_pattern().findall
+        self.words, self.unknown = word_pattern().findall, unknown_characters().search
+        self.path = path
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.chars = byte_characters()
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -151,8 +174,11 @@ class PrefixBpe:
         return found
 
     def _plain(self, text: str) -> tuple[str, str]:
-        # one character at a time, so the form of sigma at a word's end is not used
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if not text.isascii() and self.unknown(text):
+            text = _normalizer(self.path).normalize_str(text)
+        else:
+            # one character at a time, so the form of sigma at a word's end is not used
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, but not to the pattern
             pieces = self.words(text)
         else:
@@ -175,6 +201,13 @@ class PrefixBpe:
         return " ".join(self.shown[i] for i in ids if i in self.shown)
 
 
+@lru_cache(maxsize=4)
+def _normalizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).normalizer
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> PrefixBpe:
     return PrefixBpe(path)
@@ -184,11 +217,12 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """id, n_tokens, ids (decimal, joined by spaces) and decoded of every whole text.
 
     ``path`` is the vocabulary file, readable on every executor.  Null and empty texts, and texts without any word,
-    have no ids and decode to the empty string.  Rows are independent: repeated rows and null ids give a row each, and
-    extra columns are not read.
+    have no ids and decode to the empty string; very long texts are encoded whole.  Rows are independent: repeated rows
+    and null ids give a row each, an empty table gives none, and extra columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
