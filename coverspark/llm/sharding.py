@@ -27,11 +27,18 @@ def _between(low: str, high: str, n: int) -> list[str]:
     return sorted({f"{a + (b - a) * i // (n + 1) + 1:032X}" for i in range(n + 1)} & {f"{x:032X}" for x in range(a + 1, b + 1)} if b - a <= n else {f"{a + (b - a) * i // (n + 1):032X}" for i in range(1, n + 1)})
 
 
-def splitters(keys: DataFrame, shards: int, tolerance: float = 0.002, probes: int = 15, rounds: int = 40) -> tuple[list[str], list[tuple[str, int]]]:
+#: Most boundaries that rows are dealt by; they are part of the plan.
+BOUNDS = 20_000
+
+
+def splitters(
+    keys: DataFrame, shards: int, tolerance: float = 0.002, probes: int = 15, most: int | None = None, rounds: int = 150
+) -> tuple[list[str], list[tuple[str, int]]]:
     """Keys that open shards 1 to ``shards - 1`` and every boundary probed, with the exact number of rows below it.
 
     ``keys`` has key (32 hex digits) and size.  A splitter is settled when the bytes below it are within
-    ``tolerance`` of a shard's share, or when no other key lies between it and the target.
+    ``tolerance`` of a shard's share, or when no other key lies between it and the target.  What lies between two
+    boundaries is probed further while it has more than ``most`` rows of more than one key.
     """
     below: dict[str, tuple[int, int]] = {}
     total = keys.agg(F.sum("size"), F.count("*"), F.min("key"), F.max("key")).first()
@@ -39,10 +46,10 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = 0.002, probes: in
     if not rows:
         return [], []
     targets = [size * s / shards for s in range(1, shards)]
-    gaps = {(low, high): targets}  # each gap: keys from low to high, of which some boundary should meet the targets
+    gaps = {(low, high): probes * max(1, len(targets))}  # keys from low to high between which so many boundaries are probed
     chosen: dict[float, str] = {}
     for _ in range(rounds):
-        new = sorted({p for a, b in gaps for p in _between(a, b, probes * max(1, len(gaps[a, b])))} - set(below))
+        new = sorted({p for (a, b), n in gaps.items() for p in _between(a, b, n)} - set(below))
         if not new:
             break
         bounds = sorted([*below, *new])
@@ -50,22 +57,26 @@ def splitters(keys: DataFrame, shards: int, tolerance: float = 0.002, probes: in
         found = {r["b"]: r for r in found.agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()}
         s = n = 0
         inside: list[tuple[str, str] | None] = []
+        gaps = {}
         for i in range(len(bounds) + 1):
             if i:
                 below[bounds[i - 1]] = (s, n)
             r = found.get(i)
             inside.append((r["lo"], r["hi"]) if r else None)
+            if r and most and r["n"] > most and r["lo"] < r["hi"]:
+                gaps[inside[-1]] = -(-2 * r["n"] // most)
             s, n = s + (r["s"] if r else 0), n + (r["n"] if r else 0)
         sums = [below[b][0] for b in bounds]
-        gaps = {}
         for t in targets:
             i = bisect_left(sums, t)  # the gap before boundary i holds the target
             near = min((abs(below[b][0] - t), b) for b in bounds[max(0, i - 1) : i + 1])
             chosen[t] = near[1]
             if near[0] > tolerance * size / shards and inside[i] and inside[i][0] < inside[i][1]:
-                gaps.setdefault(inside[i], []).append(t)
+                gaps[inside[i]] = gaps.get(inside[i], 0) + probes
         if not gaps:
             break
+    else:
+        raise RuntimeError(f"splitters did not settle in {rounds} rounds")
     return [chosen[t] for t in targets if t in chosen], [(b, below[b][1]) for b in sorted(below)]
 
 
@@ -73,13 +84,15 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     """The input's rows and columns plus size (UTF-8 bytes and 8), shard (0 to ``shards - 1``) and slot.
 
     Shards have near equal sums of size; slots are gapless from 0 in each shard, in key order.  Null text has no
-    bytes, a null id sorts as zero; repeated rows get slots of their own.  An empty table gives no rows.  Input columns
-    that are called size, shard or slot are replaced; other extra columns pass unchanged.
+    bytes, a null id sorts as zero; repeated rows get slots of their own, and all rows of one text and id are ranked in
+    one task.  Very long texts stay whole.  An empty table gives no rows.  Input columns that are called size, shard or
+    slot are replaced; other extra columns pass unchanged.
     """
     spark = docs.sparkSession
     size = (F.octet_length(text_of(text_col)) + 8).cast("long")
     keys = cut(docs.select(_key(id_col, text_col).alias("key"), size.alias("size")))
-    opening, bounds = splitters(keys, shards, tolerance, probes=max(15, -(-4 * partitions(spark) // shards)))
+    parts = min(4 * partitions(spark), BOUNDS // 4)
+    opening, bounds = splitters(keys, shards, tolerance, max(15, -(-parts // shards)), -(-2 * keys.count() // parts))
     names = [b for b, _ in bounds]
     counts = [0, *(n for _, n in bounds)]
     opens = sorted(bisect_left(names, k) + 1 for k in opening)  # the first part of shards 1, 2, ...
