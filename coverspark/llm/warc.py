@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coverspark.llm.common import cut, shared_dir, text_of
+from coverspark.llm.common import batches_of, cut, shared_dir, text_of, tidy
 
 END = "\r\n\r\n"
 FIELDS = "page_id string, record_type string, refers_to string, digest string, payload_bytes long, urlkey string, ts string, file string, at long, length long"
@@ -48,7 +49,8 @@ def write_archives(
 
     Of rows with equal payloads of at least ``least`` bytes the one with the greatest id is the response; the others
     are revisits without payload.  Null payloads are empty.  Line breaks in a URL become spaces; a null URL or id is
-    written as ``-``.  Capture times follow the ids, a second each, from the year 2000 on; rows that repeat an id are
+    written as ``-``.  Very long payloads are written whole, an empty table gives an empty folder, and extra columns
+    are not read.  Capture times follow the ids, a second each, from the year 2000 on; rows that repeat an id are
     all responses if that id is the greatest.
     """
     spark = pages.sparkSession
@@ -132,6 +134,7 @@ class LoserTree:
 def read_runs(spark, folder: str) -> DataFrame:
     """An entry for every record, sorted within each file by URL key, time and page; with the payload as read."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha1
 
@@ -158,36 +161,46 @@ def read_runs(spark, folder: str) -> DataFrame:
 
 
 def histories(entries: DataFrame, range_entries: int = 20_000) -> DataFrame:
-    """Entries with ``position``: their place (range, then rank in it) in the order of URL key, timestamp and page.
+    """Entries with ``position``: their place, gapless from 0, in the order of URL key, timestamp and page.
 
     The ranges' bounds are quantiles of the entries' own keys, page included, so a URL with very many captures is
-    spread over ranges; each file's run is cut at them, and the pieces of a range are merged by a loser tree.
+    spread over ranges; each file's run is cut at them, the exchange keeps the order of its pieces, and the pieces of a
+    range are merged by a loser tree.  A piece is sorted again only if it should have arrived out of order.
     """
+    names = [f.split()[0] for f in FIELDS.split(", ")]
     page = F.lpad(F.coalesce("page_id", F.lit("")), 20, "0")
     entries = cut(entries.withColumn("order", F.concat_ws("\0", "urlkey", "ts", page)))
     n = entries.count() // range_entries + 1
-    ranged = entries.repartitionByRange(n, "order").withColumn("range", F.spark_partition_id())
-    pieces = ranged.select("range", F.struct("order", *[f.split()[0] for f in FIELDS.split(", ")]).alias("e"))
+    ranged = cut(entries.repartitionByRange(n, "order").withColumn("range", F.spark_partition_id().cast("long")))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    pieces = ranged.select("range", F.struct("order", *names).alias("e"))
 
+    @tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[str, list[tuple]] = {}
         index = 0
         for batch in batches:
             for index, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 runs.setdefault(e["file"], []).append(tuple(e.values()))
-        pieces = [sorted(r, key=lambda x: x[0]) for r in runs.values()]  # a piece arrives in blocks of one sorted run
+        pieces = [r if all(a[0] <= b[0] for a, b in pairwise(r)) else sorted(r, key=lambda x: x[0]) for r in runs.values()]
         rows = [(index, k, *x[1:]) for k, x in enumerate(LoserTree(pieces))] if pieces else []
         for start in range(0, len(rows), 5000):
             kinds = [pa.int64(), pa.int64()] + [pa.string()] * 4 + [pa.int64()] + [pa.string()] * 3 + [pa.int64()] * 2
             columns = zip(*rows[start : start + 5000], strict=True)
-            names = ["range", "rank", *[f.split()[0] for f in FIELDS.split(", ")]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["range", "rank", *names])
 
-    out = pieces.mapInArrow(merge, f"range long, rank long, {FIELDS}")
-    return out.withColumn("position", F.struct("range", "rank")).drop("range", "rank")
+    merged = pieces.mapInArrow(merge, f"range long, rank long, {FIELDS}")
+    return merged.join(starts, "range").withColumn("position", F.col("start") + F.col("rank")).drop("range", "rank", "start")
 
 
 def capture_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000) -> DataFrame:
-    """Write the pages' archives, read them back and merge their indexes; one row per page, as ``histories`` gives them."""
+    """Write the pages' archives, read them back and merge their indexes; one row per page, as ``histories`` gives them.
+
+    Null payloads are empty, null ids and URLs are read back as null and ``-``, very long payloads are records of their
+    own files, repeated rows are records each, an empty table gives no rows, and extra columns are not read.
+    """
     folder = write_archives(pages, id_col, url_col, payload_col, least)
-    return histories(read_runs(pages.sparkSession, folder))
+    with batches_of(pages.sparkSession, 1):  # a file each
+        runs = cut(read_runs(pages.sparkSession, folder))
+    return histories(runs)
