@@ -30,6 +30,8 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("edited_tree.root").alias("edited_fingerprint"),
         "near_edited",
         "near_next",
+        F.size("edited_tree.sections").cast("long").alias("n_sections"),
+        F.array_join(F.transform("edited_sections", lambda i: i.cast("string")), ",").alias("edited_sections"),
     )
 
 
@@ -77,7 +79,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = capture_index(table(spark, sf_dir, "pages"))
     number = lambda c: F.col(c).cast("long")
-    return out.select(number("page_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    return out.select(number("page_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"), "urlkey", "ts", "position")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,13 +101,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op9_warc": """
+    "op9_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        u AS (SELECT page_id, lower(trim(coalesce(url, '-'))) AS url FROM pages),
+        v AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.', '') AS host,
+                  regexp_replace(regexp_replace(url, '^[a-z][a-z0-9+.-]*://[^/?#]*', ''), '#.*$', '') AS rest FROM u),
+        w AS (SELECT page_id, array_to_string(list_reverse(string_split(host, '.')), ',') || ')'
+                  || coalesce(nullif(regexp_extract(rest, '^[^?]*', 0), ''), '/') || regexp_extract(rest, '\?.+$', 0) AS urlkey,
+                  strftime(make_timestamp((946684800 + page_id) * 1000000), '%Y%m%d%H%M%S') AS ts FROM v),
+        k AS (SELECT *, row_number() OVER (ORDER BY urlkey, ts, page_id) - 1 AS position FROM w),
         g AS (SELECT html, max(page_id) AS response FROM p WHERE strlen(html) >= 1000 GROUP BY html)
         SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
             CASE WHEN g.response <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-            CASE WHEN g.response <> p.page_id THEN g.response END AS refers_to
-        FROM p LEFT JOIN g ON p.html = g.html""",
+            CASE WHEN g.response <> p.page_id THEN g.response END AS refers_to, k.urlkey, k.ts, k.position
+        FROM p JOIN k ON p.page_id = k.page_id LEFT JOIN g ON p.html = g.html""",
     "op5_line_dedup": """
         WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         totals AS (SELECT source, count(*) AS pages FROM d GROUP BY source),
@@ -140,6 +149,8 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
             sha256(array_to_string(sa, ',')) AS fingerprint, sha256(array_to_string(sb, ',')) AS edited_fingerprint,
             CASE WHEN len(la) + len(lb) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(la, lb)) / (len(la) + len(lb)) END AS near_edited,
-            CASE WHEN len(la) + len(c) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(la, c)) / (len(la) + len(c)) END AS near_next
+            CASE WHEN len(la) + len(c) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(la, c)) / (len(la) + len(c)) END AS near_next,
+            CAST(len(sb) AS BIGINT) AS n_sections,
+            array_to_string(list_filter(range(len(sb)), lambda i: NOT list_contains(sa, sb[i + 1])), ',') AS edited_sections
         FROM r""",
 }

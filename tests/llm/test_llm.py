@@ -1,6 +1,7 @@
 """Each operator against a plain version, on small tables with nulls, empties, ties, repeats and clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -391,6 +392,20 @@ def test_sharding(docs, empty, texts, spark):
     assert len(sizes) == 3 and max(sizes) - min(sizes) <= 10
 
 
+def test_sharding_splits_a_text_that_a_third_of_the_rows_share(spark):
+    """What lies between two boundaries has a bounded number of rows, copies of one text too."""
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.expr("if(id % 3 = 0, 'same', concat('text', id))").alias("text"))
+    keys = docs.select(sharding._key("doc_id", "text").alias("key"), (F.octet_length("text") + 8).cast("long").alias("size"))
+    _, bounds = sharding.splitters(keys, 3, most=500)
+    counts = [0, *(n for _, n in bounds), 9000]
+    assert max(b - a for a, b in zip(counts, counts[1:], strict=False)) <= 500
+    got = sharding.shard(docs, 3).collect()
+    for k in range(3):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
+    with pytest.raises(RuntimeError):
+        sharding.splitters(keys, 3, tolerance=0.0001, probes=1, rounds=1)
+
+
 def test_exact_dedup(docs, empty, texts):
     norm = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in texts]
     want = []
@@ -434,10 +449,33 @@ def test_byte_ids_equal_the_tokenizers_library():
     path = common.vocabulary("byte_bpe_50k.json")
     tok, mine = Tokenizer.from_file(path), packing.byte_tokenizer(path)
     rng = random.Random(5)
-    alphabet = "abc ABC  \n\t.,'s \x1c\x85é漢😀<|endoftext|>1²"
-    for _ in range(2000):
-        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
-        assert mine.encode(t, allowed_special="all") == tok.encode(t, add_special_tokens=False).ids
+    alphabet = "abc ABC  \n\t.,'s \x1c\x85é漢😀<|endoftext|>1²"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    space, lines = " " * 1500, "\n" * 1200
+    texts += [space, space + "a", space + "\n a", lines + "b" + space, "x" + space + "<|endoftext|>" + lines + " y", space + "\u3000z", "a" + lines + space + "'s 12" + space, "\x1c" * 1500 + "a"]
+    texts += [c * 100_000 + "x" for c in (" ", "\n", "\t ", "a", "é", "漢", "1", "!", "\u0301")]
+    for t in texts:
+        assert mine.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "a", "!", "\u0301"])
+def test_ten_megabytes_of_one_character_are_packed(spark, unit):
+    n = 10_000_000 // len(unit.encode())
+    path = common.vocabulary("byte_bpe_50k.json")
+    got = packing.pack(spark.createDataFrame([(1, unit * n)], "doc_id long, text string"), path).agg(F.sum("length"), F.max("doc_tokens")).first()
+    whole = b"".join(packing.byte_tokenizer(path).ranks.decode_single_token_bytes(int(i)) for i in packing.byte_tokenizer(path).encode(unit * n))
+    assert whole == (unit * n).encode() and got[0] == got[1] == len(packing.byte_tokenizer(path).encode(unit * n)) + 1
+
+
+def test_bpe_knows_the_characters_that_the_library_knows():
+    from tokenizers import Tokenizer
+
+    path = common.vocabulary("word_bpe_49k.json")
+    tok, mine = Tokenizer.from_file(path), bpe.encoder(path)
+    plain = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(plain), 500):
+        t = " x".join(chr(c) + "a" for c in plain[at : at + 500])
+        assert mine.encode(t)[0] == " ".join(map(str, tok.encode(t, add_special_tokens=False).ids))
 
 
 def test_warc(spark):
@@ -461,10 +499,18 @@ def test_warc(spark):
         assert sorted(((r["page_id"], r["payload_bytes"], r["digest"], r["record_type"], r["refers_to"]) for r in got), key=str) == sorted(want, key=str)
         keys = [(r["urlkey"], r["ts"]) for r in got]
         assert keys == sorted(keys)
+        assert [r["position"] for r in got] == list(range(len(rows)))
     assert warc.capture_index(df.filter("false")).count() == 0
     assert warc.url_key("http://www.Example.org:80/A?b=1") == "org,example)/a?b=1"
 
 
+def test_warc_with_a_large_page(spark):
+    rows = [(1, "http://a.example/", "x" * 20_000_000), (2, "http://a.example/", "x" * 20_000_000), (3, None, "y")]
+    got = {r["page_id"]: r for r in warc.capture_index(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k]["record_type"] for k in "123"] == ["revisit", "response", "response"]
+    assert got["1"]["payload_bytes"] == got["2"]["payload_bytes"] == 20_000_000 and got["1"]["digest"] == hashlib.sha1(b"x" * 20_000_000).hexdigest()
+
+
 def test_loser_tree():
     rng = random.Random(2)
     for k in (0, 1, 2, 3, 5, 8, 13):
@@ -495,3 +541,83 @@ def test_quality(spark, docs, empty, texts):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_its_sql(name, same_rows):
     same_rows(queries.QUERIES[name], queries.ORACLES[name])
+
+
+def read(spark, sf_dir, name):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select("doc_id", "text").collect()}
+
+
+def test_op2_equals_brute_force(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op2_simhash(spark, sf_dir).collect()}
+    ids = sorted(docs)
+    fps = [plain_simhash(docs[i], 3) for i in ids]
+    roots = plain_components(fps, lambda a, b: (a ^ b).bit_count() <= 2)
+    least = {}
+    for i, r in zip(ids, roots, strict=True):
+        least.setdefault(r, i)
+    assert got == {i: (f"{f:016x}", least[r]) for i, f, r in zip(ids, fps, roots, strict=True)}
+
+
+def test_op3_holds_every_id_once(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(common.vocabulary("byte_bpe_50k.json"))
+    docs = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in read(spark, sf_dir, "documents").items()}
+    rows = sorted(queries.op3_packing(spark, sf_dir).collect(), key=lambda r: (r["doc_id"], r["start"]))
+    at, room = dict.fromkeys(docs, 0), {}
+    for r in rows:
+        ids = docs[r["doc_id"]]
+        assert r["start"] == at[r["doc_id"]] and r["doc_tokens"] == len(ids)
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+        at[r["doc_id"]] += r["length"]
+        room.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert at == {i: len(x) for i, x in docs.items()}
+    for parts in room.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1].tolist()] and (ends[-1] == 2048 or ends[-1] & (ends[-1] - 1) == 0)
+
+
+def test_op4_equals_brute_force(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    got = {r["doc_id"]: tuple(r)[1:] for r in queries.op4_suffix_dedup(spark, sf_dir).collect()}
+    for i, b, m in plain_repeats(sorted(docs.items()), 50):
+        edges = np.abs(np.diff(np.concatenate([[0], m.astype(int), [0]]))).sum()
+        assert got[i] == (len(b), int(m.sum()), int(edges) // 2, hashlib.sha256(np.frombuffer(b, np.uint8)[~m].tobytes()).hexdigest())
+
+
+def test_op6_shards_are_near_equal(spark, sf_dir):
+    docs, rows = read(spark, sf_dir, "documents"), queries.op6_sharding(spark, sf_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    held = {}
+    for r in rows:
+        raw = docs[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "bytes", None)
+        held.setdefault(r["shard"], []).append((r["slot"], r["size"]))
+    assert set(held) <= set(range(24)) and all(sorted(x for x, _ in v) == list(range(len(v))) for v in held.values())
+    most = max(len(t.encode()) + 8 for t in docs.values())
+    sums = [sum(x for _, x in v) for v in held.values()]
+    assert max(sums) - min(sums) <= 2 * most
+
+
+def test_op8_equals_the_tokenizers_library(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(common.vocabulary("word_bpe_49k.json"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for i, t in read(spark, sf_dir, "documents").items():
+        ids = tok.encode(t, add_special_tokens=False).ids
+        want[i] = (len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
+    assert {r["doc_id"]: tuple(r)[1:] for r in queries.op8_bpe(spark, sf_dir).collect()} == want
+
+
+def test_op10_predicts_held_out_labels(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("the test tables are not here")
+    marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = queries.op10_quality(spark, sf_dir).collect()
+    assert all(r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for r in rows)
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in marks]
+    assert len(held) > 50 and sum(r["predicted"] == marks[r["doc_id"]] for r in held) / len(held) > 0.9
