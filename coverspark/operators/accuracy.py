@@ -97,7 +97,7 @@ def sample_pairs(px: DataFrame, ref: str, map_: str, mask: str = "mask") -> Data
     """(ref, map) where sampled, without map 0 and without map classes that the reference never has there."""
     pairs = px.filter((F.col(mask) == 1) & (F.col(map_) > 0) & F.col(ref).isNotNull()).select(*PIX, F.col(ref).alias("ref"), F.col(map_).alias("map"))
     seen = pairs.select(F.col("ref").alias("map")).distinct()
-    return pairs.join(F.broadcast(seen), "map", "left_semi").select(*PIX, "ref", "map")
+    return pairs.join(seen, "map", "left_semi").select(*PIX, "ref", "map")
 
 
 def error_matrix(pairs: DataFrame, areas: DataFrame, classes: Sequence[int], weights: str = "map") -> DataFrame:
@@ -109,9 +109,9 @@ def error_matrix(pairs: DataFrame, areas: DataFrame, classes: Sequence[int], wei
     cols = [f"r_{c}" for c in classes]
     counts = counts.select(F.col("map").cast("int").alias("map"), *[F.coalesce(F.col(str(c)), F.lit(0)).alias(n) for c, n in zip(classes, cols, strict=True)])
     total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
-    rows = counts.withColumn("row_total", total).join(F.broadcast(areas.select(F.col("class").alias("map"), F.col("ha").cast("bigint").alias("map_area"))), "map", "left")
+    rows = counts.withColumn("row_total", total).join(areas.select(F.col("class").alias("map"), F.col("ha").cast("bigint").alias("map_area")), "map", "left")
     if weights == "sample":
-        share = F.broadcast(pairs.groupBy(F.col("ref").alias("map")).agg(F.count("*").alias("_n")))
+        share = pairs.groupBy(F.col("ref").alias("map")).agg(F.count("*").alias("_n"))
         rows = rows.join(share, "map", "left").withColumn("w", F.coalesce("_n", F.lit(0)) / F.sum("row_total").over(Window.partitionBy())).drop("_n")
     else:
         rows = rows.withColumn("w", F.col("map_area") / F.sum("map_area").over(Window.partitionBy()))
@@ -121,7 +121,7 @@ def error_matrix(pairs: DataFrame, areas: DataFrame, classes: Sequence[int], wei
 
 def area_proportions(conf: DataFrame, areas: DataFrame) -> DataFrame:
     """map, ref, n, weight, share in its map row (u) and of the whole area (p).  ``conf``: map, ref, n; ``areas``: class, ha."""
-    a = F.broadcast(areas.select(F.col("class").alias("map"), F.col("ha").alias("a")).withColumn("total", F.sum("a").over(Window.partitionBy())))
+    a = areas.select(F.col("class").alias("map"), F.col("ha").alias("a")).withColumn("total", F.sum("a").over(Window.partitionBy()))
     rows = conf.join(a, "map").withColumn("ni", F.sum("n").over(Window.partitionBy("map")))
     u = F.col("n") / F.nullif(F.col("ni"), F.lit(0))
     return rows.select("map", "ref", "n", "ni", "a", (F.col("a") / F.col("total")).alias("w"), u.alias("u"), (F.col("a") / F.col("total") * u).alias("p"), "total")
@@ -156,9 +156,14 @@ Z = 1.959963984540054
 
 
 def accuracy_summary(estimates: DataFrame, total_ha: float) -> DataFrame:
-    """Areas in ha with 95 % intervals and printed forms; the printed area has two standard errors, as reports have it."""
+    """Areas in ha with 95 % intervals, and printed forms as reports have them.
+
+    Printed areas are whole, with two standard errors; accuracies have three decimals and half their interval four.
+    """
     ha, se = F.col("area") * total_ha, F.col("area_se") * total_ha
-    shown = lambda a, b: F.concat(F.format_number(a, 2), F.lit(" ± "), F.format_number(b, 2))
+    shown = lambda a, b, n, m: F.concat(F.format_number(F.round(a, n), n), F.lit(" ± "), F.format_number(F.round(b, m), m))
+    ua_ci, pa_ci = Z * F.col("ua_se"), Z * F.col("pa_se")
     return estimates.select(
-        "class", ha.alias("ha"), se.alias("ha_se"), (ha - Z * se).alias("ha_low"), (ha + Z * se).alias("ha_high"), shown(ha, 2 * se).alias("ha_text"), shown(F.col("ua"), Z * F.col("ua_se")).alias("ua_text"), shown(F.col("pa"), Z * F.col("pa_se")).alias("pa_text")
-    )
+        "class", ha.alias("ha"), se.alias("ha_se"), (ha - Z * se).alias("ha_low"), (ha + Z * se).alias("ha_high"), ua_ci.alias("ua_ci"), pa_ci.alias("pa_ci"),
+        shown(ha, 2 * se, 0, 0).alias("ha_text"), shown(F.col("ua"), ua_ci, 3, 4).alias("ua_text"), shown(F.col("pa"), pa_ci, 3, 4).alias("pa_text"),
+    )

@@ -13,6 +13,13 @@ PIX = ["tile", "row", "col"]
 HA = 0.09  # a 30 m pixel
 #: Transition codes of the gain, unchanged and loss maps.
 FOREST = {"gain": [101106, 102106, 101109, 102109], "unchanged": [106106, 109109, 106109, 109106], "loss": [106101, 106102, 109101, 109102]}
+#: The same for single classes.
+SINGLE = {
+    "evergreen": {"gain": [101106, 102106, 109106], "unchanged": [106106], "loss": [106101, 106102, 106109]},
+    "deciduous": {"gain": [101109, 102109, 106109], "unchanged": [109109], "loss": [109101, 109102, 109106]},
+    "urban": {"gain": [101102, 106102, 109102], "unchanged": [102102], "loss": [102101, 102106, 102109]},
+    "agriculture": {"gain": [102101, 106101, 109101], "unchanged": [101101], "loss": [101102, 101106, 101109]},
+}
 BUILT = {"gain": [106101, 106102, 109101, 109102], "unchanged": [101101, 102102], "loss": [102101, 101102, 101106, 101109, 102106, 102109]}
 
 
@@ -50,18 +57,28 @@ def compare_rasters(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def gain_loss(px: DataFrame, c1: str, c2: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per class: counts of both periods, hectares, difference, percent of the first period and of the changed area."""
+    """Per class: counts of both periods, hectares, difference, percent of the first period and of the changed area.
+
+    The changed area is that of the pixels of map 1 whose class differs in map 2 (``change_flag``); the percents keep
+    the sign of the difference.
+    """
     counts = px.groupBy(*by, F.col(c1).alias("c1"), F.col(c2).alias("c2")).agg(F.count("*").alias("n"))
-    long = counts.select(*by, F.explode(F.array(F.struct(F.col("c1").alias("class"), F.col("n").alias("n1"), F.lit(0).cast("bigint").alias("n2")), F.struct(F.col("c2").alias("class"), F.lit(0).cast("bigint").alias("n1"), F.col("n").alias("n2")))).alias("e")).select(*by, "e.*")
-    out = long.filter("class is not null").groupBy(*by, "class").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+    none = F.lit(0).cast("bigint")
+    moved = F.coalesce(change_flag(F.col("c1"), F.col("c2")), F.lit(0)) * F.col("n")
+    first = F.struct(F.col("c1").alias("class"), F.col("n").alias("n1"), none.alias("n2"), moved.alias("moved"))
+    second = F.struct(F.col("c2").alias("class"), none.alias("n1"), F.col("n").alias("n2"), none.alias("moved"))
+    long = counts.select(*by, F.explode(F.array(first, second)).alias("e")).select(*by, "e.*")
+    out = long.filter("class is not null").groupBy(*by, "class").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"), F.sum("moved").alias("moved"))
     d = F.col("n2") - F.col("n1")
-    total = F.sum(F.abs(d)).over(Window.partitionBy(*by))
-    return out.withColumns({"ha1": F.col("n1") * HA, "ha2": F.col("n2") * HA, "diff": d, "diff_ha": d * HA, "pct_of_first": d / F.nullif(F.col("n1"), F.lit(0)) * 100, "pct_of_change": F.abs(d) / F.nullif(total, F.lit(0)) * 100})
+    changed = F.sum("moved").over(Window.partitionBy(*by))
+    out = out.withColumns({"ha1": F.col("n1") * HA, "ha2": F.col("n2") * HA, "diff": d, "diff_ha": d * HA, "pct_of_first": d / F.nullif(F.col("n1"), F.lit(0)) * 100, "pct_of_change": d / F.nullif(changed, F.lit(0)) * 100})
+    return out.drop("moved")
 
 
-def gain_loss_long(gl: DataFrame) -> DataFrame:
-    """Hectares by class and period."""
-    return gl.unpivot(["class"], ["ha1", "ha2"], "period", "ha")
+def gain_loss_long(gl: DataFrame, periods: tuple[str, str] = ("1", "2")) -> DataFrame:
+    """A row per class and period: frequency, area, and the class's difference, percent of the first period and of the changed area."""
+    rows = [F.struct(F.lit(p).alias("period"), "class", F.col(f"n{i}").alias("frequency"), F.col(f"ha{i}").alias("ha"), F.col("diff_ha").alias("difference"), "pct_of_first", "pct_of_change") for i, p in enumerate(periods, 1)]
+    return gl.select(F.explode(F.array(*rows)).alias("e")).select("e.*")
 
 
 def gain_loss_periods(px: DataFrame, periods: Sequence[str]) -> DataFrame:
@@ -150,12 +167,19 @@ def contingency_test(table: DataFrame, alpha: float = 0.05) -> dict[str, object]
     return {"statistic": r["x"], "p": p, "dof": dof, "critical": critical_value(dof, alpha) if dof else None, "dependent": p <= alpha}
 
 
-def change_report(px: DataFrame, c1: str, c2: str) -> DataFrame:
-    """Key and value rows of a change run."""
-    s, x = change_summary(px, c1, c2), chi_square_maps(px, c1, c2)
-    one = s.join(x, how="cross")
-    keys = ["changed", "total", "percent", "ha", "chi2", "dof", "n", "cramers_v"]
-    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("value")) for k in keys])).alias("e")).select("e.*")
+def change_report(px: DataFrame, c1: str, c2: str, alpha: float = 0.05) -> DataFrame:
+    """Key and value rows of a change run: change, both chi-square tests and the conclusion.
+
+    The tests look at a counted table of a row a class, from which the driver gets one row.
+    """
+    one = change_summary(px, c1, c2).join(chi_square_maps(px, c1, c2), how="cross").first()
+    test = contingency_test(chi_square_table(px, c1, c2), alpha)
+    rows = {
+        "change_pixels": one["changed"], "total_pixels": one["total"], "percent_change": one["percent"], "change_ha": one["ha"], "chi_square": one["chi2"], "dof": one["dof"],
+        "sample_size": one["n"], "m": min(one["dof"], 1), "cramers_v": one["cramers_v"], "alpha": alpha, "critical_value": critical_value(one["dof"], alpha) if one["dof"] else None,
+        "contingency_statistic": test["statistic"], "p_value": test["p"], "contingency_dof": test["dof"], "maps_differ": float(test["dependent"]),
+    }
+    return px.sparkSession.createDataFrame([(k, None if v is None else float(v)) for k, v in rows.items()], "key string, value double")
 
 
 def zone_compare(tr: DataFrame, source: int, targets: Sequence[int], zones: Sequence[str], zone: str = "zone") -> DataFrame:

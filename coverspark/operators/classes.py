@@ -20,25 +20,25 @@ def class_percent(freq: DataFrame) -> DataFrame:
 
 def class_group_freq(px: DataFrame, keys: DataFrame, value: str = "value") -> DataFrame:
     """Counts per class and, with a null class, per group; classes are counted before the groups."""
-    freq = class_freq(px, value).join(F.broadcast(keys), F.col("class") == F.col("lc_key"))
+    freq = class_freq(px, value).join(keys, F.col("class") == F.col("lc_key"))
     return freq.groupingSets([["grp_key", "class"], ["grp_key"]], "grp_key", "class").agg(F.sum("n").alias("n"))
 
 
 def classes_by_group(px: DataFrame, keys: DataFrame, value: str = "value") -> DataFrame:
     """The classes present in each group, as text."""
-    freq = class_freq(px, value).join(F.broadcast(keys), F.col("class") == F.col("lc_key"))
+    freq = class_freq(px, value).join(keys, F.col("class") == F.col("lc_key"))
     return freq.groupBy("grp_key").agg(F.concat_ws(",", F.sort_array(F.collect_set("class"))).alias("classes"))
 
 
 def reclassify(px: DataFrame, mapping: DataFrame, value: str = "value") -> DataFrame:
     """Values (``lc_key``) replaced by groups (``grp_key``), 0 if there is none."""
-    m = F.broadcast(mapping.select(F.col("lc_key").alias("_k"), F.col("grp_key").alias("_g")))
+    m = mapping.select(F.col("lc_key").alias("_k"), F.col("grp_key").alias("_g"))
     return px.join(m, F.col(value) == F.col("_k"), "left").withColumn(value, F.coalesce("_g", F.lit(0))).drop("_k", "_g")
 
 
 def class_table(px: DataFrame, keys: DataFrame, value: str = "value") -> DataFrame:
     """Class, description, group, frequency and percent."""
-    freq = class_percent(class_freq(px, value)).join(F.broadcast(keys), F.col("class") == F.col("lc_key"), "left")
+    freq = class_percent(class_freq(px, value)).join(keys, F.col("class") == F.col("lc_key"), "left")
     return freq.select("class", "description", "grp_key", "grp_desc", "n", "percent")
 
 
@@ -49,7 +49,7 @@ def group_percent(freq: DataFrame, threshold: int = 1000) -> DataFrame:
 
 def reclassify_ranked(px: DataFrame, keys: DataFrame, threshold: int, value: str = "value") -> DataFrame:
     """Reclassify to the groups with enough pixels, numbered 1 to k in order of their key; 0 elsewhere."""
-    groups = class_freq(px, value).join(F.broadcast(keys), F.col("class") == F.col("lc_key")).groupBy("grp_key").agg(F.sum("n").alias("n"))
+    groups = class_freq(px, value).join(keys, F.col("class") == F.col("lc_key")).groupBy("grp_key").agg(F.sum("n").alias("n"))
     kept = groups.filter(F.col("n") >= threshold).withColumn("rank", F.dense_rank().over(Window.orderBy("grp_key")))
     return reclassify(px, keys.join(kept, "grp_key").select("lc_key", F.col("rank").alias("grp_key")), value)
 
@@ -67,9 +67,14 @@ def counts_union(px: DataFrame, periods: Sequence[str]) -> DataFrame:
 
 def label_sorted(freq: DataFrame, keys: DataFrame) -> DataFrame:
     """Percents with labels, the largest first."""
-    return class_percent(freq).join(F.broadcast(keys), F.col("class") == F.col("lc_key"), "left").select("class", "description", "percent").orderBy(F.desc("percent"), "class")
+    return class_percent(freq).join(keys, F.col("class") == F.col("lc_key"), "left").select("class", "description", "percent").orderBy(F.desc("percent"), "class")
+
+
+def distinct_values(px: DataFrame, value: str = "value") -> DataFrame:
+    """The distinct values, a row each, however many there are."""
+    return px.filter(F.col(value).isNotNull()).select(F.col(value).alias("value")).distinct()
 
 
 def unique_values(px: DataFrame, value: str = "value") -> DataFrame:
-    """Distinct values, and their exact and approximate number."""
-    return px.agg(F.sort_array(F.collect_set(value)).alias("vals"), F.count_distinct(value).alias("n"))
+    """The sorted distinct values of a class map in one row, and their number; ``distinct_values`` suits continuous ones."""
+    return distinct_values(px, value).agg(F.sort_array(F.collect_list("value")).alias("vals"), F.count("*").alias("n"))

@@ -105,7 +105,7 @@ def range_of_type(stats: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _with_stats(long: DataFrame, by: Sequence[str], *stats: Column) -> DataFrame:
-    return long.join(F.broadcast(long.groupBy(*by).agg(*stats)), list(by))
+    return long.join(long.groupBy(*by).agg(*stats), list(by))
 
 
 def normalize(long: DataFrame, by: Sequence[str]) -> DataFrame:

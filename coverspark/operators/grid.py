@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 PIX = ["tile", "row", "col"]
 SENTINEL = -13000
+#: Most rows of a tile index.
+TILES = 100_000
 
 
 def mosaic_extent(grid: DataFrame) -> DataFrame:
@@ -28,7 +30,14 @@ def tile_slices(tiles: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def assign_tile(px: DataFrame, slices: DataFrame) -> DataFrame:
-    """The tile of each mosaic pixel and its row and column there.  ``slices`` is a tile index: small by its nature."""
+    """The tile of each mosaic pixel and its row and column there.
+
+    ``slices`` is a tile index, a row per tile file, which a range join compares with every pixel; so it is sent whole,
+    and one that can't be small is refused.
+    """
+    few = slices.limit(TILES + 1).count()
+    if few > TILES:
+        raise ValueError(f"a tile index has at most {TILES} tiles; use regular_tiles for a regular grid")
     s = F.broadcast(slices)
     inside = (px["row"] >= s["row0"]) & (px["row"] < s["row1"]) & (px["col"] >= s["col0"]) & (px["col"] < s["col1"])
     rest = [c for c in px.columns if c not in PIX]
@@ -44,7 +53,7 @@ def regular_tiles(px: DataFrame, rows: int, cols: int) -> DataFrame:
 def mosaic(px: DataFrame, slices: DataFrame, order: str = "tile") -> DataFrame:
     """Tiles put into the mosaic; where they overlap the last tile in ``order`` wins."""
     rest = [c for c in px.columns if c not in PIX]
-    placed = px.join(F.broadcast(slices), "tile").select("tile", (F.col("row") + F.col("row0")).alias("row"), (F.col("col") + F.col("col0")).alias("col"), *rest)
+    placed = px.join(slices, "tile").select("tile", (F.col("row") + F.col("row0")).alias("row"), (F.col("col") + F.col("col0")).alias("col"), *rest)
     last = F.max_by(F.struct("tile", *rest), F.col(order)).alias("v")
     return placed.groupBy("row", "col").agg(last).select("row", "col", "v.*")
 
@@ -103,12 +112,12 @@ def extract_zone(px: DataFrame, zones: Iterable[str], value: str = "value", zone
 
 
 def common_mask(*maps: DataFrame) -> DataFrame:
-    """Pixels with a value > 0 in every map."""
-    keys = [m.filter("value > 0").select(*PIX) for m in maps]
-    every = keys[0]
-    for k in keys[1:]:
-        every = every.unionByName(k)
-    return every.groupBy(*PIX).agg(F.count("*").alias("n")).filter(F.col("n") == len(maps)).drop("n")
+    """Pixels with a value > 0 in every map; a map may repeat a pixel."""
+    every = None
+    for i, m in enumerate(maps):
+        one = m.filter("value > 0").select(*PIX, F.lit(1 << i).cast("bigint").alias("map"))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy(*PIX).agg(F.bit_or("map").alias("maps")).filter(F.col("maps") == (1 << len(maps)) - 1).drop("maps")
 
 
 def common_columns(px: DataFrame, columns: Sequence[str]) -> DataFrame:

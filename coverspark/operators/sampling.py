@@ -30,15 +30,25 @@ def window_order(seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), "wr", "wc"))
 
 
+def _first_windows(drawn: DataFrame, n: int) -> DataFrame:
+    """The first n windows of the order: whole bins of its first digits, and as many of the next bin as are lacking."""
+    drawn = drawn.withColumn("bin", F.substring("h", 1, 3))
+    bins = drawn.groupBy("bin").agg(F.count("*").alias("s"))  # 4096 at most
+    bins = bins.withColumn("ahead", F.coalesce(F.sum("s").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
+    drawn = drawn.join(bins, "bin").filter(F.col("ahead") < n)
+    place = F.col("ahead") + F.row_number().over(Window.partitionBy("bin").orderBy("h"))
+    return drawn.withColumn("place", place).filter(F.col("place") <= n)
+
+
 def stratified_windows(counts: DataFrame, targets: DataFrame, seed: int, max_windows: int | None = None) -> DataFrame:
     """Windows that each class takes, in random order, until its count reaches the target: (wr, wc, class, n, before).
 
     Running totals have two phases, so that the largest class is never sorted in one task: bins of the first hex digits
     of the order are summed and cumulated first, then only the order within a bin is.  ``targets`` is a class table.
     """
-    rows = counts.join(F.broadcast(targets.select("class", "target")), "class").withColumn("h", window_order(seed))
+    rows = counts.join(targets.select("class", "target"), "class").withColumn("h", window_order(seed))
     if max_windows is not None:
-        drawn = counts.select("wr", "wc").distinct().withColumn("h", window_order(seed)).orderBy("h").limit(max_windows)
+        drawn = _first_windows(counts.select("wr", "wc").distinct().withColumn("h", window_order(seed)), max_windows)
         rows = rows.join(drawn.select("wr", "wc"), ["wr", "wc"], "left_semi")
     rows = rows.withColumn("bin", F.substring("h", 1, 3))
     bins = rows.groupBy("class", "bin").agg(F.sum("n").alias("s"))

@@ -22,11 +22,12 @@ def site_series(scenes: DataFrame, row: int, col: int, window: int = 1, legacy:
 
 
 def site_series_many(scenes: DataFrame, sites: DataFrame, names: Sequence[str], window: int = 1) -> DataFrame:
-    """One column per site, in one pass over the scenes; sites are few."""
+    """One column per site, in one pass over the scenes; each site's window becomes pixels, which join by equality."""
     k = window // 2
-    s = F.broadcast(sites.select("site", F.col("row").alias("r"), F.col("col").alias("c")))
-    near = F.col("row").between(F.col("r") - k, F.col("r") + k) & F.col("col").between(F.col("c") - k, F.col("c") + k)
-    return with_dates(scenes.join(s, near)).groupBy("date").pivot("site", list(names)).agg(F.avg("value").cast("int"))
+    step = F.sequence(F.lit(-k), F.lit(k))
+    near = sites.select("site", "row", "col", F.explode(step).alias("dr")).withColumn("dc", F.explode(step))
+    near = near.select("site", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
+    return with_dates(scenes.join(near, ["row", "col"])).groupBy("date").pivot("site", list(names)).agg(F.avg("value").cast("int"))
 
 
 def series_by_site(scenes: DataFrame, keys: Sequence[str]) -> DataFrame:

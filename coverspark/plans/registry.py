@@ -6,6 +6,9 @@ Each query runs over a whole table: a pixel grid with aligned maps, observations
 
 from __future__ import annotations
 
+import functools
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +84,81 @@ def class_descriptions(spark, sf_dir):
     return px.join(F.broadcast(named), px["ref1"] == named["lc_key"]).select("tile", "row", "col", "description", "grp_desc")
 
 
+def _folder(spark) -> str:
+    """A new folder under the one that the session shares for intermediate tables."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/query-{uuid.uuid4().hex}"
+
+
+@_query(f"SELECT {PIX}, CAST(ref1 AS SMALLINT) AS value FROM px", "px")
+def pixels_round_trip(spark, sf_dir):
+    """Written as typed pixels, a folder a tile, and read back with NoData as null."""
+    path = _folder(spark)
+    pixels.write_pixels(_map(spark, sf_dir, "ref1"), path)
+    return pixels.read_pixels(spark, path, nodata=0).select("tile", "row", "col", "value")
+
+
+@_query(f"SELECT {PIX}, CAST(round_even(sos/7.0::DOUBLE, 0) AS SMALLINT) AS value FROM px", "px")
+def read_feature(spark, sf_dir):
+    return pixels.read_feature(_px(spark, sf_dir, "tile", "row", "col", (F.col("sos") / F.lit(7.0)).alias("sos_week")), "sos_week")
+
+
+@_query("SELECT tile, CAST(count(*) > 0 AS BOOLEAN) AS has_files FROM px GROUP BY tile", "px")
+def list_files(spark, sf_dir):
+    """The tiles for which the writer left files of some length."""
+    path = _folder(spark)
+    pixels.write_pixels(_map(spark, sf_dir, "ref1"), path)
+    files = pixels.list_files(spark, path, ".parquet").withColumn("tile", F.regexp_extract("path", r"tile=([^/]+)/", 1))
+    return files.groupBy("tile").agg((F.min("length") > 0).alias("has_files"))
+
+
+def _text(df: DataFrame, *parts) -> str:
+    """Write lines made of the parts and return their folder."""
+    path = _folder(df.sparkSession)
+    df.select(F.concat(*parts).alias("value")).write.text(path)
+    return path
+
+
+@_query("SELECT tile, 2000000-30*min(row) AS n, 500000+30*min(col) AS w, 2000000-30*(max(row)+1) AS s, 500000+30*(max(col)+1) AS e FROM px GROUP BY tile", "px")
+def read_tiles(spark, sf_dir):
+    lit, text = F.lit, lambda c: F.col(c).cast("string")
+    path = _text(_tiles(spark, sf_dir), F.col("tile"), lit(",N="), text("n"), lit(".7,W="), text("w"), lit(",S="), text("s"), lit(",E="), text("e"))
+    return pixels.read_tiles(spark, path)
+
+
+@_query("SELECT DISTINCT 'CLASS_'||ref1 AS key, CAST(ref1 AS INT) AS value FROM px WHERE ref1 IS NOT NULL", "px")
+def read_params(spark, sf_dir):
+    path = _text(_freq(spark, sf_dir), F.lit("CLASS_"), F.col("class").cast("string"), F.lit(" = "), F.col("class").cast("string"))
+    return pixels.read_params(spark, path)
+
+
+@_query("SELECT lc_key AS key, lc_key%256 AS r, 10 AS g, 20 AS b, 255 AS a, description AS label FROM keys WHERE lc_key IN (SELECT ref1 FROM px)", "px", "keys")
+def read_legend(spark, sf_dir):
+    used = view(spark, sf_dir, "keys").join(_freq(spark, sf_dir), F.col("lc_key") == F.col("class"), "left_semi")
+    key = F.col("lc_key").cast("string")
+    path = _text(used, key, F.lit("  "), (F.col("lc_key") % 256).cast("string"), F.lit(" 10 20 255 - "), F.col("description"))
+    return pixels.read_legend(spark, path)
+
+
+@_query("SELECT lc_key, description, grp_key, grp_desc FROM keys WHERE lc_key IN (SELECT ref1 FROM px)", "px", "keys")
+def read_class_keys(spark, sf_dir):
+    """Through the report writer: one CSV file with a header."""
+    path = _folder(spark)
+    pixels.write_report(view(spark, sf_dir, "keys").join(_freq(spark, sf_dir), F.col("lc_key") == F.col("class"), "left_semi").select("grp_key", "grp_desc", "lc_key", "description"), path)
+    return pixels.read_class_keys(spark, path, (2, 3, 0, 1))
+
+
+@_query("SELECT unnest(['pixels','rows']) AS key, unnest([CAST(count(*) AS VARCHAR), CAST(max(row)+1 AS VARCHAR)]) AS value FROM px", "px")
+def run_record(spark, sf_dir):
+    found = _px(spark, sf_dir).agg(F.count("*").alias("pixels"), (F.max("row") + 1).alias("rows")).first()
+    return pixels.run_record(spark, found.asDict())
+
+
 # --- grid --------------------------------------------------------------------------------------------------------------
 
 GRID = "grid AS (SELECT 500000.0::DOUBLE AS ulx, 2000000.0::DOUBLE AS uly, 30.0::DOUBLE AS xres, -30.0::DOUBLE AS yres, max(row)+1 AS nrows, max(col)+1 AS ncols FROM px)"
@@ -189,10 +267,10 @@ def common_mask_wide(spark, sf_dir):
 
 
 def _sites(spark, sf_dir):
-    return _px(spark, sf_dir, "tile", "row", "col", F.when(F.col("pix") % 7 == 0, F.col("ref1")).alias("site"))
+    return _px(spark, sf_dir, "tile", "row", "col", F.col("ref1").alias("site"))
 
 
-SITES = "st AS (SELECT tile, row, col, ref1 AS site, coalesce(map1,0) AS value FROM px WHERE pix%7=0 AND ref1>0)"
+SITES = "st AS (SELECT tile, row, col, ref1 AS site, coalesce(map1,0) AS value FROM px WHERE ref1>0)"
 
 
 @_query(f", {SITES} SELECT * FROM st", "px")
@@ -215,10 +293,10 @@ def filter_values(spark, sf_dir):
     return grid.filter_values(_map(spark, sf_dir, "ref1"), [101, 106, 999])
 
 
-@_query(""", g AS (SELECT max(row)+1 AS nr, max(col)+1 AS nc FROM px), p AS (SELECT ref1 AS site, row AS r, col AS c FROM px WHERE pix%41=0 AND ref1 IS NOT NULL)
+@_query(""", g AS (SELECT max(row)+1 AS nr, max(col)+1 AS nc FROM px), p AS (SELECT ref1 AS site, row AS r, col AS c FROM px WHERE ref1 IS NOT NULL)
 SELECT r+dr AS row, c+dc AS col, max(site) AS site FROM p, g, (SELECT unnest([-1,0,1]) AS dr) a, (SELECT unnest([-1,0,1]) AS dc) b WHERE r+dr BETWEEN 0 AND nr-1 AND c+dc BETWEEN 0 AND nc-1 GROUP BY ALL""", "px")
 def points_windows(spark, sf_dir):
-    pts = _px(spark, sf_dir).filter("pix % 41 = 0 and ref1 is not null")
+    pts = _px(spark, sf_dir).filter("ref1 is not null")
     pts = pts.select(F.col("ref1").alias("site"), (F.col("col") * 30.0 + 500010).alias("x"), (F.lit(1999990.0) - F.col("row") * 30).alias("y"))
     return grid.points_to_windows(pts, _grid(spark, sf_dir), 3)
 
@@ -346,6 +424,27 @@ def feature_type(spark, sf_dir):
     return out.groupBy("feature", "band", "type").agg(F.count("*").alias("n"))
 
 
+NAMES = "mon AS (SELECT unnest(['JAN','FEB','MAR','APR','MAY','JUN','JUL','AUG','SEP','OCT','NOV','DEC']) AS mon, unnest(range(1,13)) AS m), vars AS (SELECT unnest(['AVG','STDEV']) AS var)"
+
+
+@_query(f", {NAMES}, o AS (SELECT band, month, count(*) AS n FROM obs GROUP BY ALL) SELECT mon||' '||band||' '||var AS feature, mon AS period, band, var, CASE WHEN band IN ('EVI','EVI2','NDVI') THEN 'VI' ELSE 'BAND' END AS kind, n FROM o JOIN mon ON m=month, vars", "obs")
+def monthly_features(spark, sf_dir):
+    """The monthly feature names for which there are observations, taken apart, with their number."""
+    months = F.array(*map(F.lit, features.MONTHS))
+    n = _obs(spark, sf_dir).groupBy("band", F.element_at(months, F.col("month")).alias("period")).agg(F.count("*").alias("n"))
+    part = features.parse_feature(F.col("feature"))
+    return features.monthly_features(spark).join(n, ["band", "period"]).select("feature", *[part[c].alias(c) for c in ("period", "band", "var", "kind")], "n")
+
+
+@_query(f", {NAMES}, o AS (SELECT band, CASE WHEN month<=3 THEN 'WIN' WHEN month<=6 THEN 'SPR' WHEN month<=9 THEN 'SUM' ELSE 'FAL' END AS period, count(*) AS n FROM obs GROUP BY ALL) SELECT period||' '||band||' '||var AS feature, period, band, var, n FROM o, vars", "obs")
+def seasonal_features(spark, sf_dir):
+    """The seasonal feature names for which there are observations, with their number."""
+    months, at = F.array(*map(F.lit, features.MONTHS)), F.col("month")
+    season = functools.reduce(lambda e, kv: F.when(F.element_at(months, at).isin(kv[1]), F.lit(kv[0])).otherwise(e), features.SEASONS.items(), F.lit(None).cast("string"))
+    n = _obs(spark, sf_dir).groupBy("band", season.alias("period")).agg(F.count("*").alias("n"))
+    return features.seasonal_features(spark).join(n, ["band", "period"]).select("feature", "period", "band", "var", "n")
+
+
 @_query("SELECT band AS feature, count(*) AS n FROM obs WHERE band NOT IN ('NDVI','BLUE') GROUP BY band", "obs")
 def exclude_features(spark, sf_dir):
     kept = features.exclude_features(_obs(spark, sf_dir).withColumnRenamed("band", "feature"), ["NDVI", "BLUE"])
@@ -362,12 +461,20 @@ def seasonal_composite(spark, sf_dir):
     return features.seasonal_long(_obs(spark, sf_dir).filter("value > -13000"), ["pix", "band"])
 
 
-@_query(", w AS (SELECT pix, avg(value) FILTER (month=4) AS a, avg(value) FILTER (month=5) AS b, avg(value) FILTER (month=6) AS c FROM obs WHERE value > -13000 AND band='NIR' GROUP BY pix), v AS (SELECT pix, CAST(trunc(a) AS INT) AS a, CAST(trunc(b) AS INT) AS b, CAST(trunc(c) AS INT) AS c FROM w) SELECT pix, CAST(round_even((coalesce(a,0)+coalesce(b,0)+coalesce(c,0))/nullif((a IS NOT NULL)::INT+(b IS NOT NULL)::INT+(c IS NOT NULL)::INT,0),0) AS INT) AS \"SPR_NIR_AVG\" FROM v", "obs")
+def _wide_sql() -> str:
+    seasons = {"SPR": (4, 5, 6), "SUM": (7, 8, 9), "FAL": (10, 11, 12), "WIN": (1, 2, 3)}
+    months = ", ".join(f"CAST(trunc(avg(value) FILTER (band='{b}' AND month={m})) AS INT) AS {b}{m}" for b in features.BANDS for m in range(1, 13))
+    one = lambda b, k, ms: "CAST(round_even((" + "+".join(f"coalesce({b}{m},0)" for m in ms) + ")/nullif(" + "+".join(f"({b}{m} IS NOT NULL)::INT" for m in ms) + f",0),0) AS INT) AS \"{k}_{b}_AVG\""
+    return f", w AS (SELECT pix, {months} FROM obs WHERE value > -13000 GROUP BY pix) SELECT pix, {', '.join(one(b, k, ms) for b in features.BANDS for k, ms in seasons.items())} FROM w"
+
+
+@_query(_wide_sql(), "obs")
 def seasonal_wide(spark, sf_dir):
-    nir = _obs(spark, sf_dir).filter("value > -13000 and band = 'NIR'")
-    month = lambda m: F.avg(F.when(F.col("month") == m, F.col("value"))).cast("int")
-    wide = nir.groupBy("pix").agg(month(4).alias("APR_NIR_AVG"), month(5).alias("MAY_NIR_AVG"), month(6).alias("JUN_NIR_AVG"))
-    return features.seasonal_composite(wide, ["NIR"])
+    """All bands and seasons from all months, side by side."""
+    obs = _obs(spark, sf_dir).filter("value > -13000")
+    at = lambda b, m: F.avg(F.when((F.col("band") == b) & (F.col("month") == m), F.col("value"))).cast("int")
+    wide = obs.groupBy("pix").agg(*[at(b, i + 1).alias(f"{name}_{b}_AVG") for b in features.BANDS for i, name in enumerate(features.MONTHS)])
+    return features.seasonal_composite(wide, features.BANDS)
 
 
 STATS = "bs AS (SELECT band AS feature, min(value) AS min, max(value) AS max, round(avg(value),6) AS mean, min(value) FILTER (value>=0) AS valid_min, max(value) FILTER (value>=0) AS valid_max, round(avg(value) FILTER (value>=0),6) AS valid_mean FROM obs GROUP BY band)"
@@ -528,6 +635,23 @@ def stratified_sample(spark, sf_dir):
     return _sample(spark, sf_dir).select("tile", "row", "col", "ref1")
 
 
+@_query(f", {TR}, {WIN.replace('ref1 AS class', 'coalesce(ref1,0)*1000+coalesce(ref2,0) AS class').replace('WHERE ref1 IS NOT NULL ', '')}, want AS (SELECT * FROM (VALUES (106106, 40), (106101, 30), (109101, 25)) t(class, target)), take AS (SELECT w.*, CAST(coalesce(sum(n) OVER (PARTITION BY w.class ORDER BY md5('1:'||wr||':'||wc) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS before, target FROM wcnt w JOIN want ON w.class=want.class QUALIFY before<target) SELECT l.tile, l.row, l.col, t.class AS code FROM lat l JOIN take t ON l.wr=t.wr AND l.wc=t.wc AND coalesce(l.ref1,0)*1000+coalesce(l.ref2,0)=t.class", "px")
+def restricted_sample(spark, sf_dir):
+    """Listed strata with sizes of their own; others are ignored."""
+    px, rows, cols = _lattice(spark, sf_dir)
+    px = px.withColumn("code", change.transition_code(F.col("ref1"), F.col("ref2")))
+    targets = spark.createDataFrame([(106106, 40), (106101, 30), (109101, 25)], "class int, target long")
+    return sampling.stratified_sample(px, targets, 7, rows, cols, 1, "code").select("tile", "row", "col", "code")
+
+
+@_query(f", {FREQ}, lat AS (SELECT *, (row-2)//5 AS wr, (col-10)//5 AS wc FROM px WHERE row>=2 AND col>=10 AND ((row-2)//5+1)*5+2<=12 AND ((col-10)//5+1)*5+10<=60), wcnt AS (SELECT wr, wc, ref1 AS class, count(*) AS n FROM lat WHERE ref1 IS NOT NULL GROUP BY ALL), drawn AS (SELECT DISTINCT wr, wc FROM wcnt ORDER BY md5('1:'||wr||':'||wc) LIMIT 12), take AS (SELECT w.*, CAST(coalesce(sum(w.n) OVER (PARTITION BY w.class ORDER BY md5('1:'||wr||':'||wc) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS before, CAST(trunc(f.n*0.02) AS BIGINT) AS target FROM wcnt w JOIN drawn USING (wr, wc) JOIN f ON w.class=f.class QUALIFY before<target) SELECT l.tile, l.row, l.col, l.ref1 FROM lat l JOIN take t ON l.wr=t.wr AND l.wc=t.wc AND l.ref1=t.class", "px")
+def boxed_sample(spark, sf_dir):
+    """Windows of a box only, and no more than twelve of them."""
+    px, rows, cols = _lattice(spark, sf_dir)
+    targets = sampling.train_targets(_freq(spark, sf_dir), 0.02)
+    return sampling.stratified_sample(px, targets, 5, rows, cols, 1, "ref1", box=(2, 10, 12, 60), max_windows=12).select("tile", "row", "col", "ref1")
+
+
 @_query(f", {SAMPLE}, sc AS (SELECT ref1 AS class, count(*) AS s FROM sam GROUP BY 1) SELECT f.class, f.n AS pixels, CAST(trunc(f.n*0.2) AS BIGINT) AS target, coalesce(s,0) AS sampled, round(coalesce(s,0)/nullif(CAST(trunc(f.n*0.2) AS BIGINT),0)*100,6) AS pct_of_target, round(coalesce(s,0)/f.n*100,6) AS pct_of_class, coalesce(s,0)>=CAST(trunc(f.n*0.2) AS BIGINT) AS complete FROM f LEFT JOIN sc ON f.class=sc.class", "px")
 def sample_report(spark, sf_dir):
     freq = _freq(spark, sf_dir)
@@ -646,12 +770,12 @@ def mask_like(spark, sf_dir):
     return accuracy.mask_like(_map(spark, sf_dir, "map2"), _map(spark, sf_dir, "ref1"))
 
 
-PAIRS = "pr AS (SELECT tile, row, col, ref1 AS ref, map1 AS map FROM px WHERE pix%3=0 AND map1>0 AND ref1 IS NOT NULL), pairs AS (SELECT * FROM pr WHERE map IN (SELECT ref FROM pr))"
+PAIRS = f"{TAKE}, sam0 AS (SELECT l.* FROM lat l JOIN take t ON l.wr=t.wr AND l.wc=t.wc AND l.ref1=t.class), pr AS (SELECT tile, row, col, ref1 AS ref, map1 AS map FROM sam0 WHERE map1>0), pairs AS (SELECT * FROM pr WHERE map IN (SELECT ref FROM pr))"
 
 
 def _pairs(spark, sf_dir):
-    px = _px(spark, sf_dir).withColumn("mask", (F.col("pix") % 3 == 0).cast("int"))
-    return accuracy.sample_pairs(px, "ref1", "map1")
+    """Reference and map at the stratified sample."""
+    return accuracy.sample_pairs(sampling.sample_mask(_px(spark, sf_dir), _sample(spark, sf_dir), "ref1"), "ref1", "map1")
 
 
 @_query(f", {PAIRS} SELECT * FROM pairs", "px")
@@ -704,10 +828,16 @@ def olofsson(spark, sf_dir):
     return r6(accuracy.olofsson(_dense(spark, sf_dir), _areas(spark, sf_dir)))
 
 
-@_query(f", {OLOF} SELECT class, round(area*1000,6) AS ha, round(area_se*1000,6) AS ha_se, round(area*1000-1.959963984540054*area_se*1000,6) AS ha_low, round(area*1000+1.959963984540054*area_se*1000,6) AS ha_high FROM ol", "px")
+def _shown(a: str, b: str, n: int, m: int) -> str:
+    return f"format('{{{{:,.{n}f}}}}', round({a},{n})) || ' ± ' || format('{{{{:,.{m}f}}}}', round({b},{m}))"
+
+
+Z95 = "1.959963984540054::DOUBLE"
+
+
+@_query(f", {OLOF} SELECT class, round(area*1000,6) AS ha, round(area_se*1000,6) AS ha_se, round(area*1000-{Z95}*area_se*1000,6) AS ha_low, round(area*1000+{Z95}*area_se*1000,6) AS ha_high, round({Z95}*ua_se,6) AS ua_ci, round({Z95}*pa_se,6) AS pa_ci, {_shown('area*1000', '2*area_se*1000', 0, 0)} AS ha_text, {_shown('ua', Z95 + '*ua_se', 3, 4)} AS ua_text, {_shown('pa', Z95 + '*pa_se', 3, 4)} AS pa_text FROM ol".replace("{{", "{").replace("}}", "}"), "px")
 def accuracy_summary(spark, sf_dir):
-    out = accuracy.accuracy_summary(accuracy.olofsson(_dense(spark, sf_dir), _areas(spark, sf_dir)), 1000.0)
-    return r6(out.select("class", "ha", "ha_se", "ha_low", "ha_high"))
+    return r6(accuracy.accuracy_summary(accuracy.olofsson(_dense(spark, sf_dir), _areas(spark, sf_dir)), 1000.0))
 
 
 # --- change ------------------------------------------------------------------------------------------------------------
@@ -735,9 +865,12 @@ def compare_rasters(spark, sf_dir):
 
 
 def _gl(a: str, b: str, by: str = "") -> str:
-    key = f"{by}, " if by else ""
-    part = f"PARTITION BY {by}" if by else ""
-    return f"(SELECT {key}class, n1, n2, round(n1*0.09::DOUBLE,6) AS ha1, round(n2*0.09::DOUBLE,6) AS ha2, n2-n1 AS diff, round((n2-n1)*0.09::DOUBLE,6) AS diff_ha, round((n2-n1)/nullif(n1,0)*100,6) AS pct_of_first, round(abs(n2-n1)/nullif(sum(abs(n2-n1)) OVER ({part}),0)*100,6) AS pct_of_change FROM (SELECT {key}class, CAST(sum(a) AS BIGINT) AS n1, CAST(sum(b) AS BIGINT) AS n2 FROM (SELECT {key}{a} AS class, 1 AS a, 0 AS b FROM px UNION ALL SELECT {key}{b}, 0, 1 FROM px) WHERE class IS NOT NULL GROUP BY ALL))"
+    """Gains and losses in SQL: counts by class, and the area of the pixels of the first map that change."""
+    key, part = (f"{by}, ", f"WHERE c.{by} IS NOT DISTINCT FROM g.{by}") if by else ("", "")
+    changed = f"(SELECT {key}count(*) FILTER ({a} IS DISTINCT FROM {b}) * 0.09::DOUBLE AS ha FROM px WHERE {a} IS NOT NULL {'GROUP BY ' + by if by else ''})"
+    counts = f"(SELECT {key}class, CAST(sum(a) AS BIGINT) AS n1, CAST(sum(b) AS BIGINT) AS n2 FROM (SELECT {key}{a} AS class, 1 AS a, 0 AS b FROM px UNION ALL SELECT {key}{b}, 0, 1 FROM px) WHERE class IS NOT NULL GROUP BY ALL)"
+    own = f"g.{by}, " if by else ""
+    return f"(SELECT {own}class, n1, n2, round(n1*0.09::DOUBLE,6) AS ha1, round(n2*0.09::DOUBLE,6) AS ha2, n2-n1 AS diff, round((n2-n1)*0.09::DOUBLE,6) AS diff_ha, round((n2-n1)/nullif(n1,0)*100,6) AS pct_of_first, round((n2-n1)*0.09::DOUBLE/nullif((SELECT max(ha) FROM {changed} c {part}),0)*100,6) AS pct_of_change FROM {counts} g)"
 
 
 @_query(f"SELECT * FROM {_gl('ref1', 'ref2')}", "px")
@@ -745,9 +878,9 @@ def gain_loss(spark, sf_dir):
     return r6(change.gain_loss(_px(spark, sf_dir), "ref1", "ref2"))
 
 
-@_query(f", g AS {_gl('ref1', 'ref2')} SELECT class, 'ha1' AS period, ha1 AS ha FROM g UNION ALL SELECT class, 'ha2', ha2 FROM g", "px")
+@_query(f", g AS {_gl('ref1', 'ref2')} SELECT '2013-2016' AS period, class, n1 AS frequency, ha1 AS ha, diff_ha AS difference, pct_of_first, pct_of_change FROM g UNION ALL SELECT '2019-2022', class, n2, ha2, diff_ha, pct_of_first, pct_of_change FROM g", "px")
 def gain_loss_long(spark, sf_dir):
-    return r6(change.gain_loss_long(change.gain_loss(_px(spark, sf_dir), "ref1", "ref2")))
+    return r6(change.gain_loss_long(change.gain_loss(_px(spark, sf_dir), "ref1", "ref2"), ("2013-2016", "2019-2022")))
 
 
 @_query(" UNION ALL ".join(f"SELECT *, '{a}' AS \"from\", '{b}' AS \"to\" FROM {_gl(a, b)}" for a, b in (("ref1", "ref2"), ("ref2", "map2"), ("ref1", "map2"))), "px")
@@ -785,6 +918,13 @@ def built_gain_loss(spark, sf_dir):
     return r6(change.gain_loss_counts(_tr(spark, sf_dir), change.BUILT))
 
 
+@_query(" UNION ALL ".join(f"SELECT '{k}' AS rules, * FROM ({_state(v)[2:].replace('tr AS', 'WITH tr AS', 1)})" for k, v in change.SINGLE.items()), "px")
+def single_class_gain_loss(spark, sf_dir):
+    tr = _tr(spark, sf_dir)
+    made = [change.gain_loss_counts(tr, rules).withColumn("rules", F.lit(k)) for k, rules in change.SINGLE.items()]
+    return r6(functools.reduce(DataFrame.unionByName, made))
+
+
 CHI = "g AS (SELECT class, sum(a) AS f1, sum(b) AS f2 FROM (SELECT ref1 AS class, 1 AS a, 0 AS b FROM px UNION ALL SELECT ref2, 0, 1 FROM px) WHERE class IS NOT NULL GROUP BY 1), x AS (SELECT *, trunc(f1/(sum(f1) OVER ())*(sum(f2) OVER ())) AS expected FROM g)"
 
 
@@ -793,16 +933,21 @@ def chi_square_maps(spark, sf_dir):
     return r6(change.chi_square_maps(_px(spark, sf_dir), "ref1", "ref2"))
 
 
-@_query()
+#: Pearson's statistic of the rows expected and f2, and its tail by the series of the incomplete gamma function.
+PEARSON = "y AS (SELECT expected AS a, f2 AS b FROM x WHERE expected>0 OR f2>0), z AS (SELECT *, sum(a) OVER () AS sa, sum(b) OVER () AS sb, count(*) OVER () AS k FROM y), stat AS (SELECT sum(pow(a-(a+b)*sa/(sa+sb),2)/((a+b)*sa/(sa+sb))+pow(b-(a+b)*sb/(sa+sb),2)/((a+b)*sb/(sa+sb))) AS x, max(k)-1 AS dof FROM z), tail AS (SELECT x, dof, 1-list_sum(list_transform(range(CAST(x AS BIGINT)+500), lambda i: exp(-x/2+(dof/2+i)*ln(x/2)-lgamma(dof/2+i+1)))) AS p FROM stat)"
+
+
+@_query(f", {CHI}, {PEARSON} SELECT dof, round(x,6) AS statistic, round(p,6) AS p, p<=0.05 AS dependent FROM tail", "px")
 def contingency_test(spark, sf_dir):
-    """Statistic, p-value, degrees of freedom and critical value; the tail is a helper, so there is no SQL."""
+    """Statistic, degrees of freedom, p and whether the maps differ."""
     found = change.contingency_test(change.chi_square_table(_px(spark, sf_dir), "ref1", "ref2"))
-    return pixels.run_record(spark, found)
+    return r6(spark.createDataFrame([tuple(found[k] for k in ("dof", "statistic", "p", "dependent"))], "dof long, statistic double, p double, dependent boolean"))
 
 
-@_query(f", {CHI}, s AS (SELECT sum((f2-expected)*(f2-expected)/nullif(expected,0)) AS chi2, count(*)-1 AS dof, sum(f1)+sum(f2) AS n FROM x), c AS (SELECT count(*) FILTER (ref2 IS NULL OR ref1<>ref2) AS ch, count(*) AS t FROM px WHERE ref1 IS NOT NULL) SELECT unnest(['changed','total','percent','ha','chi2','dof','n','cramers_v']) AS key, round(unnest([ch::DOUBLE, t::DOUBLE, ch/t*100, ch*0.09::DOUBLE, chi2, dof::DOUBLE, n::DOUBLE, sqrt(chi2/(n*nullif(least(dof,1),0)))]),6) AS value FROM s, c", "px")
+@_query(f", {CHI}, {PEARSON}, s AS (SELECT sum((f2-expected)*(f2-expected)/nullif(expected,0)) AS chi2, count(*)-1 AS dof, sum(f1)+sum(f2) AS n FROM x), c AS (SELECT count(*) FILTER (ref2 IS NULL OR ref1<>ref2) AS ch, count(*) AS t FROM px WHERE ref1 IS NOT NULL) SELECT unnest(['change_pixels','total_pixels','percent_change','change_ha','chi_square','dof','sample_size','m','cramers_v','alpha','contingency_statistic','p_value','contingency_dof','maps_differ']) AS key, round(unnest([ch::DOUBLE, t::DOUBLE, ch/t*100, ch*0.09::DOUBLE, chi2, s.dof::DOUBLE, n::DOUBLE, least(s.dof,1)::DOUBLE, sqrt(chi2/(n*nullif(least(s.dof,1),0))), 0.05::DOUBLE, tail.x, p, tail.dof::DOUBLE, (p<=0.05)::INT::DOUBLE]),6) AS value FROM s, c, tail", "px")
 def change_report(spark, sf_dir):
-    return r6(change.change_report(_px(spark, sf_dir), "ref1", "ref2"))
+    """The report but for its critical value, for which SQL has no function."""
+    return r6(change.change_report(_px(spark, sf_dir), "ref1", "ref2").filter("key <> 'critical_value'"))
 
 
 @_query(f"SELECT * FROM {_gl('ref1', 'ref2', 'zone')} WHERE zone IS NOT NULL", "px")

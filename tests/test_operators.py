@@ -245,3 +245,46 @@ def test_registered_forests_have_production_size(spark, sf_dir, monkeypatch):
     registry.QUERIES["forest_predict"](spark, sf_dir)
     registry.QUERIES["holdout_accuracy"](spark, sf_dir)
     assert asked == [(250, 30)] * 3
+
+
+def test_change_percents_have_signs_and_count_changed_pixels(spark):
+    # eight pixels of map 1: 1 1 1 1 2 2 3 -; map 2: 1 1 2 - 1 2 3 3; changed are the third, fourth and fifth
+    pairs = [(1, 1), (1, 1), (1, 2), (1, None), (2, 1), (2, 2), (3, 3), (None, 3)]
+    got = {r["class"]: r for r in change.gain_loss(spark.createDataFrame(pairs, "c1 int, c2 int"), "c1", "c2").collect()}
+    assert [got[c]["diff"] for c in (1, 2, 3)] == [-1, 0, 1]
+    assert [got[c]["pct_of_change"] for c in (1, 2, 3)] == pytest.approx([-100 / 3, 0, 100 / 3])
+    assert got[1]["pct_of_first"] == pytest.approx(-25)
+    long = change.gain_loss_long(change.gain_loss(spark.createDataFrame(pairs, "c1 int, c2 int"), "c1", "c2"), ("a", "b")).collect()
+    assert {(r["period"], r["class"]): r["frequency"] for r in long} == {("a", 1): 4, ("a", 2): 2, ("a", 3): 1, ("b", 1): 3, ("b", 2): 2, ("b", 3): 2}
+    assert all(r["difference"] == got[r["class"]]["diff_ha"] for r in long)
+
+
+def test_printed_accuracy_has_the_digits_of_reports(spark):
+    rows = [(1, 0.91234, 0.012345, 0.85, 0.02, 0.25, 0.001)]
+    est = spark.createDataFrame(rows, "class int, ua double, ua_se double, pa double, pa_se double, area double, area_se double")
+    r = accuracy.accuracy_summary(est, 1_000_000.0).first()
+    assert r["ha_text"] == "250,000 ± 2,000"
+    assert r["ua_text"] == "0.912 ± 0.0242" and r["pa_text"] == "0.850 ± 0.0392"
+
+
+def test_common_mask_counts_maps_not_rows(spark):
+    a = px(spark, [[1, 1]])
+    assert grid_of(grid.common_mask(a.union(a), px(spark, [[1, 0]])).withColumn("value", F.lit(1))) == {(0, 0): 1}
+
+
+def test_distinct_values_are_rows(spark):
+    assert sorted(r[0] for r in classes.distinct_values(px(spark, [[3, 1], [1, None]])).collect()) == [1, 3]
+
+
+def test_single_class_rules_override_in_order():
+    for rules in change.SINGLE.values():
+        codes = [c for group in rules.values() for c in group]
+        assert len(codes) == len(set(codes))
+
+
+def test_change_report_has_both_tests(spark):
+    pairs = [(1, 1)] * 40 + [(1, 2)] * 10 + [(2, 2)] * 30 + [(2, 3)] * 20 + [(3, 3)] * 25
+    got = {r["key"]: r["value"] for r in change.change_report(spark.createDataFrame(pairs, "c1 int, c2 int"), "c1", "c2").collect()}
+    assert got["change_pixels"] == 30 and got["total_pixels"] == 125 and got["dof"] == got["contingency_dof"] == 2 and got["m"] == 1 and got["alpha"] == 0.05
+    assert got["critical_value"] == pytest.approx(-2 * math.log(0.05))
+    assert got["p_value"] == pytest.approx(math.exp(-got["contingency_statistic"] / 2)) and got["maps_differ"] == float(got["p_value"] <= 0.05)
