@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coverspark.sources.pixels import checkpointed
+
 PIX = ["tile", "row", "col"]
 
 
@@ -36,7 +38,7 @@ def _fill(long: DataFrame, by: Sequence[str], low: float, round_: bool) -> DataF
     v = F.col("value")
     mean = F.avg(F.when(~_missing(v, low), v))
     means = long.groupBy(*by).agg((F.bround(mean, 2) if round_ else mean.cast("int")).alias("_m"))
-    return long.join(F.broadcast(means), list(by)).withColumn("value", F.when(_missing(v, low), F.col("_m")).otherwise(v)).drop("_m")
+    return long.join(means, list(by)).withColumn("value", F.when(_missing(v, low), F.col("_m")).otherwise(v)).drop("_m")
 
 
 def fill_mean(long: DataFrame, by: Sequence[str], low: float = 0) -> DataFrame:
@@ -49,64 +51,71 @@ def fill_int_mean(long: DataFrame, by: Sequence[str], low: float = 0) -> DataFra
     return _fill(long, by, low, False)
 
 
-def _windows(px: DataFrame, low: float, value: str, radius: int | None) -> DataFrame:
-    """pixel, neighbour value and distance, for the missing pixels and the least window that holds a valid value.
+def _windows(px: DataFrame, low: float, names: Sequence[str], inside: str | None, radius: int | None) -> DataFrame:
+    """pixel, feature, neighbour value (v), for the missing pixels and the least window that holds a valid value of each.
 
-    Only missing pixels are multiplied by the window's offsets; what a radius resolves takes no part in larger ones.
-    Radii are 1, 3 and then doubled until all pixels of tiles with a valid one are resolved, or ``radius`` is reached.
+    Only pixels to fill are multiplied by the window's offsets, once for all features; what a radius resolves takes no
+    part in larger ones.  Radii are 1, 3 and then doubled until all pixels of tiles with a valid one are resolved, or
+    ``radius`` is reached; after each of the larger ones the pixels that are left are written out, so that no plan
+    holds all radii.
     """
-    v = F.col(value)
-    valid = px.filter(~_missing(v, low)).select(*PIX, v.alias("v"))
-    left = px.filter(_missing(v, low)).select(*PIX).join(valid.select("tile").distinct(), "tile", "left_semi").select(*PIX)
+    long = px.unpivot([*PIX, *([inside] if inside else [])], list(names), "feature", "v")
+    key = [*PIX, "feature"]
+    valid = long.filter(~_missing(F.col("v"), low)).select(*key, "v")
+    left = long.filter(_missing(F.col("v"), low) & (F.col(inside) == 1 if inside else F.lit(True))).select(*key)
+    left = left.join(valid.select("tile", "feature").distinct(), ["tile", "feature"], "left_semi").select(*key)
     found = None
     inner, k = 0, 1 if radius is None else min(1, radius)
     while True:
         steps = F.sequence(F.lit(-k), F.lit(k))
-        near = left.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
+        at = left.groupBy(*PIX).agg(F.collect_set("feature").alias("features"))  # a feature each of ``names`` at most
+        near = at.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
         near = near.withColumn("d", F.greatest(F.abs("dr"), F.abs("dc"))).filter(F.col("d") > inner)
-        at = near.select("tile", F.col("row").alias("r"), F.col("col").alias("c"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "d")
-        hits = at.join(valid, PIX).select("tile", F.col("r").alias("row"), F.col("c").alias("col"), "d", "v")
-        least = F.min("d").over(Window.partitionBy(*PIX))
-        hits = hits.withColumn("least", least).filter("d = least").drop("least")
+        near = near.select("tile", "features", F.col("row").alias("r"), F.col("col").alias("c"), (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "d")
+        hits = near.join(valid, PIX).filter(F.array_contains("features", F.col("feature")))
+        hits = hits.select("tile", F.col("r").alias("row"), F.col("c").alias("col"), "feature", "d", "v")
+        hits = hits.withColumn("least", F.min("d").over(Window.partitionBy(*key))).filter("d = least").drop("least")
         found = hits if found is None else found.unionByName(hits)
         if radius is not None and k >= radius:
             return found
-        left = left.join(hits.select(*PIX).distinct(), PIX, "left_anti")
+        left = left.join(hits.select(*key).distinct(), key, "left_anti")
         if k >= 3:
-            left = left.persist()
+            left = checkpointed(left)
             if left.isEmpty():
                 return found
         inner, k = k, 3 if k < 3 else 2 * k
         k = k if radius is None else min(k, radius)
 
 
-def _window_modes(px: DataFrame, low: float, value: str, radius: int | None) -> DataFrame:
-    counts = _windows(px, low, value, radius).groupBy(*PIX, "v").agg(F.count("*").alias("n"))
+def _window_modes(px: DataFrame, low: float, names: Sequence[str], inside: str | None, radius: int | None) -> DataFrame:
+    """mode (the least of ties), its count n, lo, hi and truncated mean of each pixel's window, by feature."""
+    counts = _windows(px, low, names, inside, radius).groupBy(*PIX, "feature", "v").agg(F.count("*").alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("n"), "v"))
-    out = counts.groupBy(*PIX).agg(best.alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
-    return out.select(*PIX, F.col("b.v").alias("mode"), (-F.col("b.n")).alias("n"), "lo", "hi", F.col("mean").cast("int").alias("mean"))
+    out = counts.groupBy(*PIX, "feature").agg(best.alias("b"), F.min("v").alias("lo"), F.max("v").alias("hi"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
+    return out.select(*PIX, "feature", F.col("b.v").alias("mode"), (-F.col("b.n")).alias("n"), "lo", "hi", F.col("mean").cast("int").alias("mean"))
 
 
-def fill_mode(px: DataFrame, low: float = 0, radius: int | None = None, value: str = "value") -> DataFrame:
+def fill_mode(px: DataFrame, low: float = 0, radius: int | None = None, value: str = "value", inside: str | None = None) -> DataFrame:
     """Missing pixels become the mode (the least of ties) of the smallest square window with a valid value.
 
     If the mode is the window's minimum, its truncated mean is taken.  Windows stop at the tile's edge; pixels of
-    tiles with no valid value (within ``radius``, if it is given) stay.
+    tiles with no valid value (within ``radius``, if it is given) stay, and so do those where the column ``inside``,
+    if it is given, isn't 1: on a mosaic most nulls lie outside the region and are no gaps.
     """
-    modes = _window_modes(px, low, value, radius).select(*PIX, F.when(F.col("mode") == F.col("lo"), F.col("mean")).otherwise(F.col("mode")).alias("_f"))
+    modes = _window_modes(px, low, [value], inside, radius).select(*PIX, F.when(F.col("mode") == F.col("lo"), F.col("mean")).otherwise(F.col("mode")).alias("_f"))
     v = F.col(value)
     return px.join(modes, PIX, "left").withColumn(value, F.when(_missing(v, low), F.coalesce("_f", v)).otherwise(v)).drop("_f")
 
 
-def fill_season(px: DataFrame, low: float = 0, radius: int | None = None) -> DataFrame:
+def fill_season(px: DataFrame, low: float = 0, radius: int | None = None, inside: str | None = None) -> DataFrame:
     """Missing sos becomes the window's mode; eos its mode, or its maximum if the mode is a minimum seen once; los the rest.
 
-    A length of zero or less becomes 365.
+    A length of zero or less becomes 365.  ``inside`` as in ``fill_mode``; both are found in one pass.
     """
-    s = _window_modes(px, low, "sos", radius).select(*PIX, F.col("mode").alias("_s"))
     last = F.when((F.col("mode") == F.col("lo")) & (F.col("n") == 1), F.col("hi")).otherwise(F.col("mode"))
-    e = _window_modes(px, low, "eos", radius).select(*PIX, last.alias("_e"))
-    out = px.join(s, PIX, "left").join(e, PIX, "left")
+    of = lambda name, e: F.max(F.when(F.col("feature") == name, e))
+    both = _window_modes(px, low, ["sos", "eos"], inside, radius).groupBy(*PIX).agg(of("sos", F.col("mode")).alias("_s"), of("eos", last).alias("_e"))
+    out = px.join(both, PIX, "left")
     gone = _missing(F.col("sos"), low)
     length = F.col("_e") - F.col("_s")
     filled = {"sos": F.col("_s"), "eos": F.col("_e"), "los": F.when(length <= 0, 365).otherwise(length)}

@@ -7,8 +7,6 @@ Each query runs over a whole table: a pixel grid with aligned maps, observations
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,21 +82,10 @@ def class_descriptions(spark, sf_dir):
     return px.join(F.broadcast(named), px["ref1"] == named["lc_key"]).select("tile", "row", "col", "description", "grp_desc")
 
 
-def _folder(spark) -> str:
-    """A new folder under the one that the session shares for intermediate tables."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/query-{uuid.uuid4().hex}"
-
-
 @_query(f"SELECT {PIX}, CAST(ref1 AS SMALLINT) AS value FROM px", "px")
 def pixels_round_trip(spark, sf_dir):
     """Written as typed pixels, a folder a tile, and read back with NoData as null."""
-    path = _folder(spark)
+    path = pixels.shared_folder(spark)
     pixels.write_pixels(_map(spark, sf_dir, "ref1"), path)
     return pixels.read_pixels(spark, path, nodata=0).select("tile", "row", "col", "value")
 
@@ -111,7 +98,7 @@ def read_feature(spark, sf_dir):
 @_query("SELECT tile, CAST(count(*) > 0 AS BOOLEAN) AS has_files FROM px GROUP BY tile", "px")
 def list_files(spark, sf_dir):
     """The tiles for which the writer left files of some length."""
-    path = _folder(spark)
+    path = pixels.shared_folder(spark)
     pixels.write_pixels(_map(spark, sf_dir, "ref1"), path)
     files = pixels.list_files(spark, path, ".parquet").withColumn("tile", F.regexp_extract("path", r"tile=([^/]+)/", 1))
     return files.groupBy("tile").agg((F.min("length") > 0).alias("has_files"))
@@ -119,7 +106,7 @@ def list_files(spark, sf_dir):
 
 def _text(df: DataFrame, *parts) -> str:
     """Write lines made of the parts and return their folder."""
-    path = _folder(df.sparkSession)
+    path = pixels.shared_folder(df.sparkSession)
     df.select(F.concat(*parts).alias("value")).write.text(path)
     return path
 
@@ -148,7 +135,7 @@ def read_legend(spark, sf_dir):
 @_query("SELECT lc_key, description, grp_key, grp_desc FROM keys WHERE lc_key IN (SELECT ref1 FROM px)", "px", "keys")
 def read_class_keys(spark, sf_dir):
     """Through the report writer: one CSV file with a header."""
-    path = _folder(spark)
+    path = pixels.shared_folder(spark)
     pixels.write_report(view(spark, sf_dir, "keys").join(_freq(spark, sf_dir), F.col("lc_key") == F.col("class"), "left_semi").select("grp_key", "grp_desc", "lc_key", "description"), path)
     return pixels.read_class_keys(spark, path, (2, 3, 0, 1))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +12,28 @@ from pyspark.sql import functions as F
 TYPES = {"byte": "tinyint", "int16": "smallint", "int32": "int", "float32": "float", "float64": "double"}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new name under the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Only a session on one machine that names none gets a temporary folder; on a cluster that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder so that the plan before them is cut."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
+
+
 def read_pixels(spark: SparkSession, path: str, nodata: float | None = None, value: str = "value") -> DataFrame:
     """Pixels with NoData as null."""
     df = spark.read.parquet(path)

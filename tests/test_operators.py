@@ -288,3 +288,19 @@ def test_change_report_has_both_tests(spark):
     assert got["change_pixels"] == 30 and got["total_pixels"] == 125 and got["dof"] == got["contingency_dof"] == 2 and got["m"] == 1 and got["alpha"] == 0.05
     assert got["critical_value"] == pytest.approx(-2 * math.log(0.05))
     assert got["p_value"] == pytest.approx(math.exp(-got["contingency_statistic"] / 2)) and got["maps_differ"] == float(got["p_value"] <= 0.05)
+
+
+def test_a_hole_of_40_pixels_and_nulls_outside_the_region(spark):
+    cells = [[(r + c) % 4 if max(r, c) >= 42 or min(r, c) < 2 else -1 for c in range(44)] for r in range(44)]
+    rows = [("a", r, c, v if r < 43 else None, int(r < 43)) for r, line in enumerate(cells) for c, v in enumerate(line)]
+    df = spark.createDataFrame(rows, "tile string, row int, col int, value int, roi int")
+    got = {(r["row"], r["col"]): r["value"] for r in repair.fill_mode(df, inside="roi").collect()}
+    assert all(v >= 0 for (r, _), v in got.items() if r < 43)
+    assert all(v is None for (r, _), v in got.items() if r == 43)
+    for r, c in ((22, 22), (10, 30), (41, 41)):
+        found, k = [], 0
+        while not found:
+            k += 1
+            found = [x for (y, z), x in (((y, z), v) for _, y, z, v, _ in rows) if max(abs(y - r), abs(z - c)) <= k and x is not None and x >= 0]
+        mode = min(found, key=lambda v: (-found.count(v), v))
+        assert got[r, c] == (sum(found) // len(found) if mode == min(found) else mode)
