@@ -23,7 +23,7 @@ def _index(classes: Sequence[int], label: str):
 def fit_forest(df: DataFrame, classes: Sequence[int], trees: int = 250, depth: int = 30, strategy: str = "all", seed: int = 1) -> RandomForestClassificationModel:
     """A forest on ``features`` and ``label`` (codes in ``classes``, given a fixed index)."""
     data = df.withColumn("label", _index(classes, "label")).filter("label is not null")
-    rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy=strategy, seed=seed, maxMemoryInMB=1024, cacheNodeIds=True)
+    rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy=strategy, seed=seed, maxMemoryInMB=1024)
     return rf.fit(data)
 
 

@@ -1010,8 +1010,12 @@ def _vectors(spark, sf_dir):
     return df.select("vec_id", array_to_vector("embedding").alias("features"), F.col("label").cast("int").alias("label"), (F.col("vec_id") % 2 == 0).cast("int").alias("is_train"), (F.col("vec_id") % 5 != 1).cast("int").alias("roi"))
 
 
+#: Forests of the registered queries; the operators' defaults are 250 trees of depth 30.
+SIZE = {"trees": 50, "depth": 10}
+
+
 def _model(spark, sf_dir):
-    return forest.fit_forest(forest.training_set(_vectors(spark, sf_dir), "label"), range(10))
+    return forest.fit_forest(forest.training_set(_vectors(spark, sf_dir), "label"), range(10), **SIZE)
 
 
 @_query()
@@ -1027,7 +1031,7 @@ def feature_importance(spark, sf_dir):
 @_query()
 def holdout_accuracy(spark, sf_dir):
     data = _vectors(spark, sf_dir)
-    share = forest.holdout_accuracy(data.select("vec_id", "features", "label"), list(range(10)), "vec_id")
+    share = forest.holdout_accuracy(data.select("vec_id", "features", "label"), list(range(10)), "vec_id", **SIZE)
     return spark.createDataFrame([(share,)], "accuracy double")
 
 
