@@ -1,10 +1,11 @@
 """Exact deduplication by content-defined chunk recipes, with DataFrame functions only.
 
 A text is normalised (runs of ASCII white space become one space) and cut into chunks whose ends depend on the
-content: a chunk ends at the first sentence end past the least size, or at the greatest size.  A document's recipe is
-the ordered list of its chunk identifiers.  Each distinct chunk moves once and is compared byte by byte with those of
-the same digest; where different chunks share a digest, a version number tells them apart.  After that only recipes
-move, about a tenth of the text: documents are equal when their lists of (digest, version) are equal.
+content: a chunk ends at the first sentence end past the least size; where there is none up to the greatest size (code,
+other scripts, encoded data) at a mark of those, at a doubled character or at a space, and by size if all lack.  A
+document's recipe is the ordered list of its chunk identifiers.  Each distinct chunk moves once and is compared byte by
+byte with those of the same digest; where different chunks share a digest, a version number tells them apart.  After
+that only recipes move, about a tenth of the text: documents are equal when their lists of (digest, version) are equal.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ def normalised(text: str | Column) -> Column:
 
 def chunks(norm: Column, least: int = 256, most: int = 2048) -> Column:
     """The content-defined chunks of a text; joined they are the text again."""
-    return F.regexp_extract_all(norm, F.lit(rf"(?s).{{{least},{most}}}?[.!?,] |.{{1,{most}}}"), 0)
+    ends = ("[.!?,] ", "[;{}。！？，、；：।۔؟]", r"(.)\1", " ")
+    found = [rf".{{{least},{most}}}?{end}" for end in ends]
+    return F.regexp_extract_all(norm, F.lit("(?s)" + "|".join([*found, rf".{{1,{most}}}"])), 0)
 
 
 def chunk_digest(chunk: Column) -> Column:
