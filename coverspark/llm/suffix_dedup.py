@@ -12,6 +12,10 @@ have equal anchors at equal places, so only places whose anchor another document
    document that has them.  An anchor with one context leaves nothing to sort;
 4. the homes get the answers and drop the bytes of strings which a smaller document has.
 
+An anchor that may have more than ``crowd`` contexts isn't sent as it is: each of its contexts is cut to runs of at most
+``RUN`` strings, and a run goes by all the bytes that its strings share.  Two runs of that kind differ in two bytes at most,
+so no group of contexts grows with the corpus by more than a row a home and kind, whatever passage is frequent.
+
 Contexts are taken for equal, at home and where they meet, only after their bytes were compared.  Texts move once, to
 their homes; that exchange serves all three passes over them.  Homes and buckets hold about ``home_bytes`` of the input.
 """
@@ -30,6 +34,7 @@ from pyspark.sql import types as T
 from coverspark.llm.common import partitions, released, text_of
 
 GRAM = 16
+RUN = 2
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5], dtype=np.uint64)
 _CHUNK = 1 << 18
 _BASE = 0xD6E8FEB86659FD93
@@ -51,6 +56,7 @@ def _prefix_hashes(data: np.ndarray, powers: np.ndarray) -> np.ndarray:
 _UP = _powers(_BASE, _CHUNK + 4096)
 _DOWN = _powers(pow(_BASE, -1, 1 << 64), _CHUNK + 4096)
 LAST = (1 << 63) - 1
+WHOLE = np.uint64((1 << 64) - 1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -64,8 +70,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def contexts(data: np.ndarray, ends: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each run of strings with one anchor: the anchor's hash, the first string, the last string, the context's hash.
+def contexts(data: np.ndarray, ends: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each run of strings with one anchor: its hash, the first string, the last string, the context's hash, the anchor.
 
     ``data`` holds documents one after another, ``ends`` their ends; strings never cross them.
     """
@@ -93,7 +99,24 @@ def contexts(data: np.ndarray, ends: np.ndarray, least: int) -> Iterator[tuple[n
         closes = changes[np.searchsorted(changes, opens)]
         sums = _prefix_hashes(part, _UP)
         whole = (sums[closes + least] - sums[opens]) * _DOWN[opens]
-        yield h[anchor[opens]], opens + start, closes + start, whole
+        yield h[anchor[opens]], opens + start, closes + start, whole, anchor[opens] + start
+
+
+def runs(data: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts cut to runs of ``RUN`` strings by their distance from the anchor.
+
+    For each run: the number of its context, a key of the bytes that all its strings share, its first and last string and
+    its hash.  Equal strings have equal anchors at equal distances, so they are in runs of one key.
+    """
+    low = (anchor - last) // RUN
+    count = (anchor - first) // RUN - low + 1
+    ctx = np.repeat(np.arange(len(key)), count)
+    nth = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count) + low[ctx]
+    high = anchor[ctx] - nth * RUN
+    a, b = np.maximum(first[ctx], high - RUN + 1), np.minimum(last[ctx], high)
+    shared = whole_hashes(data, high, np.full(len(ctx), least - RUN + 1))
+    name = ((key[ctx] ^ (shared * _C[0])) + nth.astype(np.uint64) * _C[1]) * _C[2]
+    return ctx, name ^ (name >> np.uint64(29)), a, b, whole_hashes(data, a, b - a + least)
 
 
 def whole_hashes(text: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -290,10 +313,11 @@ def _tidy2(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table,
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, whole_characters: bool = False, home_bytes: int = 12 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, whole_characters: bool = False, home_bytes: int = 12 << 20, crowd: int = 1 << 15
 ) -> DataFrame:
     """The input's columns plus n_bytes, n_removed, spans (start and end bytes of maximal removed runs) and kept (bytes).
 
+    Anchors with more than about ``crowd`` contexts are split; results don't depend on it, nor on ``home_bytes``.
     A byte goes if a string of ``least`` bytes that covers it also starts in a row with a smaller id; strings are
     judged on the input and never cross texts.  Null texts count as empty.  Rows that share an id don't remove each
     other; a null id counts as larger than all others.  With ``whole_characters`` a character goes if any of its bytes
@@ -314,17 +338,22 @@ def remove_repeats(
 
     def hashed(home: pa.Table) -> pa.Table:
         _, data, ends, _ = _home(home)
-        keys, owners = [], []
-        for key, first, _, _ in contexts(data, ends, least):
+        keys, owners, hashes = [], [], []
+        for key, first, _, whole, _ in contexts(data, ends, least):
             keys.append(key)
             owners.append(np.searchsorted(ends, first, side="right"))
+            hashes.append(whole)
         key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
+        whole = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        order = np.lexsort((whole, key))
+        key, owner, whole = key[order], owner[order], whole[order]
         new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         at = np.flatnonzero(new)
         several = (np.maximum.reduceat(owner, at) != np.minimum.reduceat(owner, at)) if len(at) else np.zeros(0, bool)
+        kinds = np.add.reduceat((new | np.concatenate([[True], whole[1:] != whole[:-1]])).astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+        # one byte: whether several documents have the anchor, and the power of two that its contexts reach
+        several = 2 * np.frexp(kinds)[1] + several
         key = key[at]
         bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         ks, fs = _blobs(key.astype("<u4"), bucket, buckets), _blobs(several.astype(np.uint8), bucket, buckets)
@@ -342,40 +371,58 @@ def remove_repeats(
         k = keys[order]
         new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
         cls = np.cumsum(new) - 1
-        hit = (np.bincount(cls) > 1) | (np.bincount(cls, several[order]) > 0) if len(k) else np.zeros(0, bool)
+        hit = (np.bincount(cls) > 1) | (np.bincount(cls, several[order] & 1) > 0) if len(k) else np.zeros(0, bool)
+        full = np.bincount(cls, np.ldexp(0.5, several[order] >> 1)) > crowd if len(k) else np.zeros(0, bool)
         chosen = order[hit[cls]] if len(k) else order
         blobs = _blobs(keys[chosen], source[chosen], len(sizes))
+        packed = order[(hit & full)[cls]] if len(k) else order
+        crowded = _blobs(keys[packed], source[packed], len(sizes))
         used = [i for i, b in enumerate(blobs) if b]
         home = group["home"].to_pylist()
         b = group["bucket"][0].as_py()
-        return _table({"home": ([home[i] for i in used], pa.int32()), "bucket": ([b] * len(used), pa.int32()), "keys": ([blobs[i] for i in used], pa.binary())})
+        return _table({"home": ([home[i] for i in used], pa.int32()), "bucket": ([b] * len(used), pa.int32()), "keys": ([blobs[i] for i in used], pa.binary()), "crowded": ([crowded[i] for i in used], pa.binary())})
 
-    known = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_tidy(shared), "home int, bucket int, keys binary")
+    known = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_tidy(shared), "home int, bucket int, keys binary, crowded binary")
     known = known.repartition(parts, "home")
 
     def asked(home: pa.Table, cand: pa.Table) -> pa.Table:
-        names = {"bucket": pa.int32(), "home": pa.int32(), "key": pa.binary(), "at": pa.binary(), "strings": pa.binary(), "low": pa.binary(), "high": pa.binary(), "text": pa.binary()}
+        names = {"bucket": pa.int32(), "home": pa.int32(), "key": pa.binary(), "base": pa.binary(), "at": pa.binary(), "strings": pa.binary(), "low": pa.binary(), "high": pa.binary(), "text": pa.binary()}
         if not home.num_rows or not cand.num_rows:
             return _table({k: ([], t) for k, t in names.items()})
         _, data, ends, ids = _home(home)
         keys, sizes = _join(cand["keys"], "<u4")
         mark = lambda bucket, low: (bucket.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
         wanted = np.sort(mark(np.repeat(cand["bucket"].to_numpy(), sizes), keys))
-        got = [[], [], [], [], []]
-        for key, first, last, whole in contexts(data, ends, least):
+        full, sizes = _join(cand["crowded"], "<u4")
+        full = mark(np.repeat(cand["bucket"].to_numpy(), sizes), full)
+        got = [[], [], [], [], [], []]
+        for key, first, last, whole, anchor in contexts(data, ends, least):
             bucket = (key >> np.uint64(32)) % np.uint64(buckets)
             m = mark(bucket, key & np.uint64(0xFFFFFFFF))
             at = np.minimum(np.searchsorted(wanted, m), len(wanted) - 1)
             hit = np.flatnonzero(wanted[at] == m) if len(wanted) else np.zeros(0, int)
-            for store, values in zip(got, (key[hit], first[hit], last[hit], whole[hit], ids[np.searchsorted(ends, first[hit], side="right")]), strict=True):
+            for store, values in zip(got, (key[hit], first[hit], last[hit], whole[hit], ids[np.searchsorted(ends, first[hit], side="right")], anchor[hit]), strict=True):
                 store.append(values)
-        key, first, last, whole, doc = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in got)
+        key, first, last, whole, doc, anchor = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in got)
         # one of each distinct context, with the least and the greatest document that has it here
         order, new = verified_classes(data, first, last - first + least, key, whole, doc)
-        key, first, last, doc = key[order], first[order], last[order], doc[order]
+        key, first, last, doc, anchor = key[order], first[order], last[order], doc[order], anchor[order]
         at = np.flatnonzero(new)
         high = doc[np.append(at[1:], len(doc)) - 1] if len(at) else doc
-        key, first, last, doc = key[at], first[at], last[at], doc[at]
+        key, first, last, doc, anchor = key[at], first[at], last[at], doc[at], anchor[at]
+        base = np.full(len(key), WHOLE)
+        packed = np.zeros(len(key), bool)
+        if len(full):
+            packed = np.isin(mark((key >> np.uint64(32)) % np.uint64(buckets), key & np.uint64(0xFFFFFFFF)), full) & (key != WHOLE)
+        if packed.any():
+            own, rest = np.flatnonzero(packed), ~packed
+            ctx, name, a, b, whole = runs(data, key[own], first[own], last[own], anchor[own], least)
+            order, new = verified_classes(data, a, b - a + least, name, whole, doc[own[ctx]])
+            ctx, at = own[ctx[order]], np.flatnonzero(new)
+            ends_ = np.maximum.reduceat(high[ctx], at)
+            base = np.concatenate([base[rest], key[ctx[at]]])
+            doc, high = np.concatenate([doc[rest], doc[ctx[at]]]), np.concatenate([high[rest], ends_])
+            key, first, last = np.concatenate([key[rest], name[order[at]]]), np.concatenate([first[rest], a[order[at]]]), np.concatenate([last[rest], b[order[at]]])
         bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -386,17 +433,18 @@ def remove_repeats(
             if len(some):
                 rows["bucket"].append(b)
                 rows["home"].append(h)
-                for name, values in (("key", key), ("at", first.astype("<u4")), ("strings", (last - first + 1).astype("u1")), ("low", doc), ("high", high)):
+                for name, values in (("key", key), ("base", base), ("at", first.astype("<u4")), ("strings", (last - first + 1).astype("u1")), ("low", doc), ("high", high)):
                     rows[name].append(values[some].tobytes())
                 text = b"".join([raw[x : y + least] for x, y in zip(first[some].tolist(), last[some].tolist(), strict=True)])
                 rows["text"].append(zlib.compress(text, 1))
         return _table({k: (rows[k], t) for k, t in names.items()})
 
-    fields = "bucket int, home int, key binary, at binary, strings binary, low binary, high binary, text binary"
+    fields = "bucket int, home int, key binary, base binary, at binary, strings binary, low binary, high binary, text binary"
     asking = texts.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(_tidy2(asked), fields)
 
     def answered(group: pa.Table) -> pa.Table:
         key, sizes = _join(group["key"], "<u8")
+        base, _ = _join(group["base"], "<u8")  # the hash of a run's anchor, WHOLE for whole contexts
         place, _ = _join(group["at"], "<u4")
         strings = _join(group["strings"], "u1")[0].astype(np.int64)
         low, high = _join(group["low"], "<i8")[0], _join(group["high"], "<i8")[0]
@@ -415,7 +463,7 @@ def remove_repeats(
         lone = np.concatenate([[True], unique[1:] != unique[:-1]]) & np.concatenate([unique[1:] != unique[:-1], [True]]) if len(one) else np.zeros(0, bool)
         many = np.flatnonzero(~lone)
         some = one[many]
-        best = _in_slices(text, offset[some], strings[some], key[some], least_doc[many], least)
+        best = _in_slices(text, offset[some], strings[some], key[some], np.where(base[some] == WHOLE, key[some], base[some]), least_doc[many], least)
         # answers: runs of strings with one least document, for contexts where some document is larger
         begin = np.cumsum(strings[some]) - strings[some]
         ctx = np.repeat(np.arange(len(some)), strings[some])
@@ -434,13 +482,13 @@ def remove_repeats(
         run = np.arange(len(rep)) - np.repeat(np.cumsum(per[cls]) - per[cls], per[cls]) + start[cls[rep]]
         use = who[run] < high[rep]
         rep, run = rep[use], run[use]
-        columns = {"key": key[rep], "at": place[rep], "strings": strings[rep].astype("u1"), "first": a[run].astype("u1"), "last": b[run].astype("u1"), "doc": who[run]}
+        columns = {"key": key[rep], "base": base[rep], "at": place[rep], "strings": strings[rep].astype("u1"), "first": a[run].astype("u1"), "last": b[run].astype("u1"), "doc": who[run]}
         made = {k: _blobs(v, source[rep], len(sizes)) for k, v in columns.items()}
         used = [i for i in range(len(sizes)) if made["key"][i]]
         home = group["home"].to_pylist()
         return _table({"home": ([home[i] for i in used], pa.int32())} | {k: ([v[i] for i in used], pa.binary()) for k, v in made.items()})
 
-    answers = asking.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_tidy(answered), "home int, key binary, at binary, strings binary, first binary, last binary, doc binary")
+    answers = asking.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_tidy(answered), "home int, key binary, base binary, at binary, strings binary, first binary, last binary, doc binary")
     answers = answers.repartition(parts, "home")
     out_fields = T.StructType([base.schema["row"], base.schema["text"], *T.StructType.fromDDL("n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")])
 
@@ -458,9 +506,16 @@ def remove_repeats(
             who = _join(reply["doc"], "<i8")[0]
             mix = lambda k, w: k ^ (w * _C[0])
             name = mix(key, whole)
+            full = np.unique(_join(reply["base"], "<u8")[0])
+            full = full[full != WHOLE]
             sort = np.argsort(name, kind="stable")
             name, place, length, a, b, who = name[sort], place[sort], length[sort], a[sort], b[sort], who[sort]
-            for k, first, last, w in contexts(data, ends, least):
+            for k, first, last, w, anchor in contexts(data, ends, least):
+                cut_up = np.flatnonzero(np.isin(k, full)) if len(full) else []
+                if len(cut_up):
+                    whole_ones = np.setdiff1d(np.arange(len(k)), cut_up, assume_unique=True)
+                    _, *some = runs(data, k[cut_up], first[cut_up], last[cut_up], anchor[cut_up], least)
+                    k, first, last, w = (np.concatenate([x[whole_ones], y]) for x, y in zip((k, first, last, w), some, strict=True))
                 m = mix(k, w)
                 lo, hi = np.searchsorted(name, m, side="left"), np.searchsorted(name, m, side="right")
                 n = hi - lo
@@ -493,8 +548,8 @@ def remove_repeats(
     return out.select(*[(F.col("text").cast("string") if c == text_col else F.col("row").getField(c)).alias(c) for c in own], *added)
 
 
-def _in_slices(text: np.ndarray, offset: np.ndarray, strings: np.ndarray, key: np.ndarray, doc: np.ndarray, least: int, most: int = 400_000) -> np.ndarray:
-    """``least_documents`` for contexts in order of their keys, about ``most`` strings at a time; keys stay whole."""
+def _in_slices(text: np.ndarray, offset: np.ndarray, strings: np.ndarray, key: np.ndarray, base: np.ndarray, doc: np.ndarray, least: int, most: int = 400_000) -> np.ndarray:
+    """``least_documents`` for contexts in order of their keys, with anchors' hashes ``base``, about ``most`` strings at a time; keys stay whole."""
     if not len(key):
         return doc
     before = np.cumsum(strings) - strings
@@ -506,7 +561,7 @@ def _in_slices(text: np.ndarray, offset: np.ndarray, strings: np.ndarray, key: n
         length = strings[a:b] + least - 1
         start = np.cumsum(length) - length
         own = text[np.repeat(offset[a:b] - start, length) + np.arange(int(length.sum()))]
-        lead = _leads(own, start, strings[a:b], key[a:b], least)
+        lead = _leads(own, start, strings[a:b], base[a:b], least)
         out.append(least_documents(own, start, strings[a:b], key[a:b], lead, doc[a:b], least))
     return np.concatenate(out)
 

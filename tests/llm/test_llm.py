@@ -324,7 +324,7 @@ def test_equal_hashes_do_not_make_contexts_equal():
 def test_context_hashes_can_be_found_again():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 123, 5000).astype(np.uint8)
-    for _, first, last, whole in suffix_dedup.contexts(data, np.array([2000, 2040, 5000]), 50):
+    for _, first, last, whole, _ in suffix_dedup.contexts(data, np.array([2000, 2040, 5000]), 50):
         assert (suffix_dedup.whole_hashes(data, first, last - first + 50) == whole).all()
 
 
@@ -337,6 +337,20 @@ def test_suffix_dedup_with_more_homes_than_partitions(spark):
     assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df, home_bytes=400).collect()} == want
 
 
+@pytest.mark.parametrize("crowd", [0, 3, 20])
+def test_suffix_dedup_splits_crowded_anchors(spark, crowd):
+    """Passages of every length around the least one in most documents, each time with other neighbours."""
+    rng = random.Random(4)
+    line = sentence(rng, 40)
+    rows = [(i, sentence(rng, 3) + line[: rng.choice([30, 46, 49, 50, 51, 120])] + sentence(rng, 3) + "ab" * rng.randrange(40)) for i in range(60)]
+    rows += [(i, t) for i, t in rows[:5]] + [(60, None), (61, ""), (62, line), (63, "ab" * 90)]
+    rows += [(70 + i, sentence(rng, 1) + "\0" * (40 + 5 * i) + sentence(rng, 1)) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((i or 0, int(m.sum())) for i, _, m in plain_repeats(rows, 50))
+    got = suffix_dedup.remove_repeats(df, home_bytes=1500, crowd=crowd).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == want
+
+
 def test_suffix_sort_equals_sorting():
     rng = np.random.default_rng(0)
     text = rng.integers(97, 99, 3000).astype(np.uint8)
@@ -420,6 +434,15 @@ def test_exact_dedup(docs, empty, texts):
     assert table(weak, *cols) == sorted(want, key=str)
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz. ", "abcdef;{}", "ABCDEFGHabcdefghijklmnopqrstuvwxyz0123456789+/", "的一是在不了有和人这中大。", "абвгдежзик"])
+def test_an_inserted_character_leaves_later_chunks_alone(spark, letters):
+    rng = random.Random(8)
+    text = "".join(rng.choice(letters) for _ in range(40_000))
+    df = spark.createDataFrame([(0, text), (1, text[:500] + letters[0] + text[500:])], "doc_id long, text string")
+    one, two = (r["c"] for r in df.orderBy("doc_id").select(exact_dedup.chunks(F.col("text")).alias("c")).collect())
+    assert "".join(one) == text
+    assert len(set(one) - set(two)) <= 8 < len(one)
+
 
 def test_bpe(docs, empty, texts):
     from tokenizers import Tokenizer
