@@ -61,17 +61,9 @@ def word_pattern() -> re.Pattern:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+")
 
 
-@lru_cache(maxsize=1)
-def unknown_characters() -> re.Pattern:
-    """Characters that this Python's Unicode data has not assigned; the library may know them."""
-    runs: list[list[int]] = []
-    for c in range(0x110000):
-        if unicodedata.category(chr(c)) == "Cn":
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "]")
+def has_unknown(text: str) -> bool:
+    """Whether a text has characters that this Python's Unicode data has not assigned; the library may know them."""
+    return any(c > "\x7f" and unicodedata.category(c) == "Cn" for c in set(text))
 
 
 class PrefixBpe:
@@ -97,7 +89,7 @@ class PrefixBpe:
         for t in self.id_of:
             self.suffixes.add_word(t, (t, len(t)))
         self.suffixes.make_automaton()
-        self.words, self.unknown = word_pattern().findall, unknown_characters().search
+        self.words = word_pattern().findall
         self.path = path
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.chars = byte_characters()
@@ -174,7 +166,7 @@ class PrefixBpe:
         return found
 
     def _plain(self, text: str) -> tuple[str, str]:
-        if not text.isascii() and self.unknown(text):
+        if not text.isascii() and has_unknown(text):
             text = _normalizer(self.path).normalize_str(text)
         else:
             # one character at a time, so the form of sigma at a word's end is not used
