@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coverspark.llm.bpe import encode_texts
 from coverspark.llm.common import table, text_of, vocabulary
+from coverspark.llm.conversations import damage, repair_conversations
 from coverspark.llm.exact_dedup import exact_duplicates
 from coverspark.llm.fingerprints import compare_with_edits
 from coverspark.llm.line_dedup import drop_site_lines
@@ -87,6 +88,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ids, out = convs.select("conv_id").distinct(), repair_conversations(damage(convs))
+    number = lambda c: F.coalesce(out[c], F.lit(0).cast("bigint")).alias(c)
+    return ids.join(out, ids["conv_id"].eqNullSafe(out["conv_id"]), "left").select(
+        ids["conv_id"],
+        *[number(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
@@ -98,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_conversations": op11_conversations,
 }
 
 ORACLES: dict[str, str] = {
