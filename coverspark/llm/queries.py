@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from coverspark.llm.bpe import encode_texts
 from coverspark.llm.common import table, text_of, vocabulary
 from coverspark.llm.conversations import damage, repair_conversations
+from coverspark.llm.divergence import quality_rules
 from coverspark.llm.exact_dedup import exact_duplicates
 from coverspark.llm.fingerprints import compare_with_edits
 from coverspark.llm.line_dedup import drop_site_lines
 from coverspark.llm.packing import pack
 from coverspark.llm.quality import score_quality
+from coverspark.llm.resampling import resample
 from coverspark.llm.sharding import shard
 from coverspark.llm.simhash import near_duplicates
 from coverspark.llm.suffix_dedup import remove_repeats
@@ -100,6 +102,17 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    far = lambda c: F.round(c, 6).alias(c)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", far("class_distance"), far("word_distance"), "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_simhash": op2_simhash,
@@ -112,9 +125,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
     "op11_conversations": op11_conversations,
+    "op12_resampling": op12_resampling,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op12_resampling": r"""
+        WITH RECURSIVE nibble AS (SELECT i, i AS c, 0 AS k FROM range(16) r(i)
+            UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM nibble WHERE k < 4),
+        steps AS (SELECT list(c ORDER BY i) AS t FROM nibble WHERE k = 4),
+        texts AS (SELECT 0 AS target, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+            UNION ALL SELECT 1, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+        split AS (SELECT target, id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+        occurs AS (SELECT target, id, unnest(words) AS word FROM split),
+        counts AS (SELECT target, id, word, count(*) AS n FROM occurs GROUP BY ALL),
+        hexed AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM counts)),
+        crcs AS (SELECT word, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(h), 2),
+                lambda i: [strpos('0123456789ABCDEF', h[i + 1]) - 1, strpos('0123456789ABCDEF', h[i]) - 1]))),
+                lambda c, x: xor(c >> 4, t[xor(c & 15, x) + 1]))) % 10000 AS bucket FROM hexed, steps),
+        sums AS (SELECT bucket, coalesce(sum(n) FILTER (target = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (target = 1), 0)::DOUBLE AS t
+            FROM counts JOIN crcs USING (word) GROUP BY bucket),
+        whole AS (SELECT coalesce(sum(s), 0) AS sa, coalesce(sum(t), 0) AS ta FROM sums),
+        gain AS (SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (sa + 10000)) / ((s + 1) * (ta + 10000)))) AS BIGINT) AS gain FROM sums, whole),
+        weights AS (SELECT id, CAST(sum(n * gain) AS BIGINT) AS weight FROM counts JOIN crcs USING (word) JOIN gain USING (bucket) WHERE target = 0 GROUP BY id),
+        scored AS (SELECT id AS doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+                + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+            FROM split LEFT JOIN weights USING (id) WHERE target = 0),
+        placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20)
+        SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM placed) THEN rank END AS rank
+        FROM scored s LEFT JOIN placed USING (doc_id)""",
     "op9_warc": r"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         u AS (SELECT page_id, lower(trim(coalesce(url, '-'))) AS url FROM pages),
