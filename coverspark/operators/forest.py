@@ -1,44 +1,376 @@
-"""Random forest classification with MLlib."""
+"""Random forest classification.
+
+Growth is hybrid.  Nodes with many rows are split by levels, from histograms that every partition adds to; once a node
+has few enough rows, these are exchanged by tree and node and its subtree is finished in one task, so that neither
+histograms nor passes over the data grow with the number of small nodes.  Features are cut to bins at quantiles.
+
+Bagging is by hash: how often a row counts in a tree is a Poisson number (mean 1) made from the row's key and the
+tree's number, so that it need not be stored and out-of-bag votes can tell the trees that did not hold a row.
+
+A model is a table of nodes: ``tree, node, feature, threshold, gain, n, counts``.  The children of node i are 2 i (at
+most the threshold) and 2 i + 1; leaves have no feature.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coverspark.sources.pixels import checkpointed
+
+#: Chances that a Poisson number of mean 1 is at most 0, 1, 2, ...
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+NODES = "tree int, node bigint, feature int, threshold double, gain double, n double, counts array<double>"
+#: Bytes of histograms in a task, and of the part of a model that is sent to the executors at a time.
+HISTOGRAMS, SENT = 1 << 28, 1 << 28
+
+
+@dataclass
+class Forest:
+    nodes: DataFrame
+    trees: int
+    classes: int
+    seed: int
+    key: tuple[str, ...]
+
+    @property
+    def getNumTrees(self) -> int:  # noqa: N802  as Spark's own models have it
+        return self.trees
+
 
 def training_set(px: DataFrame, label: str = "land_cover", train: str = "is_train") -> DataFrame:
     """Vectors (column ``features``) and labels of the pixels that train."""
     return px.filter((F.col(train) == 1) & F.col(label).isNotNull()).select("features", F.col(label).alias("label"))
 
 
-def _index(classes: Sequence[int], label: str):
-    table = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, float(i))])
+def _index(classes: Sequence[int], label: str) -> Column:
+    table = F.create_map(*[F.lit(x) for i, c in enumerate(classes) for x in (c, i)])
     return F.try_element_at(table, F.col(label).cast("int"))
 
 
-def fit_forest(df: DataFrame, classes: Sequence[int], trees: int = 250, depth: int = 30, strategy: str = "all", seed: int = 1) -> RandomForestClassificationModel:
-    """A forest on ``features`` and ``label`` (codes in ``classes``, given a fixed index)."""
-    data = df.withColumn("label", _index(classes, "label")).filter("label is not null")
-    rf = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy=strategy, seed=seed, maxMemoryInMB=1024)
-    return rf.fit(data)
+def _values(df: DataFrame) -> Column:
+    """The features as an array, from vectors or arrays."""
+    return F.col("features").cast("array<double>") if df.schema["features"].dataType.typeName() == "array" else vector_to_array("features")
+
+
+def _row_key(df: DataFrame, key: Sequence[str]) -> Column:
+    return F.xxhash64(*key) if key else F.xxhash64(_values(df), "label")
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def bag_weights(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """How often rows of these keys (64 bits) count in a tree."""
+    own = _mixed(np.array([(seed << 32) + tree + 1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.searchsorted(POISSON, (_mixed(keys.astype(np.uint64) ^ own) >> np.uint64(11)) * 2.0**-53, side="right")
+
+
+def _histogram(x: np.ndarray, y: np.ndarray, w: np.ndarray, bins: int, classes: int) -> np.ndarray:
+    """Weight by feature, bin and class."""
+    width = x.shape[1]
+    cell = (x + np.arange(0, width * bins, bins)) * classes + y[:, None]
+    return np.bincount(cell.ravel(), weights=np.repeat(w, width), minlength=width * bins * classes).reshape(width, bins, classes)
+
+
+def _best(h: np.ndarray, allowed: np.ndarray | None = None) -> tuple[float, int, int, np.ndarray] | None:
+    """Gain (of the Gini impurity), feature, last bin to the left and its class weights; None if no split gains."""
+    counts = h[0].sum(axis=0)
+    n = counts.sum()
+    left = h.cumsum(axis=1)[:, :-1]
+    nl, shared = left.sum(axis=2), left @ counts
+    squares, whole = np.einsum("fbc,fbc->fb", left, left), counts @ counts
+    ok = (nl > 0) & (nl < n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = squares / nl + (whole - 2 * shared + squares) / (n - nl)
+    gain = np.where(ok if allowed is None else ok & allowed[:, None], score / n - whole / n**2, -1.0)
+    f, b = divmod(int(gain.argmax()), gain.shape[1])
+    return (float(gain[f, b]), f, b, left[f, b]) if gain[f, b] > 1e-12 else None
+
+
+def _picked(tree: int, node: int, seed: int, width: int, take: int) -> np.ndarray | None:
+    """The features that a node may be split by."""
+    if take >= width:
+        return None
+    out = np.zeros(width, dtype=bool)
+    out[np.random.default_rng([seed, tree, node]).choice(width, take, replace=False)] = True
+    return out
+
+
+def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: int, edges: list[np.ndarray], classes: int, depth: int, take: int, seed: int) -> list[tuple]:
+    """The nodes of the subtree at ``root``."""
+    bins = max(map(len, edges)) + 1
+    rows, stack = [], [(root, np.arange(len(y)))]
+    while stack:
+        node, at = stack.pop()
+        counts = np.bincount(y[at], weights=w[at], minlength=classes)
+        split, present = None, np.flatnonzero(counts)
+        if node.bit_length() <= depth and len(present) > 1 and bins > 1:
+            split = _best(_histogram(x[at], np.searchsorted(present, y[at]), w[at], bins, len(present)), _picked(tree, node, seed, x.shape[1], take))
+        if split is None:
+            rows.append((tree, node, None, None, None, float(counts.sum()), counts.tolist()))
+            continue
+        gain, f, b, _ = split
+        rows.append((tree, node, f, float(edges[f][b]), gain, float(counts.sum()), counts.tolist()))
+        right = x[at, f] > b
+        stack += [(2 * node, at[~right]), (2 * node + 1, at[right])]
+    return rows
+
+
+def _node_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"tree": pa.int32(), "node": pa.int64(), "feature": pa.int32(), "threshold": pa.float64(), "gain": pa.float64(), "n": pa.float64(), "counts": pa.list_(pa.float64())}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+
+def _unpacked(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """The rows' bins, one byte each."""
+    data = b"".join(batch["x"].to_pylist())
+    return np.frombuffer(data, dtype=np.uint8).reshape(batch.num_rows, -1)
+
+
+def _routed(x: np.ndarray, tops: dict[int, tuple[int, int]]) -> np.ndarray:
+    """The node that each row reaches in one tree's top (node to feature and bin)."""
+    at = np.ones(len(x), dtype=np.int64)
+    inner = np.array(sorted(tops), dtype=np.int64)
+    if not len(inner):
+        return at
+    feature, limit = np.array([tops[i] for i in inner.tolist()]).T
+    moving = np.arange(len(x))
+    while len(moving):
+        place = np.minimum(np.searchsorted(inner, at[moving]), len(inner) - 1)
+        on = inner[place] == at[moving]
+        moving, place = moving[on], place[on]
+        at[moving] = 2 * at[moving] + (x[moving, feature[place]] > limit[place])
+    return at
+
+
+def _edges(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:
+    """Borders between neighbouring quantiles of each feature."""
+    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    found = rows.agg(*[F.percentile_approx(F.when(~F.isnan(F.element_at("values", i + 1)), F.element_at("values", i + 1)), at, 10_000).alias(f"f{i}") for i in range(width)]).first()
+    distinct = [np.unique(np.array(q if q else [0.0], dtype=np.float64)) for q in found]
+    return [(q[:-1] + q[1:]) / 2 for q in distinct]
+
+
+def _top_levels(data: DataFrame, trees: int, n: int, edges: list[np.ndarray], classes: int, depth: int, take: int, seed: int, node_rows: int) -> tuple[list[tuple], dict[int, dict[int, tuple[int, int]]], dict[int, set[int]]]:
+    """The nodes with more than ``node_rows`` rows, level by level, how they are split, and which of them are leaves.  Only splits reach the driver."""
+    spark, width, bins = data.sparkSession, len(edges), max(map(len, edges)) + 1
+    tops: dict[int, dict[int, tuple[int, int]]] = {t: {} for t in range(trees)}
+    closed: dict[int, set[int]] = {t: set() for t in range(trees)}
+    rows: list[tuple] = []
+    active = [(t, 1) for t in range(trees)] if n > node_rows else []
+    per_job = max(1, HISTOGRAMS // (8 * width * bins * classes))
+    part = max(1, (1 << 16) // (bins * classes))  # features of a row of histograms
+    while active:
+        following = []
+        for some in (active[i : i + per_job] for i in range(0, len(active), per_job)):
+            wanted: dict[int, list[int]] = {}
+            for t, node in some:
+                wanted.setdefault(t, []).append(node)
+            shared = spark.sparkContext.broadcast((wanted, {t: tops[t] for t in wanted}))
+
+            def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                nodes_of, tops_of = shared.value  # noqa: B023
+                sums: dict[tuple[int, int], np.ndarray] = {}
+                for batch in batches:
+                    x, y, keys = _unpacked(batch), batch["label"].to_numpy(), batch["key"].to_numpy()
+                    for t, nodes in nodes_of.items():
+                        w, at = bag_weights(keys, t, seed), _routed(x, tops_of[t])
+                        for node in nodes:
+                            own = np.flatnonzero((at == node) & (w > 0))
+                            if len(own):
+                                h = _histogram(x[own], y[own], w[own], bins, classes)
+                                sums[t, node] = sums[t, node] + h if (t, node) in sums else h
+                for (t, node), h in sums.items():
+                    for first in range(0, width, part):
+                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((t, pa.int32()), (node, pa.int64()), (first, pa.int32()), (h[first : first + part].tobytes(), pa.binary()))], ["tree", "node", "first", "h"])
+
+            def chosen(table: pa.Table) -> pa.Table:
+                t, node, first = (table[c][0].as_py() for c in ("tree", "node", "first"))
+                h = sum(np.frombuffer(b.as_buffer(), dtype=np.float64) for b in table["h"]).reshape(-1, bins, classes)
+                allowed = _picked(t, node, seed, width, take)
+                split = _best(h, None if allowed is None else allowed[first : first + part]) or (0.0, 0, 0, np.zeros(classes))
+                return pa.table({"tree": pa.array([t], pa.int32()), "node": [node], "gain": [split[0]], "feature": pa.array([first + split[1]], pa.int32()), "bin": pa.array([split[2]], pa.int32()), "left": [split[3].tolist()], "counts": [h[0].sum(axis=0).tolist()]})
+
+            partial = data.mapInArrow(added, "tree int, node bigint, first int, h binary")
+            found = partial.groupBy("tree", "node", "first").applyInArrow(chosen, "tree int, node bigint, gain double, feature int, bin int, left array<double>, counts array<double>")
+            best = found.groupBy("tree", "node").agg(F.max_by(F.struct("gain", "feature", "bin", "left", "counts"), F.struct("gain", -F.col("feature"))).alias("b"))
+            for r in best.orderBy("tree", "node").collect():
+                t, node, b = r["tree"], r["node"], r["b"]
+                total = sum(b["counts"])
+                if b["gain"] <= 0 or node.bit_length() > depth:
+                    closed[t].add(node)
+                    rows.append((t, node, None, None, None, total, list(b["counts"])))
+                    continue
+                tops[t][node] = (b["feature"], b["bin"])
+                rows.append((t, node, b["feature"], float(edges[b["feature"]][b["bin"]]), b["gain"], total, list(b["counts"])))
+                left = sum(b["left"])
+                following += [(t, child) for child, k in ((2 * node, left), (2 * node + 1, total - left)) if k > node_rows]
+        active = following
+    return rows, tops, closed
+
+
+def fit_forest(
+    df: DataFrame, classes: Sequence[int], trees: int = 250, depth: int = 30, strategy: str = "all", seed: int = 1, key: Sequence[str] = (), bins: int = 32, node_rows: int = 1 << 15
+) -> Forest:
+    """A forest on ``features`` and ``label`` (codes in ``classes``, given a fixed index; other labels do not train).
+
+    ``strategy``: features tried at a node: all, sqrt, log2 or onethird.  ``key``: columns that tell rows apart for
+    bagging; without them rows of equal features and label share their weights.  Features are cut to ``bins`` (255 at
+    most) by their quantiles; NaN lies above all numbers.  Nodes of up to ``node_rows`` rows are finished in one task.
+    """
+    spark = df.sparkSession
+    known = df.withColumn("label", _index(classes, "label")).filter("label is not null")
+    rows = checkpointed(known.select(_row_key(known, key).alias("key"), "label", _values(known).alias("values")))
+    n, width = rows.agg(F.count("*"), F.max(F.size("values"))).first()
+    if not n:
+        raise ValueError("no rows to train on")
+    take = {"all": width, "sqrt": round(width**0.5), "log2": int(math.log2(width)), "onethird": width // 3}[strategy] or 1
+    edges, k = _edges(rows, width, min(bins, 255)), len(classes)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch["values"].to_pylist(), dtype=np.float64).reshape(batch.num_rows, width)
+            binned = np.column_stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(edges)]).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["label"], pa.array([b.tobytes() for b in binned], pa.binary())], ["key", "label", "x"])
+
+    data = checkpointed(rows.mapInArrow(cut, "key bigint, label int, x binary"))
+    top, tops, closed = _top_levels(data, trees, n, edges, k, depth, take, seed, node_rows)
+    shared = spark.sparkContext.broadcast((tops, closed))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, keys = _unpacked(batch), batch["key"].to_numpy()
+            for t in range(trees):
+                w = bag_weights(keys, t, seed)
+                own = np.flatnonzero(w)
+                node = _routed(x[own], shared.value[0][t])
+                open_ = ~np.isin(node, list(shared.value[1][t]))
+                own, node = own[open_], node[open_]
+                some = batch.take(pa.array(own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t), pa.int32()), pa.array(node), some["label"], pa.array(w[own], pa.int32()), some["x"]], ["tree", "node", "label", "w", "x"])
+
+    def finished(table: pa.Table) -> pa.Table:
+        t, node = table["tree"][0].as_py(), table["node"][0].as_py()
+        x, y, w = _unpacked(table), table["label"].to_numpy(), table["w"].to_numpy()
+        return pa.Table.from_batches([_node_batch(_grow(x, y, w, t, node, edges, k, depth, take, seed))])
+
+    grown = data.mapInArrow(dealt, "tree int, node bigint, label int, w int, x binary").groupBy("tree", "node").applyInArrow(finished, NODES)
+    nodes = checkpointed(spark.createDataFrame(top, NODES).unionByName(grown) if top else grown)
+    return Forest(nodes, trees, k, seed, tuple(key))
+
+
+def _arrays(table: pa.Table, classes: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By tree: feature (-1: leaf), threshold, place of the left child, and class shares; the root is at place 0."""
+    table = table.sort_by([("tree", "ascending"), ("node", "ascending")])
+    tree, node = table["tree"].to_numpy(), table["node"].to_numpy()
+    feature, limit = (table[c].fill_null(-1).to_numpy() for c in ("feature", "threshold"))
+    counts = np.asarray(table["counts"].combine_chunks().flatten()).reshape(-1, classes)
+    out = []
+    for first, last in zip(*(lambda f: (f, np.append(f[1:], len(tree))))(np.flatnonzero(np.diff(tree, prepend=-1))), strict=True):
+        own = slice(first, last)
+        out.append((int(tree[first]), feature[own], limit[own], np.searchsorted(node[own], 2 * node[own]), (counts[own] / counts[own].sum(axis=1, keepdims=True)).astype(np.float32)))
+    return out
+
+
+def _leaf(x: np.ndarray, feature: np.ndarray, limit: np.ndarray, left: np.ndarray) -> np.ndarray:
+    at = np.zeros(len(x), dtype=np.int64)
+    moving = np.flatnonzero(feature[at] >= 0)
+    while len(moving):
+        here = at[moving]
+        at[moving] = left[here] + ~(x[moving, feature[here]] <= limit[here])  # of siblings the right one follows the left
+        moving = moving[feature[at[moving]] >= 0]
+    return at
+
+
+def vote(model: Forest, df: DataFrame, keep: Sequence[str], out_of_bag: bool = False) -> DataFrame:
+    """The columns ``keep`` with votes (summed class shares of the trees' leaves) and prediction (index; null without votes).
+
+    ``out_of_bag``: only trees count that a row was not in, by its key; df then needs what the fit had, label included.
+    Trees are sent to the executors in parts of bounded size, and votes are added up part by part without an exchange.
+    """
+    nodes = model.nodes
+    sizes = {r["tree"]: r["count"] for r in nodes.groupBy("tree").count().collect()}
+    parts, held = [[]], 0
+    for t in sorted(sizes):
+        size = sizes[t] * (20 + 4 * model.classes)
+        if held + size > SENT and parts[-1]:
+            parts, held = [*parts, []], 0
+        parts[-1].append(t)
+        held += size
+    model_seed = model.seed
+    zero = F.array(*[F.lit(0.0)] * model.classes)
+    bag = _row_key(df, model.key) if out_of_bag else F.lit(0).cast("bigint")
+    rows = df.select(F.struct(*keep).alias("row"), bag.alias("key"), _values(df).alias("values"), zero.alias("votes"))
+    row = rows.schema["row"]
+    for part in parts:
+        shared = df.sparkSession.sparkContext.broadcast(_arrays(nodes.filter(F.col("tree").between(part[0], part[-1])).toArrow(), model.classes) if part else [])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.array(batch["values"].to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+                votes = np.array(batch["votes"].to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+                keys = batch["key"].to_numpy()
+                for t, feature, limit, left, shares in shared.value:
+                    add = shares[_leaf(x, feature, limit, left)]
+                    votes += add * (bag_weights(keys, t, model_seed) == 0)[:, None] if out_of_bag else add
+                yield pa.RecordBatch.from_arrays([batch["row"], batch["key"], batch["values"], pa.array(votes.tolist(), pa.list_(pa.float64()))], ["row", "key", "values", "votes"])
+
+        rows = rows.mapInArrow(run, rows.schema)
+    found = F.array_position("votes", F.array_max("votes")).cast("int") - 1
+    own = [F.col("row").getField(f.name).alias(f.name) for f in row.dataType.fields]
+    return rows.select(*own, "votes", F.when(F.array_max("votes") > 0, found).alias("prediction"))
+
+
+def _accuracy(voted: DataFrame) -> float:
+    return voted.filter("prediction is not null").agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
 
 
 def holdout_accuracy(df: DataFrame, classes: Sequence[int], key: str, share: float = 0.2, **options) -> float:
     """Accuracy on a share of the rows, by hash of their key, that the forest does not see."""
     at = F.pmod(F.xxhash64(key), F.lit(1000)) < int(share * 1000)
     model = fit_forest(df.filter(~at), classes, **options)
-    scored = model.transform(df.filter(at).withColumn("label", _index(classes, "label")))
-    return MulticlassClassificationEvaluator(metricName="accuracy").evaluate(scored)
+    return _accuracy(vote(model, df.filter(at).withColumn("label", _index(classes, "label")), ["label"]))
+
+
+def out_of_bag_accuracy(model: Forest, df: DataFrame, classes: Sequence[int]) -> float:
+    """Accuracy on the rows of the fit, each voted on by the trees that did not hold it; rows in all trees do not count."""
+    known = df.withColumn("label", _index(classes, "label")).filter("label is not null")
+    return _accuracy(vote(model, known, ["label"], out_of_bag=True))
+
+
+def tree_importances(nodes: DataFrame) -> DataFrame:
+    """tree, feature (number), importance: the share of the tree's weighted gain that splits by the feature have."""
+    gains = nodes.filter("feature is not null").groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("n")).alias("g"))
+    totals = gains.groupBy("tree").agg(F.sum("g").alias("t")).filter("t > 0")
+    return gains.join(totals, "tree").select("tree", "feature", (F.col("g") / F.col("t")).alias("importance"))
+
+
+def importances(nodes: DataFrame) -> DataFrame:
+    """feature (number), importance (mean over the trees that split, sums to 1) and deviation over them."""
+    each = tree_importances(nodes)
+    trees = each.agg(F.count_distinct("tree").cast("double").alias("trees"))
+    sums = each.groupBy("feature").agg(F.sum("importance").alias("s"), F.sum(F.col("importance") ** 2).alias("q")).crossJoin(F.broadcast(trees))
+    mean = F.col("s") / F.col("trees")
+    return sums.select("feature", mean.alias("importance"), F.sqrt(F.greatest(F.lit(0.0), F.col("q") / F.col("trees") - mean**2)).alias("deviation"))
 
 
-def feature_importance(spark: SparkSession, model: RandomForestClassificationModel, names: Sequence[str]) -> DataFrame:
-    """A row per feature, the most important first."""
-    rows = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+def feature_importance(spark: SparkSession, model: Forest, names: Sequence[str]) -> DataFrame:
+    """A row per feature, the most important first, with the deviation of its importance over the trees."""
+    listed = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, feature string")
+    found = importances(model.nodes).withColumnRenamed("feature", "i")
+    number = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return F.broadcast(listed).join(found, "i", "left").select("feature", number("importance"), number("deviation")).orderBy(F.desc("importance"), "feature")
 
 
 def importance_by_period(frames: dict[str, DataFrame]) -> DataFrame:
@@ -50,16 +382,21 @@ def importance_by_period(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def predict_map(model: RandomForestClassificationModel, px: DataFrame, classes: Sequence[int], keys: Sequence[str], roi: str = "roi") -> DataFrame:
+def predict_map(model: Forest, px: DataFrame, classes: Sequence[int], keys: Sequence[str], roi: str = "roi") -> DataFrame:
     """Predicted codes; 0 outside the region of interest, which is not scored."""
     codes = F.array(*map(F.lit, classes))
-    inside = model.transform(px.filter(F.col(roi) == 1)).select(*keys, F.element_at(codes, F.col("prediction").cast("int") + 1).alias("value"))
+    inside = vote(model, px.filter(F.col(roi) == 1), keys).select(*keys, F.element_at(codes, F.col("prediction") + 1).alias("value"))
     return inside.unionByName(px.filter((F.col(roi) != 1) | F.col(roi).isNull()).select(*keys, F.lit(0).alias("value")))
 
 
-def save_model(model: RandomForestClassificationModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Forest, path: str) -> None:
+    """The nodes as Parquet, and the numbers that a vote needs beside them; what was there is replaced."""
+    model.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    about = [(model.trees, model.classes, model.seed, list(model.key))]
+    model.nodes.sparkSession.createDataFrame(about, "trees int, classes int, seed bigint, key array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
 
 
-def load_model(path: str) -> RandomForestClassificationModel:
-    return RandomForestClassificationModel.load(path)
+def load_model(path: str) -> Forest:
+    spark = SparkSession.active()
+    about = spark.read.parquet(f"{path}/about").first()
+    return Forest(spark.read.parquet(f"{path}/nodes"), about["trees"], about["classes"], about["seed"], tuple(about["key"]))

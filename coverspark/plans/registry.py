@@ -1010,12 +1010,8 @@ def _vectors(spark, sf_dir):
     return df.select("vec_id", array_to_vector("embedding").alias("features"), F.col("label").cast("int").alias("label"), (F.col("vec_id") % 2 == 0).cast("int").alias("is_train"), (F.col("vec_id") % 5 != 1).cast("int").alias("roi"))
 
 
-#: Forests of the registered queries; the operators' defaults are 250 trees of depth 30.
-SIZE = {"trees": 50, "depth": 10}
-
-
 def _model(spark, sf_dir):
-    return forest.fit_forest(forest.training_set(_vectors(spark, sf_dir), "label"), range(10), **SIZE)
+    return forest.fit_forest(forest.training_set(_vectors(spark, sf_dir), "label"), range(10))
 
 
 @_query()
@@ -1023,6 +1019,13 @@ def forest_predict(spark, sf_dir):
     return forest.predict_map(_model(spark, sf_dir), _vectors(spark, sf_dir), list(range(10)), ["vec_id"])
 
 
+@_query()
+def saved_forest_predict(spark, sf_dir):
+    path = pixels.shared_folder(spark)
+    forest.save_model(_model(spark, sf_dir), path)
+    return forest.predict_map(forest.load_model(path), _vectors(spark, sf_dir), list(range(10)), ["vec_id"])
+
+
 @_query()
 def feature_importance(spark, sf_dir):
     return forest.feature_importance(spark, _model(spark, sf_dir), [f"e{i}" for i in range(64)])
@@ -1031,10 +1034,26 @@ def feature_importance(spark, sf_dir):
 @_query()
 def holdout_accuracy(spark, sf_dir):
     data = _vectors(spark, sf_dir)
-    share = forest.holdout_accuracy(data.select("vec_id", "features", "label"), list(range(10)), "vec_id", **SIZE)
+    share = forest.holdout_accuracy(data.select("vec_id", "features", "label"), list(range(10)), "vec_id")
     return spark.createDataFrame([(share,)], "accuracy double")
 
 
+@_query()
+def out_of_bag_accuracy(spark, sf_dir):
+    data = _vectors(spark, sf_dir).select("vec_id", "features", "label")
+    model = forest.fit_forest(data, range(10), key=["vec_id"])
+    return spark.createDataFrame([(forest.out_of_bag_accuracy(model, data, range(10)),)], "accuracy double")
+
+
+@_query()
+def forest_importance_by_period(spark, sf_dir):
+    """The cube holds two periods of 32 features each; a forest a period."""
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding", F.col("label").cast("int").alias("label"))
+    names = [f"e{i}" for i in range(32)]
+    fit = lambda first: forest.fit_forest(df.select(F.slice("embedding", first, 32).alias("features"), "label"), range(10))
+    return forest.importance_by_period({p: forest.feature_importance(spark, fit(first), names) for p, first in (("p1", 1), ("p2", 33))})
+
+
 @_query("SELECT coalesce(a.band, b.band) AS feature, a.v AS p1, b.v AS p2 FROM (SELECT band, round(avg(value),6) AS v FROM obs WHERE month<=8 GROUP BY band) a FULL JOIN (SELECT band, round(avg(value),6) AS v FROM obs WHERE month>=5 GROUP BY band) b ON a.band=b.band", "obs")
 def importance_by_period(spark, sf_dir):
     long = _obs(spark, sf_dir)
