@@ -18,9 +18,9 @@ def crosstab(df: DataFrame, classes: Sequence[int], truth: str = "truth", predic
     return cube.groupBy("truth").pivot("predict", [*map(str, classes), "All"]).agg(F.sum("n")).na.fill(0)
 
 
-def confusion(df: DataFrame, truth: str = "truth", predict: str = "predict") -> DataFrame:
-    """truth, predict, n over the union of classes, zeros included.  Classes are few."""
-    n = df.filter(F.col(truth).isNotNull() & F.col(predict).isNotNull()).groupBy(F.col(truth).alias("truth"), F.col(predict).alias("predict")).agg(F.count("*").alias("n"))
+def confusion(df: DataFrame, truth: str = "truth", predict: str = "predict", n: str | None = None) -> DataFrame:
+    """truth, predict, n over the union of classes, zeros included.  Classes are few.  ``n``: rows are counted already."""
+    n = df.filter(F.col(truth).isNotNull() & F.col(predict).isNotNull()).groupBy(F.col(truth).alias("truth"), F.col(predict).alias("predict")).agg((F.sum(n) if n else F.count("*")).alias("n"))
     classes = n.select(F.explode(F.array("truth", "predict")).alias("c")).distinct()
     dense = classes.select(F.col("c").alias("truth")).join(F.broadcast(classes.select(F.col("c").alias("predict"))), how="cross")
     return dense.join(n, ["truth", "predict"], "left").select("truth", "predict", F.coalesce("n", F.lit(0)).alias("n"))
@@ -100,18 +100,26 @@ def sample_pairs(px: DataFrame, ref: str, map_: str, mask: str = "mask") -> Data
     return pairs.join(seen, "map", "left_semi").select(*PIX, "ref", "map")
 
 
+def pair_counts(table: DataFrame, ref: str, map_: str) -> DataFrame:
+    """ref, map, n of what ``sample_pairs`` would return, from rows that count pixels (n): a few hundred at most."""
+    counts = table.filter((F.col(map_) > 0) & F.col(ref).isNotNull()).groupBy(F.col(ref).alias("ref"), F.col(map_).alias("map")).agg(F.sum("n").alias("n"))
+    return counts.join(counts.select(F.col("ref").alias("map")).distinct(), "map", "left_semi").select("ref", "map", "n")
+
+
 def error_matrix(pairs: DataFrame, areas: DataFrame, classes: Sequence[int], weights: str = "map") -> DataFrame:
     """Rows map, columns reference (``r_<class>``), row_total, map_area and w, and a totals row (map null).
 
     ``areas`` has class and ha.  ``weights``: ``map``, the share of the area, or ``sample``, that of the reference sample.
+    ``pairs`` may be counted already, in a column n.
     """
-    counts = pairs.groupBy("map").pivot("ref", list(classes)).agg(F.count(F.lit(1)))
+    pairs = pairs if "n" in pairs.columns else pairs.withColumn("n", F.lit(1).cast("bigint"))
+    counts = pairs.groupBy("map").pivot("ref", list(classes)).agg(F.sum("n"))
     cols = [f"r_{c}" for c in classes]
     counts = counts.select(F.col("map").cast("int").alias("map"), *[F.coalesce(F.col(str(c)), F.lit(0)).alias(n) for c, n in zip(classes, cols, strict=True)])
     total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
     rows = counts.withColumn("row_total", total).join(areas.select(F.col("class").alias("map"), F.col("ha").cast("bigint").alias("map_area")), "map", "left")
     if weights == "sample":
-        share = pairs.groupBy(F.col("ref").alias("map")).agg(F.count("*").alias("_n"))
+        share = pairs.groupBy(F.col("ref").alias("map")).agg(F.sum("n").alias("_n"))
         rows = rows.join(share, "map", "left").withColumn("w", F.coalesce("_n", F.lit(0)) / F.sum("row_total").over(Window.partitionBy())).drop("_n")
     else:
         rows = rows.withColumn("w", F.col("map_area") / F.sum("map_area").over(Window.partitionBy()))

@@ -56,13 +56,15 @@ def compare_rasters(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.count(d).alias("n"), F.min(d).alias("min"), F.max(d).alias("max"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("std"), F.count_if(F.col("y").isNull() & F.col("x").isNotNull()).alias("only_a"), F.count_if(F.col("x").isNull() & F.col("y").isNotNull()).alias("only_b"))
 
 
-def gain_loss(px: DataFrame, c1: str, c2: str, by: Sequence[str] = ()) -> DataFrame:
+def gain_loss(px: DataFrame, c1: str, c2: str, by: Sequence[str] = (), n: str | None = None) -> DataFrame:
     """Per class: counts of both periods, hectares, difference, percent of the first period and of the changed area.
 
+    ``n`` names a column of counts if the rows are counted already.
+
     The changed area is that of the pixels of map 1 whose class differs in map 2 (``change_flag``); the percents keep
     the sign of the difference.
     """
-    counts = px.groupBy(*by, F.col(c1).alias("c1"), F.col(c2).alias("c2")).agg(F.count("*").alias("n"))
+    counts = px.groupBy(*by, F.col(c1).alias("c1"), F.col(c2).alias("c2")).agg((F.sum(n) if n else F.count("*")).alias("n"))
     none = F.lit(0).cast("bigint")
     moved = F.coalesce(change_flag(F.col("c1"), F.col("c2")), F.lit(0)) * F.col("n")
     first = F.struct(F.col("c1").alias("class"), F.col("n").alias("n1"), none.alias("n2"), moved.alias("moved"))
@@ -82,13 +84,14 @@ def gain_loss_long(gl: DataFrame, periods: tuple[str, str] = ("1", "2")) -> Data
 
 
 def gain_loss_periods(px: DataFrame, periods: Sequence[str]) -> DataFrame:
-    """``gain_loss`` of each pair of consecutive periods and of the first and the last, with their names."""
+    """``gain_loss`` of each pair of consecutive periods and of the first and the last, with their names.
+
+    The pixels are read once for any number of periods: tuples of classes are counted, and each adds to all pairs.
+    """
     pairs = list(zip(periods, periods[1:], strict=False)) + ([(periods[0], periods[-1])] if len(periods) > 2 else [])
-    made = [gain_loss(px, a, b).withColumns({"from": F.lit(a), "to": F.lit(b)}) for a, b in pairs]
-    out = made[0]
-    for m in made[1:]:
-        out = out.unionByName(m)
-    return out
+    tuples = px.groupBy(*periods).agg(F.count("*").alias("n"))
+    own = [F.struct(F.lit(a).alias("from"), F.lit(b).alias("to"), F.col(a).alias("first"), F.col(b).alias("second"), "n") for a, b in pairs]
+    return gain_loss(tuples.select(F.explode(F.array(*own)).alias("e")).select("e.*"), "first", "second", ["from", "to"], "n")
 
 
 def transition_code(c1: Column, c2: Column) -> Column:

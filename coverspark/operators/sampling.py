@@ -69,6 +69,27 @@ def stratified_sample(px: DataFrame, targets: DataFrame, w: int, rows: int, cols
     return kept.select(*px.columns)
 
 
+def window_table(px: DataFrame, columns: Sequence[str], w: int) -> DataFrame:
+    """A row per lattice window and tuple of values: wr, wc, the columns, n, and the last row and column seen.
+
+    One scan of the pixels, combined before the exchange; frequencies, samples by windows and what is counted at them
+    follow from this table, which holds a row for several pixels.
+    """
+    at = {"wr": F.floor(F.col("row") / w).cast("int"), "wc": F.floor(F.col("col") / w).cast("int")}
+    return px.withColumns(at).groupBy("wr", "wc", *columns).agg(F.count("*").alias("n"), F.max("row").alias("last_row"), F.max("col").alias("last_col"))
+
+
+def sampled_table(table: DataFrame, value: str, share: float, w: int, seed: int = 1) -> DataFrame:
+    """The rows of a ``window_table`` whose pixels a stratified sample of whole windows takes, by classes of ``value``."""
+    size = table.agg((F.max("last_row") + 1).alias("rows"), (F.max("last_col") + 1).alias("cols"))
+    whole = table.join(F.broadcast(size), how="cross").filter(((F.col("wr") + 1) * w <= F.col("rows")) & ((F.col("wc") + 1) * w <= F.col("cols")))
+    known = F.col(value).isNotNull()
+    freq = table.filter(known).groupBy(F.col(value).alias("class")).agg(F.sum("n").alias("n"))
+    counts = whole.filter(known).groupBy("wr", "wc", F.col(value).alias("class")).agg(F.sum("n").alias("n"))
+    taken = stratified_windows(counts, train_targets(freq, share), seed)
+    return whole.join(taken.select("wr", "wc", F.col("class").alias(value)), ["wr", "wc", value], "left_semi").select(*table.columns)
+
+
 def sample_report(freq: DataFrame, targets: DataFrame, sample: DataFrame) -> DataFrame:
     """Pixels, target, sampled, percents of target and class, and whether the target is met; all inputs are class tables."""
     out = freq.join(targets.select("class", "target"), "class").join(sample.select("class", F.col("n").alias("sampled")), "class", "left")

@@ -7,6 +7,7 @@ Each query runs over a whole table: a pixel grid with aligned maps, observations
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -773,8 +774,12 @@ def sample_pairs(spark, sf_dir):
 AREAS = "ar AS (SELECT map1 AS class, count(*)*0.09::DOUBLE AS ha FROM px WHERE map1 IS NOT NULL GROUP BY 1)"
 
 
-def _areas(spark, sf_dir):
-    return classes.class_freq(_px(spark, sf_dir), "map1").select("class", (F.col("n") * 0.09).alias("ha"))
+def _counted(px, ref, map_):
+    """Pairs (ref, map, n) at the stratified sample, and areas of the map's classes: one scan, then small written tables."""
+    table = pixels.checkpointed(sampling.window_table(px, [ref, map_], 7))
+    pairs = pixels.checkpointed(accuracy.pair_counts(sampling.sampled_table(table, ref, 0.2, 7), ref, map_))
+    areas = table.filter(F.col(map_).isNotNull()).groupBy(F.col(map_).alias("class")).agg((F.sum("n") * 0.09).alias("ha"))
+    return pairs, pixels.checkpointed(areas)
 
 
 def _em(w: str) -> str:
@@ -786,16 +791,18 @@ def _em(w: str) -> str:
 
 @_query(_em("CAST(trunc(ha) AS BIGINT)/sum(CAST(trunc(ha) AS BIGINT)) OVER ()"), "px")
 def error_matrix(spark, sf_dir):
-    return r6(accuracy.error_matrix(_pairs(spark, sf_dir), _areas(spark, sf_dir), CLASSES))
+    return r6(accuracy.error_matrix(*_counted(_px(spark, sf_dir), "ref1", "map1"), CLASSES))
 
 
 @_query(_em("coalesce((SELECT count(*) FROM pairs p WHERE p.ref=e.map),0)/sum(row_total) OVER ()"), "px")
 def error_matrix_sample(spark, sf_dir):
-    return r6(accuracy.error_matrix(_pairs(spark, sf_dir), _areas(spark, sf_dir), CLASSES, weights="sample"))
+    return r6(accuracy.error_matrix(*_counted(_px(spark, sf_dir), "ref1", "map1"), CLASSES, weights="sample"))
 
 
-def _dense(spark, sf_dir):
-    return accuracy.confusion(_pairs(spark, sf_dir), "map", "ref").select(F.col("truth").alias("map"), F.col("predict").alias("ref"), "n")
+def _dense(px, ref="ref1", map_="map1"):
+    """Dense counts of map by reference at the sample, and areas."""
+    pairs, areas = _counted(px, ref, map_)
+    return accuracy.confusion(pairs, "map", "ref", "n").select(F.col("truth").alias("map"), F.col("predict").alias("ref"), "n"), areas
 
 
 PROP = f"{PAIRS}, {AREAS}, c2 AS (SELECT DISTINCT unnest([map,ref]) AS c FROM pairs), d0 AS (SELECT a.c AS map, b.c AS ref, count(p.map) AS n FROM c2 a CROSS JOIN c2 b LEFT JOIN pairs p ON p.map=a.c AND p.ref=b.c GROUP BY ALL), d1 AS (SELECT map, ref, n, sum(n) OVER (PARTITION BY map) AS ni, ha AS a, ha/(SELECT sum(ha) FROM ar) AS w FROM d0 JOIN ar ON class=map), d2 AS (SELECT *, n/nullif(ni,0) AS u, w*n/nullif(ni,0) AS p FROM d1), d3 AS (SELECT *, u*(1-u)/nullif(ni-1,0) AS v FROM d2)"
@@ -803,7 +810,7 @@ PROP = f"{PAIRS}, {AREAS}, c2 AS (SELECT DISTINCT unnest([map,ref]) AS c FROM pa
 
 @_query(f", {PROP} SELECT map, ref, n, round(w,6) AS w, round(u,6) AS u, round(p,6) AS p FROM d2", "px")
 def area_proportions(spark, sf_dir):
-    return r6(accuracy.area_proportions(_dense(spark, sf_dir), _areas(spark, sf_dir)).select("map", "ref", "n", "w", "u", "p"))
+    return r6(accuracy.area_proportions(*_dense(_px(spark, sf_dir))).select("map", "ref", "n", "w", "u", "p"))
 
 
 OLOF = f"""{PROP}, k AS (SELECT ref AS class, sum(p) AS area, sum(a*u) AS aj, sum(w*w*v) AS av, count(*) FILTER (v IS NULL) AS gaps, coalesce(sum(a*a*v) FILTER (map<>ref),0) AS off, count(*) FILTER (v IS NULL AND map<>ref) AS og, max(u) FILTER (map=ref) AS ua, max(p) FILTER (map=ref) AS pjj, max(v) FILTER (map=ref) AS uv, max(a) FILTER (map=ref) AS a, max(w) FILTER (map=ref) AS w FROM d3 GROUP BY ref),
@@ -812,7 +819,26 @@ ol AS (SELECT class, ua, sqrt(uv) AS ua_se, pjj/nullif(area,0) AS pa, CASE WHEN
 
 @_query(f", {OLOF} SELECT class, round(ua,6) AS ua, round(ua_se,6) AS ua_se, round(pa,6) AS pa, round(pa_se,6) AS pa_se, round(area,6) AS area, round(area_se,6) AS area_se, round(oa,6) AS oa, round(oa_se,6) AS oa_se FROM ol", "px")
 def olofsson(spark, sf_dir):
-    return r6(accuracy.olofsson(_dense(spark, sf_dir), _areas(spark, sf_dir)))
+    return r6(accuracy.olofsson(*_dense(_px(spark, sf_dir))))
+
+
+def _group(c: str) -> str:
+    return f"(floor(({c}-101)/3)+1)"
+
+
+def _strata(sql: str) -> str:
+    """The same SQL over transition strata: four groups of classes at two times make 16 codes of reference and of map."""
+    codes = ", ".join(f"CAST({_group(a)}*10+{_group(b)} AS INT) AS {n}" for a, b, n in (("ref1", "ref2", "strata"), ("map1", "map2", "coded")))
+    table = f"pc AS (SELECT px.*, {codes} FROM px)"
+    return f", {table}, " + re.sub(r"\bpx\b", "pc", sql.lstrip(", ")).replace("ref1", "strata").replace("map1", "coded")
+
+
+@_query(_strata(OLOF) + " SELECT class, round(ua,6) AS ua, round(ua_se,6) AS ua_se, round(pa,6) AS pa, round(pa_se,6) AS pa_se, round(area,6) AS area, round(area_se,6) AS area_se, round(oa,6) AS oa, round(oa_se,6) AS oa_se FROM ol", "px")
+def transition_accuracy(spark, sf_dir):
+    """Area-weighted accuracy of a change map: sample, pairs and estimates by transition strata."""
+    code = lambda a, b, n: F.expr(f"CAST({_group(a)}*10+{_group(b)} AS INT)").alias(n)
+    px = _px(spark, sf_dir, "row", "col", code("ref1", "ref2", "strata"), code("map1", "map2", "coded"))
+    return r6(accuracy.olofsson(*_dense(px, "strata", "coded")))
 
 
 def _shown(a: str, b: str, n: int, m: int) -> str:
@@ -824,7 +850,7 @@ Z95 = "1.959963984540054::DOUBLE"
 
 @_query(f", {OLOF} SELECT class, round(area*1000,6) AS ha, round(area_se*1000,6) AS ha_se, round(area*1000-{Z95}*area_se*1000,6) AS ha_low, round(area*1000+{Z95}*area_se*1000,6) AS ha_high, round({Z95}*ua_se,6) AS ua_ci, round({Z95}*pa_se,6) AS pa_ci, {_shown('area*1000', '2*area_se*1000', 0, 0)} AS ha_text, {_shown('ua', Z95 + '*ua_se', 3, 4)} AS ua_text, {_shown('pa', Z95 + '*pa_se', 3, 4)} AS pa_text FROM ol".replace("{{", "{").replace("}}", "}"), "px")
 def accuracy_summary(spark, sf_dir):
-    return r6(accuracy.accuracy_summary(accuracy.olofsson(_dense(spark, sf_dir), _areas(spark, sf_dir)), 1000.0))
+    return r6(accuracy.accuracy_summary(accuracy.olofsson(*_dense(_px(spark, sf_dir))), 1000.0))
 
 
 # --- change ------------------------------------------------------------------------------------------------------------
