@@ -112,12 +112,14 @@ def extract_zone(px: DataFrame, zones: Iterable[str], value: str = "value", zone
 
 
 def common_mask(*maps: DataFrame) -> DataFrame:
-    """Pixels with a value > 0 in every map; a map may repeat a pixel."""
+    """Pixels with a value > 0 in every map; a map may repeat a pixel.  Up to 62 maps are bits of a number, more a set."""
+    bits = len(maps) <= 62
     every = None
     for i, m in enumerate(maps):
-        one = m.filter("value > 0").select(*PIX, F.lit(1 << i).cast("bigint").alias("map"))
+        one = m.filter("value > 0").select(*PIX, F.lit(1 << i if bits else i).cast("bigint").alias("map"))
         every = one if every is None else every.unionByName(one)
-    return every.groupBy(*PIX).agg(F.bit_or("map").alias("maps")).filter(F.col("maps") == (1 << len(maps)) - 1).drop("maps")
+    found = F.bit_or("map") if bits else F.size(F.collect_set("map"))
+    return every.groupBy(*PIX).agg(found.alias("maps")).filter(F.col("maps") == ((1 << len(maps)) - 1 if bits else len(maps))).drop("maps")
 
 
 def common_columns(px: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -147,6 +147,45 @@ def run_record(spark, sf_dir):
     return pixels.run_record(spark, found.asDict())
 
 
+@_query("SELECT unnest(['first','second']) AS run, 'pixels' AS key, CAST(count(*) AS VARCHAR) AS value FROM px", "px")
+def run_log(spark, sf_dir):
+    """Two runs appended to one log."""
+    path, n = pixels.shared_folder(spark), _px(spark, sf_dir).count()
+    for run in ("first", "second"):
+        pixels.append_record(spark, {"pixels": n}, path, run)
+    return pixels.read_records(spark, path)
+
+
+@_query("SELECT tile, CAST(1 AS BIGINT) AS files, 'parquet' AS kind FROM px GROUP BY tile", "px")
+def files_by_tile(spark, sf_dir):
+    """The writer leaves one file a tile; names come from the listing."""
+    path = pixels.shared_folder(spark)
+    pixels.write_pixels(_map(spark, sf_dir, "ref1"), path)
+    name = F.element_at(F.split("path", "/"), -1)
+    files = pixels.list_files(spark, path, ".parquet").withColumn("tile", F.regexp_extract("path", r"tile=([^/]+)/", 1))
+    return files.filter("length > 0").groupBy("tile", F.element_at(F.split(name, r"\."), -1).alias("kind")).agg(F.count("*").alias("files"))
+
+
+def _stored(spark, sf_dir, name):
+    path = pixels.shared_folder(spark)
+    return pixels.store_pixels(_map(spark, sf_dir, name), f"map_{path.rsplit('/', 1)[-1]}", 8, path)
+
+
+@_query(f"SELECT {PIX}, CASE WHEN ref2 IS NULL THEN NULL WHEN map2 IS NULL OR ref2<>map2 THEN 1 ELSE 0 END AS flag FROM px", "px")
+def change_flag_stored(spark, sf_dir):
+    """Maps stored in buckets meet without an exchange."""
+    both = change.pair(_stored(spark, sf_dir, "ref2"), _stored(spark, sf_dir, "map2"))
+    return both.select("tile", "row", "col", change.change_flag(F.col("c1"), F.col("c2")).alias("flag"))
+
+
+@_query("SELECT tile, row-25 AS row, col-30 AS col, ref1 AS value FROM px WHERE row>=25 AND row<75 AND col>=30 AND col<90", "px")
+def crop_stored(spark, sf_dir):
+    """A window of a map stored in squares: files of squares outside it are not read."""
+    path = pixels.shared_folder(spark)
+    pixels.write_blocks(_map(spark, sf_dir, "ref1"), path, 25)
+    return grid.crop(pixels.read_box(spark, path, 25, 75, 30, 90, 25), 25, 75, 30, 90)
+
+
 # --- grid --------------------------------------------------------------------------------------------------------------
 
 GRID = "grid AS (SELECT 500000.0::DOUBLE AS ulx, 2000000.0::DOUBLE AS uly, 30.0::DOUBLE AS xres, -30.0::DOUBLE AS yres, max(row)+1 AS nrows, max(col)+1 AS ncols FROM px)"
@@ -1006,6 +1045,13 @@ def series_align(spark, sf_dir):
     return series.series_align(series.series_by_site(scenes.filter("site % 2 = 0"), []), series.series_by_site(scenes.filter("site % 2 = 1"), []))
 
 
+@_query("SELECT CAST(strptime(substr(path,12,7),'%Y%j') AS DATE) AS date, CAST(trunc(avg(value)) AS INT) AS value FROM scene WHERE site//25 BETWEEN -2 AND 4 AND site%25 BETWEEN 1 AND 7 GROUP BY ALL", "scene")
+def site_window_series(spark, sf_dir):
+    """Scenes as pixels, sites in rows of 25; the window around one of them."""
+    scenes = view(spark, sf_dir, "scene").withColumns({"row": F.floor(F.col("site") / 25), "col": F.col("site") % 25})
+    return series.site_series(scenes, 1, 4, 7)
+
+
 @_query("SELECT pix, band, round(sum(value)/nullif(count(*) FILTER (value>0),0),6) AS mean FROM obs GROUP BY pix, band", "obs")
 def annual_mean(spark, sf_dir):
     return r6(series.annual_mean(_obs(spark, sf_dir), ["pix", "band"]))

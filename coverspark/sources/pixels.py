@@ -9,6 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PIX = ["tile", "row", "col"]
 TYPES = {"byte": "tinyint", "int16": "smallint", "int32": "int", "float32": "float", "float64": "double"}
 
 
@@ -46,6 +47,31 @@ def write_pixels(df: DataFrame, path: str, dtype: str = "int16", nodata: float =
     out.repartition("tile").sortWithinPartitions("tile", "row", "col").write.partitionBy("tile").parquet(path)
 
 
+def store_pixels(df: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
+    """The pixels as a table in buckets by tile, row and col, a file each, sorted.
+
+    Joins by those columns between tables of as many buckets (pairs of maps, masks, samples) need no exchange, however
+    large they are.  Without a path the table lies in the warehouse.
+    """
+    writer = df.repartition(buckets, *PIX).write.bucketBy(buckets, *PIX).sortBy(*PIX)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def write_blocks(df: DataFrame, path: str, side: int = 1250) -> None:
+    """A folder for each tile and square of ``side`` pixels (br, bc), a file each, rows in order."""
+    at = {"br": F.floor(F.col("row") / side).cast("int"), "bc": F.floor(F.col("col") / side).cast("int")}
+    folders = ["tile", *at]
+    df.withColumns(at).repartition(*folders).sortWithinPartitions(*folders, "row", "col").write.partitionBy(*folders).parquet(path)
+
+
+def read_box(spark: SparkSession, path: str, r0: int, r1: int, c0: int, c1: int, side: int = 1250) -> DataFrame:
+    """Pixels of rows r0 to r1 and columns c0 to c1 (half open) of what ``write_blocks`` wrote: only squares that they touch are read."""
+    touched = F.col("br").between(r0 // side, (r1 - 1) // side) & F.col("bc").between(c0 // side, (c1 - 1) // side)
+    inside = (F.col("row") >= r0) & (F.col("row") < r1) & (F.col("col") >= c0) & (F.col("col") < c1)
+    return spark.read.parquet(path).filter(touched & inside).drop("br", "bc")
+
+
 def read_feature(df: DataFrame, feature: str, dtype: str = "int16") -> DataFrame:
     """One named dataset, rounded half to even."""
     return df.select("tile", "row", "col", F.bround(feature).cast(TYPES[dtype]).alias("value"))
@@ -114,6 +140,16 @@ def run_record(spark: SparkSession, values: Mapping[str, object]) -> DataFrame:
     return spark.createDataFrame([(str(k), str(v)) for k, v in values.items()], "key string, value string")
 
 
+def append_record(spark: SparkSession, values: Mapping[str, object], path: str, run: str) -> None:
+    """Add a run's parameters to the log of all runs; earlier runs stay as they are."""
+    run_record(spark, values).withColumn("run", F.lit(run)).coalesce(1).write.mode("append").parquet(path)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """run, key and value of all runs."""
+    return spark.read.parquet(path).select("run", "key", "value")
+
+
 def parse_scene(df: DataFrame, path: str = "path") -> DataFrame:
     """date, year, doy and scene_tile from file names like ``LANDSAT08.A2013144.h019v025.hdf``."""
     name = F.element_at(F.split(F.col(path), "/"), -1)
