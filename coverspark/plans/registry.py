@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coverspark.operators import accuracy, change, classes, features, forest, grid, quality, repair, sampling, series
+from coverspark.operators import accuracy, change, classes, features, forest, grid, quality, repair, sampling, series, sketches
 from coverspark.plans.fixtures import ctes, view
 from coverspark.sources import pixels
 
@@ -433,6 +433,14 @@ def unique_values(spark, sf_dir):
     return classes.unique_values(_px(spark, sf_dir), "ref1")
 
 
+@_query("SELECT count(*) AS pixels, count(ref1) AS n, min(ref1)::DOUBLE AS lo, max(ref1)::DOUBLE AS hi, round(avg(ref1),6) AS mean, round(stddev_pop(ref1),6) AS std, count(DISTINCT ref1) AS \"distinct\" FROM px", "px")
+def mosaic_summary(spark, sf_dir):
+    """From summaries stored with the tiles; with so few classes the sketch of distinct values is exact."""
+    path = pixels.shared_folder(spark)
+    sketches.summarize(_map(spark, sf_dir, "ref1")).write.parquet(path)
+    return r6(sketches.described(spark.read.parquet(path)))
+
+
 # --- features ----------------------------------------------------------------------------------------------------------
 
 
