@@ -130,6 +130,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op13_quality_rules": r"""
+        WITH langs AS (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) * 500 >= (SELECT count(*) FROM documents) AND strlen(lang) <= 64),
+        e AS (SELECT doc_id, CASE WHEN lang IN (SELECT lang FROM langs) THEN lang ELSE '' END AS lang, coalesce(text, '') AS t,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (SELECT doc_id, i, list_slice(w, i, i + 4) AS five FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM e WHERE len(w) >= 5)),
+        again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, five) > 1),
+        inside AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(5) r(k) GROUP BY doc_id),
+        base AS (SELECT e.doc_id, lang, t, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+            CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+            list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+            FROM e LEFT JOIN inside USING (doc_id)),
+        plain AS (SELECT doc_id, lang, len(w) AS n, unnest(list_transform(w, lambda x: translate(trim(x, '.,;:!?''"()-'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS word FROM e),
+        held AS (SELECT doc_id, lang, n, word, count(*) AS k FROM plain GROUP BY ALL),
+        totals AS (SELECT lang, sum(k) AS words FROM held GROUP BY lang),
+        sums AS (SELECT lang, word, sum(k) AS k, sum(CASE WHEN n >= 40 THEN CAST(round_even(1073741824.0::DOUBLE * k / n, 0) AS BIGINT) ELSE 0 END) AS s FROM held WHERE strlen(word) <= 64 GROUP BY lang, word),
+        judged AS (SELECT lang, count(*) AS m FROM e WHERE len(w) >= 40 GROUP BY lang HAVING count(*) >= 50),
+        common AS (SELECT lang, word, s / (m * 1073741824.0::DOUBLE) AS r FROM sums JOIN totals USING (lang) JOIN judged USING (lang) WHERE k * 1000 >= words),
+        others AS (SELECT lang, 1 - sum(r) AS r FROM common GROUP BY lang),
+        long AS (SELECT doc_id, lang, t, len(w) AS n FROM e JOIN judged USING (lang) WHERE len(w) >= 40),
+        present AS (SELECT doc_id, k / n AS x, r FROM held JOIN common USING (lang, word) WHERE n >= 40),
+        pairs AS (SELECT * FROM present UNION ALL SELECT l.doc_id, 1 - coalesce(sum(x), 0), any_value(o.r) FROM long l JOIN others o USING (lang) LEFT JOIN present p ON p.doc_id = l.doc_id GROUP BY l.doc_id),
+        far_words AS (SELECT doc_id, sqrt(greatest(0, (sum(CASE WHEN x > 0 THEN x * log2(2 * x / (x + r)) ELSE 0 END) + sum(CASE WHEN r > 0 THEN r * log2(2 * r / (x + r)) ELSE 0 END) + 1 - sum(r)) / 2)) AS d FROM pairs GROUP BY doc_id),
+        kinds AS (SELECT doc_id, lang, length(t) AS size, unnest(range(9)) AS kind, unnest(list_transform(
+            ['[^a-z]+', '[^A-Z]+', '[^0-9]+', '[^\x20\x09-\x0D]+', '[^.,;:!?''"()-]+', '[a-zA-Z0-9\x20\x09-\x0D.,;:!?''"()\-\x{80}-\x{10FFFF}]+', '[^\x{80}-\x{7FF}]+', '[^\x{800}-\x{FFFF}]+', '[^\x{10000}-\x{10FFFF}]+'],
+            lambda p: length(regexp_replace(t, p, '', 'g')))) / length(t) AS x FROM long),
+        usual AS (SELECT lang, kind, s / sum(s) OVER (PARTITION BY lang) AS r FROM (SELECT lang, kind, sum(CAST(round_even(1073741824.0::DOUBLE * x, 0) AS BIGINT))::DOUBLE AS s FROM kinds GROUP BY lang, kind)),
+        far_kinds AS (SELECT doc_id, sqrt(greatest(0, (sum(CASE WHEN x > 0 THEN x * log2(2 * x / (x + r)) ELSE 0 END) + sum(CASE WHEN r > 0 THEN r * log2(2 * r / (x + r)) ELSE 0 END)) / 2)) AS d FROM kinds JOIN usual USING (lang, kind) GROUP BY doc_id),
+        failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+        SELECT f.doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+            round(c.d, 6) AS class_distance, round(v.d, 6) AS word_distance,
+            NOT base_failed AND coalesce(c.d <= 0.13 + 1.4 / sqrt(n_words) AND v.d <= 0.33 + 1.35 / sqrt(n_words), true) AS kept
+        FROM failed f LEFT JOIN far_kinds c USING (doc_id) LEFT JOIN far_words v ON v.doc_id = f.doc_id""",
     "op12_resampling": r"""
         WITH RECURSIVE nibble AS (SELECT i, i AS c, 0 AS k FROM range(16) r(i)
             UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM nibble WHERE k < 4),

@@ -162,6 +162,7 @@ def test_references_do_not_depend_on_partitions(docs):
 
 def test_the_queries_read_all_documents(spark, sf_dir, same_rows):
     same_rows(queries.QUERIES["op12_resampling"], queries.ORACLES["op12_resampling"])
+    same_rows(queries.QUERIES["op13_quality_rules"], queries.ORACLES["op13_quality_rules"])
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for r in queries.QUERIES["op13_quality_rules"](spark, sf_dir).collect()}
     assert got == {r["doc_id"]: base(r["text"]) for r in docs}
