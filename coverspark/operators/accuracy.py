@@ -88,6 +88,24 @@ def validate(pred: DataFrame, sites: DataFrame) -> dict[str, DataFrame]:
     return {"counts": validation_counts(at), "confusion": conf, "accuracy": accuracy(conf), "users": normalize_conf(conf, "predict"), "producers": normalize_conf(conf, "truth"), "kappa": kappa(conf), "report": class_report(conf)}
 
 
+def validate_windows(pred: DataFrame, points: DataFrame, sizes: Sequence[int] = (1, 3, 5)) -> DataFrame:
+    """size, pixels, right and accuracy for windows of several sizes around sites (site, row, col), in one run.
+
+    Where windows of one size overlap the greatest site wins, as in ``points_to_windows``; windows end at the map's
+    edge, and sites of 0 are none.  The largest window is made once, and the map is joined once for all sizes.
+    """
+    k = max(sizes) // 2
+    step = F.sequence(F.lit(-k), F.lit(k))
+    near = points.filter("site > 0").withColumn("dr", F.explode(step)).withColumn("dc", F.explode(step))
+    at = near.select((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), F.greatest(F.abs("dr"), F.abs("dc")).alias("d"), "site")
+    at = at.groupBy("row", "col").agg(*[F.max(F.when(F.col("d") <= n // 2, F.col("site"))).alias(f"s{n}") for n in sizes])
+    both = pred.select("row", "col", F.coalesce("value", F.lit(0)).alias("value")).join(at, ["row", "col"])
+    found = [F.struct(F.lit(n).alias("size"), F.col(f"s{n}").alias("site")) for n in sizes]
+    rows = both.select("value", F.explode(F.array(*found)).alias("e")).select("value", "e.*").filter("site is not null")
+    right = F.count_if(F.col("site") == F.col("value"))
+    return rows.groupBy("size").agg(F.count("*").alias("pixels"), right.alias("right"), (right / F.count("*")).alias("accuracy"))
+
+
 def mask_like(map_: DataFrame, ref: DataFrame) -> DataFrame:
     """Map pixels where the reference has a value."""
     return map_.join(ref.filter("value is not null").select(*PIX), PIX, "left_semi")

@@ -800,6 +800,19 @@ def validate_accuracy(spark, sf_dir):
     return r6(accuracy.validate(_map(spark, sf_dir, "map1"), _sites(spark, sf_dir))["accuracy"])
 
 
+def _sized(n: int) -> str:
+    k = n // 2
+    steps = f"(SELECT unnest(range({-k}, {k + 1})) AS d)"
+    return f"SELECT {n} AS size, row, col, max(site) AS site FROM (SELECT row+a.d AS row, col+b.d AS col, ref1 AS site FROM px, {steps} a, {steps} b WHERE urban=1 AND ref1>0) GROUP BY row, col"
+
+
+@_query(f", w AS ({' UNION ALL '.join(map(_sized, (1, 3, 5)))}) SELECT size, count(*) AS pixels, count(*) FILTER (site=coalesce(map1,0)) AS \"right\", round(count(*) FILTER (site=coalesce(map1,0))/count(*),6) AS accuracy FROM w JOIN px USING (row, col) GROUP BY size", "px")
+def validate_windows(spark, sf_dir):
+    """Field sites of the urban zone against the map, as pixels and as windows of 3 and 5."""
+    points = _px(spark, sf_dir).filter("urban = 1").select(F.col("ref1").alias("site"), "row", "col")
+    return r6(accuracy.validate_windows(_map(spark, sf_dir, "map1"), points))
+
+
 @_query(f"SELECT {PIX}, map2 AS value FROM px WHERE ref1 IS NOT NULL", "px")
 def mask_like(spark, sf_dir):
     return accuracy.mask_like(_map(spark, sf_dir, "map2"), _map(spark, sf_dir, "ref1"))
