@@ -886,14 +886,14 @@ def _group(c: str) -> str:
     return f"(floor(({c}-101)/3)+1)"
 
 
-def _strata(sql: str) -> str:
+def _by_strata(sql: str) -> str:
     """The same SQL over transition strata: four groups of classes at two times make 16 codes of reference and of map."""
     codes = ", ".join(f"CAST({_group(a)}*10+{_group(b)} AS INT) AS {n}" for a, b, n in (("ref1", "ref2", "strata"), ("map1", "map2", "coded")))
     table = f"pc AS (SELECT px.*, {codes} FROM px)"
     return f", {table}, " + re.sub(r"\bpx\b", "pc", sql.lstrip(", ")).replace("ref1", "strata").replace("map1", "coded")
 
 
-@_query(_strata(OLOF) + " SELECT class, round(ua,6) AS ua, round(ua_se,6) AS ua_se, round(pa,6) AS pa, round(pa_se,6) AS pa_se, round(area,6) AS area, round(area_se,6) AS area_se, round(oa,6) AS oa, round(oa_se,6) AS oa_se FROM ol", "px")
+@_query(_by_strata(OLOF) + " SELECT class, round(ua,6) AS ua, round(ua_se,6) AS ua_se, round(pa,6) AS pa, round(pa_se,6) AS pa_se, round(area,6) AS area, round(area_se,6) AS area_se, round(oa,6) AS oa, round(oa_se,6) AS oa_se FROM ol", "px")
 def transition_accuracy(spark, sf_dir):
     """Area-weighted accuracy of a change map: sample, pairs and estimates by transition strata."""
     code = lambda a, b, n: F.expr(f"CAST({_group(a)}*10+{_group(b)} AS INT)").alias(n)
