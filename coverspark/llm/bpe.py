@@ -25,6 +25,8 @@ from coverspark.llm.common import tidy
 
 #: Stands for the word-end suffix inside the automaton; byte-level characters never include it.
 END = "\x01"
+#: Longer words and pieces are not remembered.
+KEPT = 64
 
 
 def byte_characters() -> list[str]:
@@ -96,6 +98,7 @@ class PrefixBpe:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, list[int]] = {}
         self.pieces: dict[str, tuple[str, str]] = {}
+        self.held = 0
         self.empty = False
         self.remember = remember
 
@@ -149,9 +152,7 @@ class PrefixBpe:
         found = self.known.get(word)
         if found is None:
             found = [self.id_of[t] for t in self.encode_word("".join([self.chars[b] for b in word.encode()]))]
-            if len(self.known) >= self.remember:
-                self.known.clear()
-            self.known[word] = found
+            self._keep(self.known, word, found)
         return found
 
     def _learn(self, piece: str) -> tuple[str, str]:
@@ -160,11 +161,21 @@ class PrefixBpe:
         for w in self.words(piece):
             ids += self._word(w)
         self.empty |= not ids
-        if len(self.pieces) >= self.remember:
-            self.pieces.clear()
-        self.pieces[piece] = found = " ".join(map(str, ids)), " ".join([self.shown[i] for i in ids])
+        found = " ".join(map(str, ids)), " ".join([self.shown[i] for i in ids])
+        self._keep(self.pieces, piece, found)
         return found
 
+    def _keep(self, into: dict, text: str, found) -> None:
+        """Remember what a short text gives; the tables have bounds on their entries and on their characters."""
+        if len(text) > KEPT:
+            return
+        self.held += len(text)
+        if len(into) >= self.remember or self.held > KEPT * self.remember // 4:
+            self.known.clear()
+            self.pieces.clear()
+            self.held = len(text)
+        into[text] = found
+
     def _plain(self, text: str) -> tuple[str, str]:
         if not text.isascii() and has_unknown(text):
             text = _normalizer(self.path).normalize_str(text)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from coverspark.llm.common import batches_of, cut, shared_dir, text_of, tidy
 
 END = "\r\n\r\n"
+#: Bytes of the records of the smallest class.
+SMALL = 4096
 FIELDS = "page_id string, record_type string, refers_to string, digest string, payload_bytes long, urlkey string, ts string, file string, at long, length long"
 
 
@@ -50,7 +52,8 @@ def write_archives(
     Of rows with equal payloads of at least ``least`` bytes the one with the greatest id is the response; the others
     are revisits without payload.  Null payloads are empty.  Line breaks in a URL become spaces; a null URL or id is
     written as ``-``.  Very long payloads are written whole, an empty table gives an empty folder, and extra columns
-    are not read.  Capture times follow the ids, a second each, from the year 2000 on; rows that repeat an id are
+    are not read.  Records are written by size, in classes of a factor of four (a job each), so a file has at most
+    ``file_bytes`` bytes or is one record.  Capture times follow the ids, a second each, from the year 2000 on; rows that repeat an id are
     all responses if that id is the greatest.
     """
     spark = pages.sparkSession
@@ -61,7 +64,9 @@ def write_archives(
     kept = cut(kept)
     # few enough of them: payloads need not move to meet their response
     near = F.broadcast(kept) if kept.count() <= broadcast_rows else kept
-    total, count = rows.agg(F.sum("size"), F.count("*")).first()
+    held = F.col("size") + F.coalesce(F.octet_length("url"), F.lit(0)) + 600
+    level = F.greatest(F.lit(0), F.ceil(F.log2(held / SMALL) / 2)).cast("int")  # at most SMALL x 4^level bytes
+    levels = sorted(r[0] for r in rows.select(level).distinct().collect()) or [0]
     rows = rows.join(near, "digest", "left")
     revisit = F.col("response").isNotNull() & ~F.col("id").eqNullSafe(F.col("response")) & (F.col("size") >= least)
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("-")), F.lit(">"))
@@ -78,8 +83,10 @@ def write_archives(
     kind = F.when(revisit, F.lit("revisit")).otherwise("response")
     record = _record(kind, head, http, F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    most = max(1, file_bytes * count // max(1, (total or 0) + 500 * count))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", most).text(folder)
+    records = rows.select(record.alias("value"), level.alias("level"))
+    for k in levels:
+        most = max(1, file_bytes // (SMALL << 2 * k))
+        records.filter(F.col("level") == k).select("value").write.option("lineSep", END).option("maxRecordsPerFile", most).mode("append").text(folder)
     return folder
 
 
@@ -197,8 +204,8 @@ def histories(entries: DataFrame, range_entries: int = 20_000) -> DataFrame:
 def capture_index(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 1000) -> DataFrame:
     """Write the pages' archives, read them back and merge their indexes; one row per page, as ``histories`` gives them.
 
-    Null payloads are empty, null ids and URLs are read back as null and ``-``, very long payloads are records of their
-    own files, repeated rows are records each, an empty table gives no rows, and extra columns are not read.
+    Null payloads are empty, null ids and URLs are read back as null and ``-``, very long payloads are the only records of their
+    files, repeated rows are records each, an empty table gives no rows, and extra columns are not read.
     """
     folder = write_archives(pages, id_col, url_col, payload_col, least)
     with batches_of(pages.sparkSession, 1):  # a file each

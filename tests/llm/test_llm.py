@@ -490,6 +490,16 @@ def test_ten_megabytes_of_one_character_are_packed(spark, unit):
     assert whole == (unit * n).encode() and got[0] == got[1] == len(packing.byte_tokenizer(path).encode(unit * n)) + 1
 
 
+def test_bpe_remembers_a_bounded_number_of_characters():
+    mine = bpe.PrefixBpe(public.path("word_bpe_49k.json"), 400)
+    rng = random.Random(8)
+    for k in range(300):
+        piece = "".join(rng.choice("abcdeé漢") for _ in range(10_000 if k % 10 == 0 else rng.randrange(1, 90)))
+        assert mine._learn(piece) == mine._learn(piece)
+        assert len(mine.known) <= 400 and len(mine.pieces) <= 400
+        assert sum(map(len, [*mine.known, *mine.pieces])) <= 64 * 400 // 4 + 64
+
+
 def test_bpe_knows_the_characters_that_the_library_knows():
     from tokenizers import Tokenizer
 
@@ -527,6 +537,19 @@ def test_warc(spark):
     assert warc.url_key("http://www.Example.org:80/A?b=1") == "org,example)/a?b=1"
 
 
+def test_warc_files_have_a_bound_in_bytes(spark, monkeypatch):
+    rows = [(i, f"http://a.example/{i}", "y" * (i % 700)) for i in range(4000)] + [(5000 + i, "http://b.example/" + "u" * 9000, "z" * (400_000 + i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).sortWithinPartitions(F.desc(F.length("html")))
+    bound = 1 << 18
+    folder = warc.write_archives(df, file_bytes=bound).removeprefix("file://")
+    files = [open(os.path.join(folder, f), "rb").read() for f in os.listdir(folder) if f.startswith("part-")]  # noqa: SIM115
+    counts = [len(list(warc.parse(data))) for data in files]
+    assert sum(counts) == len(rows) and all(len(data) <= bound or n == 1 for data, n in zip(files, counts, strict=True))
+    assert max(counts) >= 20
+    out = {r["page_id"]: r["payload_bytes"] for r in warc.capture_index(df).collect()}
+    assert out == {str(i): len(t) for i, _, t in rows}
+
+
 def test_warc_with_a_large_page(spark):
     rows = [(1, "http://a.example/", "x" * 20_000_000), (2, "http://a.example/", "x" * 20_000_000), (3, None, "y")]
     got = {r["page_id"]: r for r in warc.capture_index(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
