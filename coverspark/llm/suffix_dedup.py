@@ -18,6 +18,10 @@ so no group of contexts grows with the corpus by more than a row a home and kind
 
 Contexts are taken for equal, at home and where they meet, only after their bytes were compared.  Texts move once, to
 their homes; that exchange serves all three passes over them.  Homes and buckets hold about ``home_bytes`` of the input.
+
+What homes and buckets send each other goes in parcels.  A sender makes ``FAN`` at most, whatever the number of
+receivers: beyond it parcels go to ranges of receivers first, where those of as many senders are opened and dealt on, in
+as many hops as it takes.  So parcels are linear in the input, and an opened range holds no more than a home.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from coverspark.llm.common import partitions, released, text_of
 
 GRAM = 16
 RUN = 2
+#: So many parcels a task sends at most.
+FAN = 2048
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5], dtype=np.uint64)
 _CHUNK = 1 << 18
 _BASE = 0xD6E8FEB86659FD93
@@ -279,14 +285,6 @@ def _home(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return np.array(order, dtype=np.int64), data, ends, ids[order]
 
 
-def _blobs(values: np.ndarray, where: np.ndarray, n: int) -> list[bytes]:
-    """The values for each of n places, in their order."""
-    order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(n + 1))
-    values = values[order]
-    return [values[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 def _join(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """The blobs of a column as one array, and each blob's number of values."""
     raw = [b.as_buffer() for b in column.combine_chunks()]
@@ -294,6 +292,79 @@ def _join(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.zeros(0, kind)), np.array([len(p) for p in parts], dtype=np.int64)
 
 
+def _told(values: np.ndarray) -> bytes:
+    """Whole numbers as pairs: a value and how many of it follow each other."""
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, int)
+    return np.stack([values[at], np.diff(np.append(at, len(values)))], axis=1).astype("<u4").tobytes()
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """The numbers that ``_told`` put down."""
+    pairs = _join(column, "<u4")[0].reshape(-1, 2)
+    return np.repeat(pairs[:, 0].astype(np.int64), pairs[:, 1])
+
+
+def hops(n: int, fan: int) -> list[tuple[int, int]]:
+    """For each hop between n senders and n receivers, how many receivers a parcel is for and how many senders meet.
+
+    Each hop multiplies the senders that meet by what it divides the receivers by, at most ``fan``, so that what meets
+    is never more than one sender's share.
+    """
+    count, each = 1, n
+    while each > fan:
+        count += 1
+        each = next(f for f in range(2, each + 1) if f**count >= n)
+    return [(each ** (count - i - 1), each ** (i + 1)) for i in range(count)]
+
+
+def parcels(items: dict[str, np.ndarray], dest: np.ndarray, source: np.ndarray, hop: tuple[int, int], strings: tuple | None = None) -> pa.Table:
+    """One row for each range of receivers: the items, their receivers and their senders, which meet in one range too.
+
+    ``strings``, if given, are a text and each item's place and length in it.
+    """
+    width, span = hop
+    order = np.argsort(dest, kind="stable")
+    to = dest[order] // width
+    at = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, int)
+    some = [order[a:b] for a, b in zip(at, np.append(at[1:], len(to)), strict=False)]
+    columns = {"to": (to[at], pa.int32()), "via": ([source[x[0]] // span for x in some], pa.int32())}
+    columns |= {k: ([_told(v[x]) for x in some], pa.binary()) for k, v in (("dests", dest), ("sources", source))}
+    columns |= {k: ([v[x].tobytes() for x in some], pa.binary()) for k, v in items.items()}
+    if strings:
+        text, place, length = strings
+        cut = lambda x: b"".join([text[p : p + n] for p, n in zip(place[x].tolist(), length[x].tolist(), strict=True)])
+        columns["text"] = ([zlib.compress(cut(x), 1) for x in some], pa.binary())
+    return _table(columns)
+
+
+def _texts(column: pa.ChunkedArray) -> bytes:
+    return b"".join([zlib.decompress(b.as_buffer()) for b in column.combine_chunks()])
+
+
+def _fields(kinds: dict[str, str], text: bool) -> str:
+    return "to int, via int, dests binary, sources binary, " + ", ".join(f"{k} binary" for k in [*kinds, *(["text"] if text else [])])
+
+
+def _dealt_on(sent: DataFrame, kinds: dict[str, str], way: list[tuple[int, int]], parts: int, least: int) -> DataFrame:
+    """The parcels of the first hop as those of the last one, by receiver; ``kinds`` are the items' types.
+
+    If items have a text, ``strings`` says by how many bytes it is longer than ``least`` less one.
+    """
+    text = "text" in sent.columns
+    for hop in way[1:]:
+
+        def opened(group: pa.Table, hop: tuple[int, int] = hop) -> pa.Table:
+            items = {k: _join(group[k], kind)[0] for k, kind in kinds.items()}
+            strings = None
+            if text:
+                length = items["strings"].astype(np.int64) + least - 1
+                strings = (_texts(group["text"]), np.cumsum(length) - length, length)
+            return parcels(items, _numbers(group["dests"]), _numbers(group["sources"]), hop, strings)
+
+        sent = sent.repartition(parts, "to", "via").groupBy("to", "via").applyInArrow(_tidy(opened), _fields(kinds, text))
+    return sent.repartition(parts, "to")
+
+
 def _tidy(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
     """``run``, with the memory of the group before it given back first."""
 
@@ -313,11 +384,12 @@ def _tidy2(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table,
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, whole_characters: bool = False, home_bytes: int = 12 << 20, crowd: int = 1 << 13
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, whole_characters: bool = False, home_bytes: int = 12 << 20, crowd: int = 1 << 13, fan: int = FAN
 ) -> DataFrame:
     """The input's columns plus n_bytes, n_removed, spans (start and end bytes of maximal removed runs) and kept (bytes).
 
-    Anchors with more than about ``crowd`` contexts are split; results don't depend on it, nor on ``home_bytes``.
+    Anchors with more than about ``crowd`` contexts are split; results don't depend on it, nor on ``home_bytes``
+    or ``fan`` (the parcels that a task sends at most).
     A byte goes if a string of ``least`` bytes that covers it also starts in a row with a smaller id; strings are
     judged on the input and never cross texts.  Null texts count as empty.  Rows that share an id don't remove each
     other; a null id counts as larger than all others.  With ``whole_characters`` a character goes if any of its bytes
@@ -335,6 +407,7 @@ def remove_repeats(
     base = docs.select(number.alias("id"), F.col(text_col).cast("binary").alias("text"), beside.alias("row"))
     base = base.withColumn("home", F.pmod(F.xxhash64("id", text_of("text").cast("binary")), F.lit(homes)).cast("int"))
     texts = base.repartition(parts, "home")
+    way = hops(homes, fan)
 
     def hashed(home: pa.Table) -> pa.Table:
         _, data, ends, _ = _home(home)
@@ -356,45 +429,36 @@ def remove_repeats(
         several = 2 * np.frexp(kinds)[1] + several
         key = key[at]
         bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        ks, fs = _blobs(key.astype("<u4"), bucket, buckets), _blobs(several.astype(np.uint8), bucket, buckets)
-        used = [b for b in range(buckets) if ks[b]]
-        h = home["home"][0].as_py()
-        return _table({"bucket": (used, pa.int32()), "home": ([h] * len(used), pa.int32()), "keys": ([ks[b] for b in used], pa.binary()), "several": ([fs[b] for b in used], pa.binary())})
+        return parcels({"keys": key.astype("<u4"), "several": several.astype("u1")}, bucket, np.full(len(key), home["home"][0].as_py()), way[0])
 
-    sent = texts.groupBy("home").applyInArrow(_tidy(hashed), "bucket int, home int, keys binary, several binary")
+    kinds = {"keys": "<u4", "several": "u1"}
+    sent = _dealt_on(texts.groupBy("home").applyInArrow(_tidy(hashed), _fields(kinds, False)), kinds, way, parts, least)
 
     def shared(group: pa.Table) -> pa.Table:
-        keys, sizes = _join(group["keys"], "<u4")
-        several, _ = _join(group["several"], "u1")
-        source = np.repeat(np.arange(len(sizes)), sizes)
+        keys, several, source = _join(group["keys"], "<u4")[0], _join(group["several"], "u1")[0], _numbers(group["sources"])
         order = np.argsort(keys, kind="stable")
         k = keys[order]
         new = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
         cls = np.cumsum(new) - 1
         hit = (np.bincount(cls) > 1) | (np.bincount(cls, several[order] & 1) > 0) if len(k) else np.zeros(0, bool)
         full = np.bincount(cls, np.ldexp(0.5, several[order] >> 1)) > crowd if len(k) else np.zeros(0, bool)
-        chosen = order[hit[cls]] if len(k) else order
-        blobs = _blobs(keys[chosen], source[chosen], len(sizes))
-        packed = order[(hit & full)[cls]] if len(k) else order
-        crowded = _blobs(keys[packed], source[packed], len(sizes))
-        used = [i for i, b in enumerate(blobs) if b]
-        home = group["home"].to_pylist()
-        b = group["bucket"][0].as_py()
-        return _table({"home": ([home[i] for i in used], pa.int32()), "bucket": ([b] * len(used), pa.int32()), "keys": ([blobs[i] for i in used], pa.binary()), "crowded": ([crowded[i] for i in used], pa.binary())})
-
-    known = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_tidy(shared), "home int, bucket int, keys binary, crowded binary")
-    known = known.repartition(parts, "home")
+        chosen, cls = order[hit[cls]], cls[hit[cls]]
+        return parcels({"keys": keys[chosen], "crowded": full[cls].astype("u1")}, source[chosen], np.full(len(chosen), group["to"][0].as_py()), way[0])
+
+    kinds = {"keys": "<u4", "crowded": "u1"}
+    known = _dealt_on(sent.groupBy("to").applyInArrow(_tidy(shared), _fields(kinds, False)), kinds, way, parts, least)
+
+    contexts_ = {"key": "<u8", "base": "<u8", "at": "<u4", "strings": "u1", "low": "<i8", "high": "<i8"}
 
     def asked(home: pa.Table, cand: pa.Table) -> pa.Table:
-        names = {"bucket": pa.int32(), "home": pa.int32(), "key": pa.binary(), "base": pa.binary(), "at": pa.binary(), "strings": pa.binary(), "low": pa.binary(), "high": pa.binary(), "text": pa.binary()}
         if not home.num_rows or not cand.num_rows:
-            return _table({k: ([], t) for k, t in names.items()})
+            empty = {k: np.zeros(0, kind) for k, kind in contexts_.items()}
+            return parcels(empty, np.zeros(0, int), np.zeros(0, int), way[0], (b"", np.zeros(0, int), np.zeros(0, int)))
         _, data, ends, ids = _home(home)
-        keys, sizes = _join(cand["keys"], "<u4")
         mark = lambda bucket, low: (bucket.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
-        wanted = np.sort(mark(np.repeat(cand["bucket"].to_numpy(), sizes), keys))
-        full, sizes = _join(cand["crowded"], "<u4")
-        full = mark(np.repeat(cand["bucket"].to_numpy(), sizes), full)
+        wanted = mark(_numbers(cand["sources"]), _join(cand["keys"], "<u4")[0])
+        full = wanted[_join(cand["crowded"], "u1")[0] > 0]
+        wanted = np.sort(wanted)
         got = [[], [], [], [], [], []]
         for key, first, last, whole, anchor in contexts(data, ends, least):
             bucket = (key >> np.uint64(32)) % np.uint64(buckets)
@@ -424,32 +488,20 @@ def remove_repeats(
             doc, high = np.concatenate([doc[rest], doc[ctx[at]]]), np.concatenate([high[rest], ends_])
             key, first, last = np.concatenate([key[rest], name[order[at]]]), np.concatenate([first[rest], a[order[at]]]), np.concatenate([last[rest], b[order[at]]])
         bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        raw, rows = data.tobytes(), {k: [] for k in names}
-        h = home["home"][0].as_py()
-        for b in range(buckets):
-            some = order[cuts[b] : cuts[b + 1]]
-            if len(some):
-                rows["bucket"].append(b)
-                rows["home"].append(h)
-                for name, values in (("key", key), ("base", base), ("at", first.astype("<u4")), ("strings", (last - first + 1).astype("u1")), ("low", doc), ("high", high)):
-                    rows[name].append(values[some].tobytes())
-                text = b"".join([raw[x : y + least] for x, y in zip(first[some].tolist(), last[some].tolist(), strict=True)])
-                rows["text"].append(zlib.compress(text, 1))
-        return _table({k: (rows[k], t) for k, t in names.items()})
+        items = {"key": key, "base": base, "at": first.astype("<u4"), "strings": (last - first + 1).astype("u1"), "low": doc, "high": high}
+        return parcels(items, bucket, np.full(len(key), home["home"][0].as_py()), way[0], (data.tobytes(), first, last - first + least))
 
-    fields = "bucket int, home int, key binary, base binary, at binary, strings binary, low binary, high binary, text binary"
-    asking = texts.groupBy("home").cogroup(known.groupBy("home")).applyInArrow(_tidy2(asked), fields)
+    asking = texts.groupBy("home").cogroup(known.groupBy("to")).applyInArrow(_tidy2(asked), _fields(contexts_, True))
+    asking = _dealt_on(asking, contexts_, way, parts, least)
 
     def answered(group: pa.Table) -> pa.Table:
-        key, sizes = _join(group["key"], "<u8")
+        key = _join(group["key"], "<u8")[0]
         base, _ = _join(group["base"], "<u8")  # the hash of a run's anchor, WHOLE for whole contexts
         place, _ = _join(group["at"], "<u4")
         strings = _join(group["strings"], "u1")[0].astype(np.int64)
         low, high = _join(group["low"], "<i8")[0], _join(group["high"], "<i8")[0]
-        text = np.frombuffer(b"".join([zlib.decompress(b.as_buffer()) for b in group["text"].combine_chunks()]), dtype=np.uint8)
-        source = np.repeat(np.arange(len(sizes)), sizes)
+        text = np.frombuffer(_texts(group["text"]), dtype=np.uint8)
+        source = _numbers(group["sources"])
         length = strings + least - 1
         offset = np.cumsum(length) - length
         # contexts that are equal here and there count once
@@ -483,13 +535,10 @@ def remove_repeats(
         use = who[run] < high[rep]
         rep, run = rep[use], run[use]
         columns = {"key": key[rep], "base": base[rep], "at": place[rep], "strings": strings[rep].astype("u1"), "first": a[run].astype("u1"), "last": b[run].astype("u1"), "doc": who[run]}
-        made = {k: _blobs(v, source[rep], len(sizes)) for k, v in columns.items()}
-        used = [i for i in range(len(sizes)) if made["key"][i]]
-        home = group["home"].to_pylist()
-        return _table({"home": ([home[i] for i in used], pa.int32())} | {k: ([v[i] for i in used], pa.binary()) for k, v in made.items()})
+        return parcels(columns, source[rep], np.full(len(rep), group["to"][0].as_py()), way[0])
 
-    answers = asking.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_tidy(answered), "home int, key binary, base binary, at binary, strings binary, first binary, last binary, doc binary")
-    answers = answers.repartition(parts, "home")
+    kinds = {"key": "<u8", "base": "<u8", "at": "<u4", "strings": "u1", "first": "u1", "last": "u1", "doc": "<i8"}
+    answers = _dealt_on(asking.groupBy("to").applyInArrow(_tidy(answered), _fields(kinds, False)), kinds, way, parts, least)
     out_fields = T.StructType([base.schema["row"], base.schema["text"], *T.StructType.fromDDL("n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")])
 
     def removed(home: pa.Table, reply: pa.Table) -> pa.Table:
@@ -544,7 +593,7 @@ def remove_repeats(
         out = pa.table({"row": taken["row"], "text": taken["text"], "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(counts, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
         return pa.Table.from_batches(out.to_batches(max_chunksize=256))  # Spark reads batch by batch
 
-    out = texts.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(_tidy2(removed), out_fields)
+    out = texts.groupBy("home").cogroup(answers.groupBy("to")).applyInArrow(_tidy2(removed), out_fields)
     return out.select(*[(F.col("text").cast("string") if c == text_col else F.col("row").getField(c)).alias(c) for c in own], *added)
 
 

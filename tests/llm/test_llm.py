@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -334,7 +335,68 @@ def test_suffix_dedup_with_more_homes_than_partitions(spark):
     rows = [(i, sentence(rng, 6) + rng.choice(passages) + sentence(rng, 6) + rng.choice(passages)) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {i: int(m.sum()) for i, _, m in plain_repeats(rows, 50)}
-    assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df, home_bytes=400).collect()} == want
+    for fan in (2048, 5, 2):  # one hop, two and more
+        for crowd in (1 << 13, 2):
+            got = suffix_dedup.remove_repeats(df, home_bytes=400, fan=fan, crowd=crowd)
+            assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 43, 2048, 2049, 5000, 8_300_000])
+@pytest.mark.parametrize("fan", [2, 5, 2048])
+def test_parcels_are_linear_in_the_senders(n, fan):
+    way = suffix_dedup.hops(n, fan)
+    assert way[-1][0] == 1 and way[-1][1] >= n
+    meet = 1
+    before = n
+    for width, span in way:
+        ranges = -(-n // width)
+        assert -(-before // width) <= fan or n <= fan  # parcels that one sender makes
+        assert span == meet * (way[0][1])
+        assert ranges * span >= n or width > 1
+        meet, before = span, width
+    assert len(way) == 1 or n > fan
+
+
+def test_parcels_reach_their_receivers():
+    """Items of several senders, opened and dealt on by hand, with texts."""
+    rng = np.random.default_rng(8)
+    n, least = 23, 4
+    way = suffix_dedup.hops(n, 3)
+    assert len(way) == 3
+    sent, want = [], []
+    for home in range(n):
+        dest = rng.integers(0, n, 30)
+        value, strings = rng.integers(0, 2**32, 30).astype("<u4"), rng.integers(1, 5, 30).astype("u1")
+        length = strings.astype(int) + least - 1
+        text = rng.integers(97, 123, int(length.sum())).astype(np.uint8).tobytes()
+        place = np.cumsum(length) - length
+        want += [(int(d), home, int(v), text[p : p + m]) for d, v, p, m in zip(dest, value, place, length, strict=True)]
+        sent.append(suffix_dedup.parcels({"value": value, "strings": strings}, dest, np.full(30, home), way[0], (text, place, length)))
+    rows = [r for t in sent for r in t.to_pylist()]
+    for hop in way[1:]:
+        groups = {}
+        for r in rows:
+            groups.setdefault((r["to"], r["via"]), []).append(r)
+        rows = []
+        for rs in groups.values():
+            t = pa.Table.from_pylist(rs, schema=sent[0].schema)
+            strings = suffix_dedup._join(t["strings"], "u1")[0]
+            length = strings.astype(int) + least - 1
+            made = suffix_dedup.parcels(
+                {"value": suffix_dedup._join(t["value"], "<u4")[0], "strings": strings}, suffix_dedup._numbers(t["dests"]), suffix_dedup._numbers(t["sources"]), hop, (suffix_dedup._texts(t["text"]), np.cumsum(length) - length, length)
+            )
+            assert made.num_rows <= 3
+            rows += made.to_pylist()
+    got = []
+    for r in rows:
+        t = pa.Table.from_pylist([r], schema=sent[0].schema)
+        length = suffix_dedup._join(t["strings"], "u1")[0].astype(int) + least - 1
+        place = np.cumsum(length) - length
+        text = suffix_dedup._texts(t["text"])
+        parts = zip(suffix_dedup._numbers(t["dests"]).tolist(), suffix_dedup._numbers(t["sources"]).tolist(), suffix_dedup._join(t["value"], "<u4")[0].tolist(), place.tolist(), length.tolist(), strict=True)
+        got += [(d, h, v, text[p : p + m]) for d, h, v, p, m in parts]
+        assert {g[0] for g in got[-len(length) :]} == {r["to"]}
+    assert sorted(got) == sorted(want)
 
 
 @pytest.mark.parametrize("crowd", [0, 3, 20])
