@@ -12,6 +12,17 @@ def _state(edges: DataFrame) -> tuple:
     return edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
 
+def _told(rows: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """``rows`` with the m of their a; ``least`` has a, m and n, and its n sum up to ``most`` at most.
+
+    Centres that have a thousandth of the rows are at most a thousand; they are sent to their rows, so no task gets all
+    links of one.
+    """
+    hot = F.broadcast(least.filter(F.col("n") * 1000 >= most).drop("n"))
+    rest = rows.join(hot.select("a"), "a", "left_anti").join(least.drop("n"), "a")
+    return rows.join(hot, "a").unionByName(rest)
+
+
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """node and root (the least node of its component) for every node of the edges ``a``, ``b``.
 
@@ -27,10 +38,11 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         if settled:
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _told(both.filter("b > a"), least, 2 * before[0])
+        large = cut(large.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _told(large, least, before[0]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         after = _state(edges)
         settled, before = after == before, after

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from coverspark.llm.common import cut, text_of
 
+#: Recipes of more characters aren't sent to the executors whole.
+SENT = 1 << 16
+
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -42,6 +45,10 @@ def exact_duplicates(
     Null text counts as empty, and all empty texts are equal.  Of equal texts the smallest id stays; rows that repeat
     that id are kept too (``kept`` is ``id = keep_id``).  A null id never stays unless its whole group has null ids;
     then keep_id is null and kept true.  Other columns of the input, whatever their names, are not read.
+    Very long texts are read whole, chunk by chunk; an empty table gives no rows.
+
+    Recipes that a thousandth of the rows share are at most a thousand; those of at most ``SENT`` characters are sent to
+    their rows, so that the copies of one text don't meet in one task.
     """
 
     norm = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
@@ -64,7 +71,10 @@ def exact_duplicates(
 
     groups = told.groupBy("recipe", "versions").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.filter("group_size > 1")
-    out = told.join(groups, ["recipe", "versions"], "left")
+    keys = ["recipe", "versions"]
+    common = (F.col("group_size") * 1000 >= known.count()) & (F.length("recipe") + F.length("versions") <= SENT)
+    common = F.broadcast(groups.filter(common))
+    out = told.join(common, keys).unionByName(told.join(common.select(*keys), keys, "left_anti").join(groups, keys, "left"))
     return out.select(
         F.col("id").alias(id_col),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),

@@ -87,7 +87,10 @@ def index_vectors(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text", blocks: int = 64) -> np.ndarray:
-    """The table of context sums over all documents, rows scaled to length one.  Its size does not depend on them."""
+    """The table of context sums over all documents, rows scaled to length one.  Its size does not depend on them.
+
+    What is summed are whole numbers, which doubles hold exactly, so the order in which parts arrive changes nothing.
+    """
     per = ALL // blocks
 
     @tidy

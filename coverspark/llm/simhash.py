@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, fingerprint (16 hex digits) and component_id, one row per input row.
 
     Texts link if their fingerprints differ in at most ``radius`` bits; component_id is the least id that can be
-    reached.  Null texts count as empty; texts without words have fingerprint zero and link like any other.  Repeated
+    reached.  Null texts count as empty; texts without words have fingerprint zero and link like any other.  Very
+    long texts are read whole.  Repeated
     rows share their component; null ids are never a component_id unless a component has no other.  An empty table
     gives no rows; other columns are not read.
     """

@@ -219,6 +219,15 @@ def test_components_raise_if_unsettled(spark):
         components.components(edges, rounds=1)
 
 
+def test_components_of_large_stars(spark):
+    """A centre with a third of the links, many small components, and a chain between two stars."""
+    edges = [(5000, i) for i in range(1000, 2500)] + [(2499 + i, 2500 + i) for i in range(12)]
+    edges += [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(1500)] + [(2511, i) for i in range(6000, 6800)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = sorted({x for e in edges for x in e})
+    assert got == {x: (x - x % 2 if x >= 10_000 else 1000) for x in nodes}
+
+
 def test_components_of_a_path(spark):
     n = 60
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (101, 101), (None, 3), (100, 101)], "a long, b long")
@@ -496,6 +505,23 @@ def test_exact_dedup(docs, empty, texts):
     assert table(weak, *cols) == sorted(want, key=str)
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
+def test_exact_dedup_where_a_third_of_the_rows_are_one_text(spark, monkeypatch):
+    rng = random.Random(12)
+    hot, long = sentence(rng, 30), sentence(rng, 9000)
+    rows = [(i, hot if i % 3 == 0 else long if i % 7 == 0 else sentence(rng, 8)) for i in range(1500)] + [(0, hot), (None, hot), (1, None), (2, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in rows]
+    first, size = {}, {}
+    for (i, _), t in zip(rows, norm, strict=True):
+        first[t] = min((x for x in (first.get(t), i) if x is not None), default=None)
+        size[t] = size.get(t, 0) + 1
+    want = sorted(str((i, first[t], size[t], i == first[t])) for (i, _), t in zip(rows, norm, strict=True))
+    for sent in (1 << 16, 100, 0):
+        monkeypatch.setattr(exact_dedup, "SENT", sent)
+        got = exact_dedup.exact_duplicates(df).collect()
+        assert sorted(str((r["doc_id"], r["keep_id"], r["group_size"], r["kept"])) for r in got) == want
+
+
 @pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz. ", "abcdef;{}", "ABCDEFGHabcdefghijklmnopqrstuvwxyz0123456789+/", "的一是在不了有和人这中大。", "абвгдежзик"])
 def test_an_inserted_character_leaves_later_chunks_alone(spark, letters):
     rng = random.Random(8)
