@@ -70,7 +70,7 @@ def exact_duplicates(
         told = known.join(versions, ["recipe", "sha"], "left").withColumn("versions", F.coalesce("versions", F.lit("")))
 
     groups = told.groupBy("recipe", "versions").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.filter("group_size > 1")
+    groups = cut(groups.filter("group_size > 1"))
     keys = ["recipe", "versions"]
     common = (F.col("group_size") * 1000 >= known.count()) & (F.length("recipe") + F.length("versions") <= SENT)
     common = F.broadcast(groups.filter(common))
