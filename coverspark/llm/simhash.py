@@ -5,8 +5,9 @@ within r bits differ by at most r in every coordinate; where the references are
 neighbouring coordinates differ in at most r places, so some cell of them is shared and gives the blocks in which pairs
 meet.  In a block, pairs are discarded by their greatest coordinate difference, and survivors are verified bit by bit.
 
-Blocks that are too large for a task are dealt out in chunks, without losing links (``grouped_links``).  They give a
-spanning forest of their links, not pairs.
+What lies in blocks that are too large for a task meets in the cells of finer references instead (``fine_cells``).  Blocks
+that are too large even then are dealt out in chunks, without losing links (``grouped_links``).  They give a spanning
+forest of their links, not pairs.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from coverspark.llm.common import batches_of, cut, text_of, tidy
 from coverspark.llm.components import components
@@ -95,6 +97,16 @@ def cells(table: Column, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), *[bands[b] for b in chosen]) for i, chosen in enumerate(combinations(range(radius + 3), 3))])
 
 
+def fine_cells(fp: Column, radius: int) -> Column:
+    """Keys as those of ``cells``, for references that are the prefixes of every length.
+
+    There a block is one bit and the distance changes by what that bit is, so a band of changes is a run of bits.
+    """
+    cuts = [round(i * BITS / (radius + 3)) for i in range(radius + 4)]
+    bands = [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return F.array(*[F.xxhash64(F.lit(i), *[bands[b] for b in chosen]) for i, chosen in enumerate(combinations(range(radius + 3), 3))])
+
+
 def near_bits(radius: int) -> Callable[[pa.Array], Near]:
     """Pairs whose greatest coordinate difference is over ``radius`` are discarded, the others verified bit by bit."""
 
@@ -140,6 +152,8 @@ def stars(cls: np.ndarray, near: Near) -> list[tuple[int, int]]:
 
 def _linked(groups: DataFrame, near_of: Callable[[pa.Array], Near], rows: int) -> DataFrame:
     """Links a, b of each group (array ``g`` of node, root and load); at most ``rows`` groups are in memory at once."""
+    node_type = groups.schema["g"].dataType.elementType["node"].dataType
+    kind, held = node_type.simpleString(), to_arrow_type(node_type)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,23 +165,41 @@ def _linked(groups: DataFrame, near_of: Callable[[pa.Array], Near], rows: int) -
                 for x, y in stars(root, near_of(group.values.field("load"))):
                     a.append(node[x])
                     b.append(node[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, held), pa.array(b, held)], ["a", "b"])
 
     with batches_of(groups.sparkSession, rows):
-        return cut(groups.select("g").mapInArrow(run, "a long, b long").distinct())
+        return cut(groups.select("g").mapInArrow(run, f"a {kind}, b {kind}").distinct())
+
 
+def _dealt(keyed: DataFrame, block: int) -> DataFrame:
+    """grp, node, chunks and chunk: groups of two nodes at least, in chunks that weigh about ``block`` at most.
 
-def grouped_links(keyed: DataFrame, loads: DataFrame, near_of: Callable[[pa.Array], Near], block: int, rows: int) -> DataFrame:
+    Groups that have a thousandth of the rows are at most a thousand; their sizes are sent to the rows.
+    """
+    sizes = cut(keyed.groupBy("grp").agg(F.sum("w").alias("weight"), F.count("*").alias("n")).filter("n > 1"))
+    great = F.broadcast(sizes.filter(F.col("n") * 1000 >= keyed.count()))
+    rest = keyed.join(great.select("grp"), "grp", "left_anti").join(sizes, "grp")
+    chunks = F.ceil(F.col("weight") / block).cast("int").alias("chunks")
+    dealt = keyed.join(great, "grp").unionByName(rest).select("grp", "node", "w", chunks)
+    return cut(dealt.withColumn("chunk", F.pmod(F.xxhash64("grp", "node"), F.col("chunks")).cast("int")))
+
+
+def grouped_links(
+    keyed: DataFrame, loads: DataFrame, near_of: Callable[[pa.Array], Near], block: int, rows: int, finer: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """Links a, b that connect all nodes which share a group and, within it, are near, directly or over others.
 
-    ``keyed`` has grp, node and w (weight), ``loads`` node and load.  A group that weighs over ``block`` is dealt out in
-    chunks; each chunk finds its own links.  Of such a group only nodes that then lie in different components can still
-    lack a link, so those outside its main component meet every chunk once more.  No task holds more than two chunks.
+    ``keyed`` has grp, node and w (weight), ``loads`` node and load.  Nodes of groups that weigh over ``block`` meet in
+    the groups that ``finer`` makes of their load, if given; near nodes have one of those in common.  A group that still
+    weighs over ``block`` is dealt out in chunks; each chunk finds its own links.  Of such a group only nodes that then
+    lie in different components can still lack a link, so those outside its main component meet every chunk once more.
+    No task holds more than two chunks.
     """
-    spark = keyed.sparkSession
-    sizes = keyed.groupBy("grp").agg(F.sum("w").alias("weight"), F.count("*").alias("n")).filter("n > 1")
-    dealt = keyed.join(sizes, "grp").select("grp", "node", F.ceil(F.col("weight") / block).cast("int").alias("chunks"))
-    dealt = cut(dealt.withColumn("chunk", F.pmod(F.xxhash64("grp", "node"), F.col("chunks")).cast("int")))
+    dealt = _dealt(keyed, block)
+    if finer and not (crowded := dealt.filter("chunks > 1")).isEmpty():
+        crowded = crowded.groupBy("node").agg(F.max("w").alias("w")).join(loads, "node")
+        split = cut(crowded.select("node", "w", F.explode(finer(F.col("load"))).alias("grp")))
+        dealt = dealt.filter("chunks = 1").unionByName(_dealt(split, block))
     listed = F.collect_list(F.struct("node", "root", "load")).alias("g")
     own = dealt.withColumn("root", F.col("node")).join(loads, "node").groupBy("grp", "chunk").agg(listed)
     links = _linked(own.filter(F.size("g") > 1), near_of, rows)
@@ -195,7 +227,7 @@ def links(fps: DataFrame, radius: int = 2, block: int = 2048) -> DataFrame:
     """Links a, b within ``radius`` bits between the fingerprints of ``fps`` (fp) that keep every component."""
     table = cut(fps.select("fp").distinct().select(F.col("fp").alias("node"), F.struct("fp", pivots(F.col("fp")).alias("pivots")).alias("load")))
     keyed = table.select("node", F.explode(cells(F.col("load.pivots"), radius)).alias("grp"), F.lit(1).alias("w"))
-    return grouped_links(keyed, table, near_bits(radius), block, 1000)
+    return grouped_links(keyed, table, near_bits(radius), block, 1000, lambda load: fine_cells(load["fp"], radius))
 
 
 def _grouped(known: DataFrame, roots_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -245,11 +277,18 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def set_node(hashes: np.ndarray) -> int:
-    """A set of shingles (sorted) as a signed 64-bit number."""
+def set_node(hashes: np.ndarray) -> bytes:
+    """A set of shingles (sorted) as a digest of 128 bits."""
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(hashes.tobytes())
+
+
+def key_of(least: np.ndarray, number: int) -> int:
+    """Some minima and the number of their key as a signed 64-bit number."""
     from xxhash import xxh64_intdigest
 
-    found = xxh64_intdigest(hashes.tobytes())
+    found = xxh64_intdigest(np.append(least, np.uint64(number)).tobytes())
     return found - (1 << 64) if found >> 63 else found
 
 
@@ -299,10 +338,10 @@ def _shingle_sets(chosen: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(0).slice(at, 256)]
-                nodes = pa.array([set_node(s) for s in sets], pa.int64())
+                nodes = pa.array([set_node(s) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([nodes, pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "load"])
 
-    return chosen.mapInArrow(run, "node long, load binary").groupBy("node").agg(F.first("load").alias("load"))
+    return chosen.mapInArrow(run, "node binary, load binary").groupBy("node").agg(F.first("load").alias("load"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, block: int = 4096, set_block: int = 1 << 19) -> DataFrame:
@@ -325,10 +364,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 shingles = np.unique(shingle_hashes(text.as_py(), words))
                 found = minima(shingles)
                 nodes.append(set_node(shingles))
-                keys.append([set_node(np.append(row, np.uint64(i))) for i, row in enumerate(found.reshape(KEYS, ROWS))] if len(shingles) else [])
+                keys.append([key_of(row, i) for i, row in enumerate(found.reshape(KEYS, ROWS))] if len(shingles) else [])
                 sketches.append((found & np.uint64(255)).astype(np.uint8).tobytes())
                 sizes.append(len(shingles))
-            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64())]
+            columns = [batch.column(0), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "node", "keys", "sketch", "size"])
 
     def roots_of(nodes: DataFrame) -> DataFrame:
@@ -343,5 +382,5 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return components(grouped_links(linked.drop("least"), sets, near_sets(similarity), set_block, 16))
 
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    known = texts.mapInArrow(run, f"id {kind}, node long, keys array<long>, sketch binary, size long")
+    known = texts.mapInArrow(run, f"id {kind}, node binary, keys array<long>, sketch binary, size long")
     return _grouped(known, roots_of).select(F.col("id").alias(id_col), "component_id")

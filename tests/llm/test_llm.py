@@ -1,6 +1,7 @@
 """Each operator against a plain version, on small tables with nulls, empties, ties, repeats and clashing names."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -128,6 +129,52 @@ def test_links_find_every_component_also_of_split_groups(spark, radius):
         assert len(pairs) == len(set(want)) == len(set(mine))
 
 
+def test_simhash_where_a_third_share_a_cell_but_do_not_link(spark):
+    """Swapped neighbours of equal parity leave all changes of distance as they are; finer references part them."""
+    rng = random.Random(29)
+    swaps = [(4 * b + k, 4 * b + k + 2) for b in range(16) for k in (0, 1)]
+    one_of = lambda: sum(1 << rng.choice(pair) for pair in swaps)
+    crowd = {one_of() for _ in range(1500)}
+    some = sorted(crowd)[:20]
+    crowd |= {x ^ (1 << a) ^ (1 << b) for x, (a, b) in zip(some, swaps, strict=False)} | {x ^ 1 for x in some[:5]}
+    fps = sorted(crowd | {rng.getrandbits(64) for _ in range(3000)})
+    df = spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long")
+    table = df.select(F.col("fp").alias("node"), F.struct("fp", simhash.pivots(F.col("fp")).alias("pivots")).alias("load"))
+    keyed = table.select("node", F.explode(simhash.cells(F.col("load.pivots"), 2)).alias("grp"), F.lit(1).alias("w"))
+    assert keyed.groupBy("grp").count().agg(F.max("count")).first()[0] >= 1500
+
+    compared = spark.sparkContext.accumulator(0)
+    near_of = simhash.near_bits(2)
+
+    def counted(load):
+        near = near_of(load)
+
+        def run(one, left):
+            compared.add(len(left))
+            return near(one, left)
+
+        return run
+
+    finer = lambda load: simhash.fine_cells(load["fp"], 2)
+    found = simhash.grouped_links(keyed, table, counted, 64, 1000, finer)
+    assert compared.value < 4 * len(fps) * math.log2(len(fps))
+    got = {r["node"]: r["root"] for r in components.components(found).collect()}
+    values = np.array(fps, dtype=np.uint64)
+    near = [(i, j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 2) if i < j]
+    assert len(near) >= 20
+    root = list(range(len(fps)))
+    for i, j in near:
+        a, b = root[i], root[j]
+        root = [a if r == b else r for r in root]
+    groups: dict = {}
+    for i, x in enumerate(fps):
+        groups.setdefault(root[i], set()).add(simhash._signed(x))
+    mine: dict = {}
+    for x in fps:
+        mine.setdefault(got.get(simhash._signed(x), simhash._signed(x)), set()).add(simhash._signed(x))
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in mine.values()}
+
+
 def test_near_copies(spark, docs, texts):
     rng = random.Random(1)
     base = [sentence(rng, 150) for _ in range(6)]
