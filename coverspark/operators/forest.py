@@ -22,14 +22,19 @@ import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from coverspark.sources.pixels import checkpointed
+from coverspark.sources.pixels import checkpointed, shared_folder
 
 #: Chances that a Poisson number of mean 1 is at most 0, 1, 2, ...
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 NODES = "tree int, node bigint, feature int, threshold double, gain double, n double, counts array<double>"
-#: Bytes of histograms in a task, and of the part of a model that is sent to the executors at a time.
-HISTOGRAMS, SENT = 1 << 28, 1 << 28
+#: Bytes of histograms in a task, and of the trees that a task votes with.
+HISTOGRAMS, SENT = 1 << 28, 1 << 26
+#: Pairs of a row and a tree that make a task, rows that a task votes on, and rows that are stored as one.
+PAIRS, VOTERS, SLICE = 1 << 21, 1 << 17, 1 << 12
+#: Nodes of at most the last of so many rows are split many at a time, filled up to the next of these sizes.
+SMALL = (2, 3, 4, 6, 8, 12, 16, 24, 32)
 
 
 @dataclass
@@ -77,25 +82,29 @@ def bag_weights(keys: np.ndarray, tree: int, seed: int) -> np.ndarray:
 
 
 def _histogram(x: np.ndarray, y: np.ndarray, w: np.ndarray, bins: int, classes: int) -> np.ndarray:
-    """Weight by feature, bin and class."""
-    width = x.shape[1]
-    cell = (x + np.arange(0, width * bins, bins)) * classes + y[:, None]
-    return np.bincount(cell.ravel(), weights=np.repeat(w, width), minlength=width * bins * classes).reshape(width, bins, classes)
+    """Weight by class, bin and feature."""
+    width, out = x.shape[1], 0
+    for at in range(0, max(1, len(y)), 4096):  # so that what is made on the way stays small
+        some = slice(at, at + 4096)
+        cell = (x[some] + np.multiply(y[some], bins, dtype=np.int64)[:, None]) * width + np.arange(width)
+        out = out + np.bincount(cell.ravel(), weights=np.repeat(w[some], width), minlength=width * bins * classes)
+    return out.reshape(classes, bins, width)
 
 
 def _best(h: np.ndarray, allowed: np.ndarray | None = None) -> tuple[float, int, int, np.ndarray] | None:
     """Gain (of the Gini impurity), feature, last bin to the left and its class weights; None if no split gains."""
-    counts = h[0].sum(axis=0)
-    n = counts.sum()
-    left = h.cumsum(axis=1)[:, :-1]
-    nl, shared = left.sum(axis=2), left @ counts
-    squares, whole = np.einsum("fbc,fbc->fb", left, left), counts @ counts
+    counts = h[:, :, 0].sum(axis=1)
+    n, left = counts.sum(), np.array(h[:, :-1])
+    for b in range(1, left.shape[1]):
+        left[:, b] += left[:, b - 1]
+    nl, shared = left.sum(axis=0), (counts @ left.reshape(len(left), -1)).reshape(left.shape[1:])  # whole numbers: exact in any order
+    squares, whole = (left * left).sum(axis=0), counts @ counts
     ok = (nl > 0) & (nl < n)
     with np.errstate(divide="ignore", invalid="ignore"):
         score = squares / nl + (whole - 2 * shared + squares) / (n - nl)
-    gain = np.where(ok if allowed is None else ok & allowed[:, None], score / n - whole / n**2, -1.0)
+    gain = np.where(ok if allowed is None else ok & allowed, score / n - whole / n**2, -1.0).T
     f, b = divmod(int(gain.argmax()), gain.shape[1])
-    return (float(gain[f, b]), f, b, left[f, b]) if gain[f, b] > 1e-12 else None
+    return (float(gain[f, b]), f, b, left[:, b, f]) if gain[f, b] > 1e-12 else None
 
 
 def _picked(tree: int, node: int, seed: int, width: int, take: int) -> np.ndarray | None:
@@ -107,29 +116,105 @@ def _picked(tree: int, node: int, seed: int, width: int, take: int) -> np.ndarra
     return out
 
 
-def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: int, edges: list[np.ndarray], classes: int, depth: int, take: int, seed: int) -> list[tuple]:
-    """The nodes of the subtree at ``root``."""
-    bins = max(map(len, edges)) + 1
-    rows, stack = [], [(root, np.arange(len(y)))]
-    while stack:
-        node, at = stack.pop()
-        counts = np.bincount(y[at], weights=w[at], minlength=classes)
-        split, present = None, np.flatnonzero(counts)
-        if node.bit_length() <= depth and len(present) > 1 and bins > 1:
-            split = _best(_histogram(x[at], np.searchsorted(present, y[at]), w[at], bins, len(present)), _picked(tree, node, seed, x.shape[1], take))
-        if split is None:
-            rows.append((tree, node, None, None, None, float(counts.sum()), counts.tolist()))
-            continue
-        gain, f, b, _ = split
-        rows.append((tree, node, f, float(edges[f][b]), gain, float(counts.sum()), counts.tolist()))
-        right = x[at, f] > b
-        stack += [(2 * node, at[~right]), (2 * node + 1, at[right])]
-    return rows
+def _best_of_small(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gain, feature and last bin to the left of many nodes of few rows each; the gain is -1 where no split gains.
 
+    ``x`` is by node, row and feature (255 in rows that only fill up), ``y`` and ``w`` by node and row.  Only bins that
+    rows have are tried, which are the first of those that part the rows alike.  Weights and their squares are whole
+    numbers that 32-bit floats hold, so gains are exactly those of ``_best``.
+    """
+    nodes, size, width = x.shape
+    own = np.zeros((nodes, classes + 2, size), dtype=np.float32)
+    own[np.arange(nodes)[:, None], y, np.arange(size)] = w
+    counts = own[:, :classes].sum(axis=2)
+    own[:, classes], own[:, classes + 1] = w, w * np.take_along_axis(counts, y, axis=1)
+    low = (x[:, :, None, :] <= x[:, None, :, :]).astype(np.float32).reshape(nodes, size, size * width)
+    left = own @ low
+    nl, shared = left[:, classes].astype(np.float64), left[:, classes + 1].astype(np.float64)
+    squares = np.square(left[:, :classes]).sum(axis=1).astype(np.float64)
+    n, whole = (a.sum(axis=1, dtype=np.float64)[:, None] for a in (counts, counts * counts))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = squares / nl + (whole - 2 * shared + squares) / (n - nl)
+    gain = np.where((nl > 0) & (nl < n), score / n - whole / n**2, -1.0).reshape(nodes, size, width)
+    most, each = gain.max(axis=1), np.arange(nodes)
+    most = most if allowed is None else np.where(allowed, most, -1.0)
+    feature = most.argmax(axis=1)
+    best = most[each, feature]
+    alike = gain[each, :, feature] == best[:, None]
+    return np.where(best > 1e-12, best, -1.0), feature, np.where(alike, x[each, :, feature], 255).min(axis=1)
 
-def _node_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"tree": pa.int32(), "node": pa.int64(), "feature": pa.int32(), "threshold": pa.float64(), "gain": pa.float64(), "n": pa.float64(), "counts": pa.list_(pa.float64())}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], list(kinds))
+
+def _parted(x: np.ndarray, counts: np.ndarray, starts: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gain, feature and last bin to the left of nodes with two classes that some feature parts; -1 as gain of the others.
+
+    ``x`` has the rows by node and class, ``starts`` where those begin.  No split gains more than one that parts the classes.
+    """
+    low, high = (f.reduceat(x, starts, axis=0).reshape(-1, 2, x.shape[1]) for f in (np.minimum, np.maximum))
+    parts = (high[:, 0] < low[:, 1]) | (high[:, 1] < low[:, 0])
+    if allowed is not None:
+        parts &= allowed
+    feature, n = parts.argmax(axis=1), counts.sum(axis=1)
+    gain = n / n - (counts * counts).sum(axis=1) / n**2
+    each = np.arange(len(feature))
+    return np.where(parts[each, feature], gain, -1.0), feature, high.min(axis=1)[each, feature]
+
+
+def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: int, edges: list[np.ndarray], classes: int, depth: int, take: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """The nodes of the subtree at ``root``, level by level; of each level the small nodes are split together."""
+    width, bins = len(edges), max(map(len, edges)) + 1
+    border = np.zeros((width, bins))
+    for f, e in enumerate(edges):
+        border[f, : len(e)] = e
+    w = w.astype(np.float64)
+    node, rows, ends = np.array([root], dtype=np.int64), np.arange(len(y)), np.array([len(y)])
+    while len(node):
+        starts = np.append(0, ends[:-1])
+        size, of = ends - starts, np.repeat(np.arange(len(node)), ends - starts)
+        counts = np.bincount(of * classes + y[rows], weights=w[rows], minlength=len(node) * classes).reshape(-1, classes)
+        present = (counts > 0).sum(axis=1)
+        gain, feature, last = np.full(len(node), -1.0), np.zeros(len(node), dtype=np.int64), np.zeros(len(node), dtype=np.int64)
+        open_ = (present > 1) & (node < 1 << depth) & (bins > 1)
+        may = lambda some: None if take >= width else np.array([_picked(tree, int(k), seed, width, take) for k in node[some]])  # noqa: B023, E731
+        two = np.flatnonzero(open_ & (present == 2))
+        if len(two):
+            its = rows[(open_ & (present == 2))[of]]
+            kind = np.repeat(np.arange(len(two)), size[two]) * classes + y[its]
+            begins = np.append(0, np.cumsum(np.bincount(kind, minlength=len(two) * classes)))[:-1].reshape(len(two), classes)
+            gain[two], feature[two], last[two] = _parted(x[its[np.argsort(kind, kind="stable")]], counts[two], begins[counts[two] > 0], may(two))
+            open_ &= gain < 0
+        for k in np.flatnonzero(open_ & (size > SMALL[-1])):
+            at, some = rows[starts[k] : ends[k]], np.flatnonzero(counts[k])
+            split = _best(_histogram(x[at], np.searchsorted(some, y[at]), w[at], bins, len(some)), _picked(tree, int(node[k]), seed, width, take))
+            if split is not None:
+                gain[k], feature[k], last[k] = split[:3]
+        place = np.searchsorted(SMALL, size) * 4 + np.searchsorted((2, 4, 8), present)
+        place = np.where(open_ & (size <= SMALL[-1]), place, -1)
+        rank = np.cumsum(counts > 0, axis=1) - 1  # the number of a class among those that a node has
+        for p in np.unique(place[place >= 0]):
+            every, most = np.flatnonzero(place == p), SMALL[p // 4]
+            step = max(1, (1 << 18) // (width * most * most))
+            for few in (every[i : i + step] for i in range(0, len(every), step)):
+                slot = starts[few, None] + np.arange(most)
+                filled = slot < ends[few, None]
+                at = rows[np.where(filled, slot, 0)]
+                bag = np.where(filled[:, :, None], x[at], np.uint8(255))
+                kind = np.where(filled, np.take_along_axis(rank[few], y[at], axis=1), 0)
+                gain[few], feature[few], last[few] = _best_of_small(bag, kind, np.where(filled, w[at], 0.0), int(present[few].max()), may(few))
+        inner = gain >= 0
+        yield _node_batch(tree, node, inner, feature, border[feature, last], gain, counts)
+        keep = inner[of]
+        right = (x[rows[keep], feature[of[keep]]] > last[of[keep]]).astype(np.int64)
+        child = 2 * (np.cumsum(inner) - 1)[of[keep]] + right
+        rows = rows[keep][np.argsort(child, kind="stable")]
+        ends = np.cumsum(np.bincount(child, minlength=2 * int(inner.sum())))
+        node = (2 * node[inner][:, None] + np.arange(2)).ravel()
+
+
+def _node_batch(tree: int, node: np.ndarray, inner: np.ndarray, feature: np.ndarray, threshold: np.ndarray, gain: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Nodes of a tree; feature, threshold and gain are null where not ``inner``."""
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, counts.size + 1, counts.shape[1]), pa.int32()), pa.array(counts.ravel()))
+    columns = [pa.array(np.full(len(node), tree), pa.int32()), pa.array(node, pa.int64()), pa.array(feature, pa.int32(), mask=~inner), pa.array(threshold, mask=~inner), pa.array(gain, mask=~inner), pa.array(counts.sum(axis=1)), lists]
+    return pa.RecordBatch.from_arrays(columns, ["tree", "node", "feature", "threshold", "gain", "n", "counts"])
 
 
 def _unpacked(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
@@ -193,14 +278,14 @@ def _top_levels(data: DataFrame, trees: int, n: int, edges: list[np.ndarray], cl
                                 sums[t, node] = sums[t, node] + h if (t, node) in sums else h
                 for (t, node), h in sums.items():
                     for first in range(0, width, part):
-                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((t, pa.int32()), (node, pa.int64()), (first, pa.int32()), (h[first : first + part].tobytes(), pa.binary()))], ["tree", "node", "first", "h"])
+                        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((t, pa.int32()), (node, pa.int64()), (first, pa.int32()), (h[:, :, first : first + part].tobytes(), pa.binary()))], ["tree", "node", "first", "h"])
 
             def chosen(table: pa.Table) -> pa.Table:
                 t, node, first = (table[c][0].as_py() for c in ("tree", "node", "first"))
-                h = sum(np.frombuffer(b.as_buffer(), dtype=np.float64) for b in table["h"]).reshape(-1, bins, classes)
+                h = sum(np.frombuffer(b.as_buffer(), dtype=np.float64) for b in table["h"]).reshape(classes, bins, -1)
                 allowed = _picked(t, node, seed, width, take)
                 split = _best(h, None if allowed is None else allowed[first : first + part]) or (0.0, 0, 0, np.zeros(classes))
-                return pa.table({"tree": pa.array([t], pa.int32()), "node": [node], "gain": [split[0]], "feature": pa.array([first + split[1]], pa.int32()), "bin": pa.array([split[2]], pa.int32()), "left": [split[3].tolist()], "counts": [h[0].sum(axis=0).tolist()]})
+                return pa.table({"tree": pa.array([t], pa.int32()), "node": [node], "gain": [split[0]], "feature": pa.array([first + split[1]], pa.int32()), "bin": pa.array([split[2]], pa.int32()), "left": [split[3].tolist()], "counts": [h[:, :, 0].sum(axis=1).tolist()]})
 
             partial = data.mapInArrow(added, "tree int, node bigint, first int, h binary")
             found = partial.groupBy("tree", "node", "first").applyInArrow(chosen, "tree int, node bigint, gain double, feature int, bin int, left array<double>, counts array<double>")
@@ -221,7 +306,7 @@ def _top_levels(data: DataFrame, trees: int, n: int, edges: list[np.ndarray], cl
 
 
 def fit_forest(
-    df: DataFrame, classes: Sequence[int], trees: int = 250, depth: int = 30, strategy: str = "all", seed: int = 1, key: Sequence[str] = (), bins: int = 32, node_rows: int = 1 << 15
+    df: DataFrame, classes: Sequence[int], trees: int = 250, depth: int = 30, strategy: str = "all", seed: int = 1, key: Sequence[str] = (), bins: int = 32, node_rows: int = 1 << 19
 ) -> Forest:
     """A forest on ``features`` and ``label`` (codes in ``classes``, given a fixed index; other labels do not train).
 
@@ -244,91 +329,147 @@ def fit_forest(
             binned = np.column_stack([np.searchsorted(e, x[:, i]) for i, e in enumerate(edges)]).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch["key"], batch["label"], pa.array([b.tobytes() for b in binned], pa.binary())], ["key", "label", "x"])
 
-    data = checkpointed(rows.mapInArrow(cut, "key bigint, label int, x binary"))
+    wide = max(rows.rdd.getNumPartitions(), min(math.ceil(n * trees / PAIRS), 3 * spark.sparkContext.defaultParallelism))
+    data = checkpointed(rows.repartition(wide).mapInArrow(cut, "key bigint, label int, x binary"))
     top, tops, closed = _top_levels(data, trees, n, edges, k, depth, take, seed, node_rows)
     shared = spark.sparkContext.broadcast((tops, closed))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, keys = _unpacked(batch), batch["key"].to_numpy()
+            x, y, keys = _unpacked(batch), batch["label"].to_numpy().astype(np.int32), batch["key"].to_numpy()
             for t in range(trees):
                 w = bag_weights(keys, t, seed)
                 own = np.flatnonzero(w)
                 node = _routed(x[own], shared.value[0][t])
                 open_ = ~np.isin(node, list(shared.value[1][t]))
                 own, node = own[open_], node[open_]
-                some = batch.take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t), pa.int32()), pa.array(node), some["label"], pa.array(w[own], pa.int32()), some["x"]], ["tree", "node", "label", "w", "x"])
+                own = own[np.argsort(node, kind="stable")]
+                reached, sizes = np.unique(node, return_counts=True)
+                parts = [own[e - n : e] for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
+                packed = [[a[at].tobytes() for at in parts] for a in (y, w.astype(np.uint8), x)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), t), pa.int32()), pa.array(reached, pa.int64()), *[pa.array(p, pa.binary()) for p in packed]], ["tree", "node", "label", "w", "x"])
 
     def finished(table: pa.Table) -> pa.Table:
         t, node = table["tree"][0].as_py(), table["node"][0].as_py()
-        x, y, w = _unpacked(table), table["label"].to_numpy(), table["w"].to_numpy()
-        return pa.Table.from_batches([_node_batch(_grow(x, y, w, t, node, edges, k, depth, take, seed))])
-
-    grown = data.mapInArrow(dealt, "tree int, node bigint, label int, w int, x binary").groupBy("tree", "node").applyInArrow(finished, NODES)
-    nodes = checkpointed(spark.createDataFrame(top, NODES).unionByName(grown) if top else grown)
-    return Forest(nodes, trees, k, seed, tuple(key))
-
-
-def _arrays(table: pa.Table, classes: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By tree: feature (-1: leaf), threshold, place of the left child, and class shares; the root is at place 0."""
-    table = table.sort_by([("tree", "ascending"), ("node", "ascending")])
-    tree, node = table["tree"].to_numpy(), table["node"].to_numpy()
-    feature, limit = (table[c].fill_null(-1).to_numpy() for c in ("feature", "threshold"))
-    counts = np.asarray(table["counts"].combine_chunks().flatten()).reshape(-1, classes)
-    out = []
-    for first, last in zip(*(lambda f: (f, np.append(f[1:], len(tree))))(np.flatnonzero(np.diff(tree, prepend=-1))), strict=True):
-        own = slice(first, last)
-        out.append((int(tree[first]), feature[own], limit[own], np.searchsorted(node[own], 2 * node[own]), (counts[own] / counts[own].sum(axis=1, keepdims=True)).astype(np.float32)))
-    return out
+        y, w, x = (np.frombuffer(b"".join(table[c].to_pylist()), dtype=kind) for c, kind in (("label", np.int32), ("w", np.uint8), ("x", np.uint8)))
+        return pa.Table.from_batches(_grow(x.reshape(len(y), width), y, w, t, node, edges, k, depth, take, seed))
+
+    # a tree is much work from few bytes, by which Spark would deal it out
+    tasks = max(min(trees, math.ceil(n * trees * 64 / PAIRS)), math.ceil(n * trees / 2 / PAIRS))
+    parts = data.mapInArrow(dealt, "tree int, node bigint, label binary, w binary, x binary").repartition(tasks, "tree", "node")
+    grown = parts.groupBy("tree", "node").applyInArrow(finished, NODES)
+    path = shared_folder(spark)
+    (spark.createDataFrame(top, NODES).unionByName(grown) if top else grown).write.parquet(path)
+    return Forest(spark.read.parquet(path), trees, k, seed, tuple(key))
+
 
+PACKED = "tree int, part int, feature binary, bin binary, next binary, shares binary"
 
-def _leaf(x: np.ndarray, feature: np.ndarray, limit: np.ndarray, left: np.ndarray) -> np.ndarray:
+
+def _packed(table: pa.Table, borders: dict[int, np.ndarray], part_of: dict[int, int]) -> pa.Table:
+    """A tree in one row, its root first: by node the feature (-1: leaf), the number of its threshold among the
+    feature's, the place of the left child or of the leaf's class shares, and all the different class shares."""
+    table = table.sort_by("node")
+    tree, node, feature = table["tree"][0].as_py(), table["node"].to_numpy(), table["feature"].fill_null(-1).to_numpy()
+    limit, bin_ = table["threshold"].fill_null(0.0).to_numpy(), np.zeros(len(node), dtype=np.int64)
+    for f in np.unique(feature[feature >= 0]):
+        at = np.flatnonzero(feature == f)
+        bin_[at] = np.searchsorted(borders[int(f)], limit[at])
+    counts = np.asarray(table["counts"].combine_chunks().flatten()).reshape(len(node), -1)[feature < 0]
+    shares, which = np.unique((counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), axis=0, return_inverse=True)
+    following = np.searchsorted(node, 2 * node)
+    following[feature < 0] = which.ravel()
+    packed = [a.astype(kind).tobytes() for a, kind in ((feature, np.int32), (bin_, _code(borders)), (following, np.int32), (shares, np.float32))]
+    columns = [pa.array([v], pa.int32()) for v in (tree, part_of[tree])] + [pa.array([b], pa.binary()) for b in packed]
+    return pa.table(dict(zip(["tree", "part", "feature", "bin", "next", "shares"], columns, strict=True)))
+
+
+def _code(borders: dict[int, np.ndarray]) -> np.dtype:
+    return np.min_scalar_type(max(map(len, borders.values()), default=0))
+
+
+def _leaf(x: np.ndarray, feature: np.ndarray, last: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """The place of the class shares that each row reaches."""
     at = np.zeros(len(x), dtype=np.int64)
     moving = np.flatnonzero(feature[at] >= 0)
     while len(moving):
         here = at[moving]
-        at[moving] = left[here] + ~(x[moving, feature[here]] <= limit[here])  # of siblings the right one follows the left
+        at[moving] = following[here] + (x[moving, feature[here]] > last[here])  # of siblings the right one follows the left
         moving = moving[feature[at[moving]] >= 0]
-    return at
+    return following[at]
 
 
 def vote(model: Forest, df: DataFrame, keep: Sequence[str], out_of_bag: bool = False) -> DataFrame:
     """The columns ``keep`` with votes (summed class shares of the trees' leaves) and prediction (index; null without votes).
 
     ``out_of_bag``: only trees count that a row was not in, by its key; df then needs what the fit had, label included.
-    Trees are sent to the executors in parts of bounded size, and votes are added up part by part without an exchange.
+    Chunks of rows, their features as numbers of the model's thresholds, meet parts of the trees in an exchange; both
+    are of bounded size, and neither passes the driver, which only gets the thresholds and the sizes of the trees.
     """
-    nodes = model.nodes
-    sizes = {r["tree"]: r["count"] for r in nodes.groupBy("tree").count().collect()}
-    parts, held = [[]], 0
-    for t in sorted(sizes):
-        size = sizes[t] * (20 + 4 * model.classes)
-        if held + size > SENT and parts[-1]:
-            parts, held = [*parts, []], 0
-        parts[-1].append(t)
-        held += size
-    model_seed = model.seed
-    zero = F.array(*[F.lit(0.0)] * model.classes)
+    nodes, seed, classes = model.nodes, model.seed, model.classes
+    found: dict[int, list[float]] = {}
+    for r in nodes.filter("feature is not null").select("feature", "threshold").distinct().collect():
+        found.setdefault(r["feature"], []).append(r["threshold"])
+    borders = {f: np.sort(np.array(v)) for f, v in found.items()}
+    code = _code(borders)
     bag = _row_key(df, model.key) if out_of_bag else F.lit(0).cast("bigint")
-    rows = df.select(F.struct(*keep).alias("row"), bag.alias("key"), _values(df).alias("values"), zero.alias("votes"))
-    row = rows.schema["row"]
-    for part in parts:
-        shared = df.sparkSession.sparkContext.broadcast(_arrays(nodes.filter(F.col("tree").between(part[0], part[-1])).toArrow(), model.classes) if part else [])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = np.array(batch["values"].to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-                votes = np.array(batch["votes"].to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
-                keys = batch["key"].to_numpy()
-                for t, feature, limit, left, shares in shared.value:
-                    add = shares[_leaf(x, feature, limit, left)]
-                    votes += add * (bag_weights(keys, t, model_seed) == 0)[:, None] if out_of_bag else add
-                yield pa.RecordBatch.from_arrays([batch["row"], batch["key"], batch["values"], pa.array(votes.tolist(), pa.list_(pa.float64()))], ["row", "key", "values", "votes"])
-
-        rows = rows.mapInArrow(run, rows.schema)
+    rows = df.select(F.struct(*keep).alias("row"), bag.alias("key"), _values(df).alias("values"))
+    row = rows.schema["row"].dataType
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for batch in (whole.slice(i, SLICE) for i in range(0, whole.num_rows, SLICE)):
+                values = np.array(batch["values"].to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+                x = np.zeros(values.shape, dtype=code)
+                for f, b in borders.items():
+                    x[:, f] = np.searchsorted(b, values[:, f])
+                held = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), pa.concat_arrays([batch["row"]]))
+                columns = [pa.array([number]), pa.array([batch.num_rows]), held, pa.array([batch["key"].to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "n", "rows", "key", "x"])
+                number += 1
+
+    slices = checkpointed(rows.mapInArrow(sliced, StructType().add("slice", "long").add("n", "long").add("rows", ArrayType(row)).add("key", "binary").add("x", "binary")))
+    n = slices.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    chunks = max(1, math.ceil(n / VOTERS))
+    # trees of a part: what fits a task, and work for one
+    sizes, part_of, part, held, trees = {r["tree"]: r["count"] for r in nodes.groupBy("tree").count().collect()}, {}, 0, 0, 0
+    for t in sorted(sizes):
+        size = sizes[t] * (8 + code.itemsize)
+        if trees and (held + size > SENT or (trees + 1) * n > PAIRS * chunks):
+            part, held, trees = part + 1, 0, 0
+        part_of[t], held, trees = part, held + size, trees + 1
+    packed = checkpointed(nodes.groupBy("tree").applyInArrow(lambda table: _packed(table, borders, part_of), PACKED))
+
+    def voted(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        out, shape = [], lambda i: (rows["n"][i].as_py(), -1)
+        if rows.num_rows:
+            x = np.concatenate([np.frombuffer(b.as_buffer(), dtype=code).reshape(shape(i)) for i, b in enumerate(rows["x"])])
+            keys = np.concatenate([np.frombuffer(b.as_buffer(), dtype=np.int64) for b in rows["key"]])
+            votes = np.zeros((len(x), classes))
+            for tree in trees.to_batches(max_chunksize=1):
+                feature, last, following, shares = (np.frombuffer(tree[c][0].as_buffer(), dtype=kind) for c, kind in (("feature", np.int32), ("bin", code), ("next", np.int32), ("shares", np.float32)))
+                add = shares.reshape(-1, classes)[_leaf(x, feature, last, following)]
+                votes += add * (bag_weights(keys, tree["tree"][0].as_py(), seed) == 0)[:, None] if out_of_bag else add
+            out = [v.tobytes() for v in np.split(votes, np.cumsum(rows["n"].to_numpy())[:-1])]
+        return pa.table({"slice": rows["slice"], "votes": pa.array(out, pa.binary())})
+
+    def added(rows: pa.Table, votes: pa.Table) -> pa.Table:
+        total = np.zeros((rows["n"][0].as_py(), classes))
+        for v in votes["votes"]:
+            total += np.frombuffer(v.as_buffer(), dtype=np.float64).reshape(total.shape)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, classes), pa.int32()), pa.array(total.ravel()))
+        return pa.table({"row": pa.concat_arrays([c.flatten() for c in rows["rows"].chunks]), "votes": lists})
+
+    met = slices.select(F.pmod(F.xxhash64("slice"), F.lit(chunks)).cast("int").alias("chunk"), "slice", "n", "key", "x", F.explode(F.sequence(F.lit(0), F.lit(part))).alias("part"))
+    sent = packed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    each = met.groupBy("part", "chunk").cogroup(sent.groupBy("part", "chunk")).applyInArrow(voted, "slice bigint, votes binary")
+    kind = StructType().add("row", row).add("votes", ArrayType(DoubleType()))
+    rows = slices.select("slice", "n", "rows").groupBy("slice").cogroup(each.groupBy("slice")).applyInArrow(added, kind)
     found = F.array_position("votes", F.array_max("votes")).cast("int") - 1
-    own = [F.col("row").getField(f.name).alias(f.name) for f in row.dataType.fields]
+    own = [F.col("row").getField(f.name).alias(f.name) for f in row.fields]
     return rows.select(*own, "votes", F.when(F.array_max("votes") > 0, found).alias("prediction"))
 
 

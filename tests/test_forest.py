@@ -128,3 +128,49 @@ def test_forest_without_rows_and_of_one_class(cube):
     model = forest.fit_forest(cube.filter("label = 104"), CLASSES, trees=2, node_rows=10)
     assert [r[1:4] for r in nodes_of(model)] == [(1, None, None)] * 2
     assert {r["value"] for r in forest.predict_map(model, cube, CLASSES, ["id"]).collect()} == {0, 104}
+
+
+def plain_votes(nodes, features, trees):
+    """Summed class shares of the leaves that a row reaches."""
+    votes = np.zeros(len(CLASSES))
+    for t in trees:
+        node = 1
+        while nodes[t, node][2] is not None:
+            node = 2 * node + int(not features[nodes[t, node][2]] <= nodes[t, node][3])
+        votes += np.float32(np.array(nodes[t, node][6]) / sum(nodes[t, node][6]))
+    return votes
+
+
+@pytest.fixture
+def no_nodes_at_the_driver(monkeypatch):
+    """No more than some numbers a tree may come to the driver, and no model may be sent from it; parts are small."""
+    from pyspark import SparkContext
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*_):
+        raise AssertionError("the driver takes or sends a model")
+
+    fewer = lambda self, collect=DataFrame.collect: rows if len(rows := collect(self)) <= 6 * 31 else refused()
+
+    def begin():
+        for kind, name, f in ((DataFrame, "toArrow", refused), (DataFrame, "toPandas", refused), (SparkContext, "broadcast", refused), (DataFrame, "collect", fewer)):
+            monkeypatch.setattr(kind, name, f)
+        for name, n in (("SENT", 3000), ("VOTERS", 150), ("SLICE", 40)):
+            monkeypatch.setattr(forest, name, n, raising=False)
+
+    yield begin
+
+
+def test_votes_of_parts_and_chunks_are_those_of_all_trees(cube, no_nodes_at_the_driver, monkeypatch):
+    model = forest.fit_forest(cube, CLASSES, trees=7, key=["id"])
+    nodes = {r[:2]: r for r in nodes_of(model)}
+    data = {r["id"]: r["features"] for r in cube.collect()}
+    no_nodes_at_the_driver()
+    voted = forest.vote(model, cube, ["id", "label"])
+    monkeypatch.undo()
+    got = voted.collect()
+    assert voted.columns == ["id", "label", "votes", "prediction"] and sorted(r["id"] for r in got) == sorted(data)
+    for r in got:
+        want = plain_votes(nodes, data[r["id"]], range(7))
+        assert r["votes"] == want.tolist() and r["prediction"] == want.argmax()
+    assert forest.vote(model, cube.filter("false"), ["id"]).count() == 0
