@@ -174,3 +174,15 @@ def test_votes_of_parts_and_chunks_are_those_of_all_trees(cube, no_nodes_at_the_
         want = plain_votes(nodes, data[r["id"]], range(7))
         assert r["votes"] == want.tolist() and r["prediction"] == want.argmax()
     assert forest.vote(model, cube.filter("false"), ["id"]).count() == 0
+
+
+def test_saved_models_vote_without_the_driver(cube, no_nodes_at_the_driver, monkeypatch, tmp_path):
+    model = forest.fit_forest(cube, CLASSES, trees=5, key=["id"])
+    forest.save_model(model, f"file://{tmp_path}/m")
+    again = forest.load_model(f"file://{tmp_path}/m")
+    no_nodes_at_the_driver()
+    mapped = forest.predict_map(again, cube, CLASSES, ["id"])
+    monkeypatch.undo()
+    nodes, data = {r[:2]: r for r in nodes_of(model)}, {r["id"]: r for r in cube.collect()}
+    for i, value in mapped.collect():
+        assert value == (CLASSES[plain_votes(nodes, data[i]["features"], range(5)).argmax()] if data[i]["roi"] == 1 else 0)
