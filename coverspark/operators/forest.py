@@ -35,6 +35,8 @@ HISTOGRAMS, SENT = 1 << 28, 1 << 26
 PAIRS, VOTERS, SLICE = 1 << 21, 1 << 17, 1 << 12
 #: Nodes of at most the last of so many rows are split many at a time, filled up to the next of these sizes.
 SMALL = (2, 3, 4, 6, 8, 12, 16, 24, 32)
+#: Nodes of more rows than those and at most so many have their histograms made and searched several at a time.
+MIDDLE = 256
 
 
 @dataclass
@@ -96,7 +98,7 @@ def _best(h: np.ndarray, allowed: np.ndarray | None = None) -> tuple[float, int,
     counts = h[:, :, 0].sum(axis=1)
     n, left = counts.sum(), np.array(h[:, :-1])
     for b in range(1, left.shape[1]):
-        left[:, b] += left[:, b - 1]
+        np.add(left[:, b], left[:, b - 1], out=left[:, b])
     nl, shared = left.sum(axis=0), (counts @ left.reshape(len(left), -1)).reshape(left.shape[1:])  # whole numbers: exact in any order
     squares, whole = (left * left).sum(axis=0), counts @ counts
     ok = (nl > 0) & (nl < n)
@@ -116,6 +118,24 @@ def _picked(tree: int, node: int, seed: int, width: int, take: int) -> np.ndarra
     return out
 
 
+def _best_of_each(h: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gain, feature and last bin to the left for each of several histograms; the gain is -1 where no split gains."""
+    counts, left = h[:, :, :, 0].sum(axis=2), np.array(h[:, :, :-1])
+    for b in range(1, left.shape[2]):
+        np.add(left[:, :, b], left[:, :, b - 1], out=left[:, :, b])
+    nl, shared = left.sum(axis=1), (counts[:, None] @ left.reshape(*counts.shape, -1)).reshape(len(h), *left.shape[2:])
+    squares = np.square(left, out=left).sum(axis=1)
+    n, whole = (a.sum(axis=1)[:, None, None] for a in (counts, counts * counts))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = squares / nl + (whole - 2 * shared + squares) / (n - nl)
+    gain = np.where((nl > 0) & (nl < n), score / n - whole / n**2, -1.0)
+    most, each = gain.max(axis=1), np.arange(len(h))
+    most = most if allowed is None else np.where(allowed, most, -1.0)
+    feature = most.argmax(axis=1)
+    best = most[each, feature]
+    return np.where(best > 1e-12, best, -1.0), feature, (gain[each, :, feature] == best[:, None]).argmax(axis=1)
+
+
 def _best_of_small(x: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gain, feature and last bin to the left of many nodes of few rows each; the gain is -1 where no split gains.
 
@@ -182,7 +202,7 @@ def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: int, edg
             begins = np.append(0, np.cumsum(np.bincount(kind, minlength=len(two) * classes)))[:-1].reshape(len(two), classes)
             gain[two], feature[two], last[two] = _parted(x[its[np.argsort(kind, kind="stable")]], counts[two], begins[counts[two] > 0], may(two))
             open_ &= gain < 0
-        for k in np.flatnonzero(open_ & (size > SMALL[-1])):
+        for k in np.flatnonzero(open_ & (size > MIDDLE)):
             at, some = rows[starts[k] : ends[k]], np.flatnonzero(counts[k])
             split = _best(_histogram(x[at], np.searchsorted(some, y[at]), w[at], bins, len(some)), _picked(tree, int(node[k]), seed, width, take))
             if split is not None:
@@ -190,6 +210,14 @@ def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: int, edg
         place = np.searchsorted(SMALL, size) * 4 + np.searchsorted((2, 4, 8), present)
         place = np.where(open_ & (size <= SMALL[-1]), place, -1)
         rank = np.cumsum(counts > 0, axis=1) - 1  # the number of a class among those that a node has
+        every = np.flatnonzero(open_ & (size > SMALL[-1]) & (size <= MIDDLE))
+        every = every[np.argsort(present[every], kind="stable")]
+        step = max(1, (1 << 17) // (classes * bins * width))
+        for few in (every[i : i + step] for i in range(0, len(every), step)):
+            at, own, most = np.concatenate([rows[starts[k] : ends[k]] for k in few]), np.repeat(np.arange(len(few)), size[few]), int(present[few].max())
+            cell = (((own * most + rank[few[own], y[at]]) * bins)[:, None] + x[at]) * width + np.arange(width)
+            h = np.bincount(cell.ravel(), weights=np.repeat(w[at], width), minlength=len(few) * most * bins * width).reshape(len(few), most, bins, width)
+            gain[few], feature[few], last[few] = _best_of_each(h, may(few))
         for p in np.unique(place[place >= 0]):
             every, most = np.flatnonzero(place == p), SMALL[p // 4]
             step = max(1, (1 << 18) // (width * most * most))

@@ -186,3 +186,36 @@ def test_saved_models_vote_without_the_driver(cube, no_nodes_at_the_driver, monk
     nodes, data = {r[:2]: r for r in nodes_of(model)}, {r["id"]: r for r in cube.collect()}
     for i, value in mapped.collect():
         assert value == (CLASSES[plain_votes(nodes, data[i]["features"], range(5)).argmax()] if data[i]["roi"] == 1 else 0)
+
+
+@pytest.mark.parametrize("take", [9, 3])
+def test_nodes_split_together_are_those_split_one_by_one(take):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 12, (1500, 9)).astype(np.uint8)
+    y, w = (x[:, 0] + x[:, 1] + rng.integers(0, 4, 1500)) % 5, rng.integers(1, 5, 1500)
+    edges = [np.arange(11) + 0.5] * 9
+    batches = list(forest._grow(x, y, w, 2, 1, edges, 5, 12, take, 1))
+    got = {r["node"]: r for b in batches for r in b.to_pylist()}
+    todo, sizes = [(1, np.arange(1500))], []
+    while todo:
+        node, at = todo.pop()
+        r = got.pop(node)
+        assert r["counts"] == np.bincount(y[at], weights=w[at], minlength=5).tolist() and r["n"] == sum(r["counts"])
+        split = forest._best(forest._histogram(x[at], y[at], w[at], 12, 5), forest._picked(2, node, 1, 9, take)) if node < 1 << 12 else None
+        assert (r["gain"], r["feature"], r["threshold"]) == ((split[0], split[1], edges[0][split[2]]) if split else (None,) * 3)
+        if split:
+            sizes.append(len(at))
+            low = x[at, split[1]] <= split[2]
+            todo += [(2 * node, at[low]), (2 * node + 1, at[~low])]
+    assert not got and min(sizes) == 2 and max(sizes) > forest.MIDDLE
+    assert len([s for s in sizes if s <= forest.SMALL[-1]]) > 100 and len([s for s in sizes if forest.SMALL[-1] < s <= forest.MIDDLE]) > 5
+
+
+def test_growth_is_dealt_out_by_its_work(cube, monkeypatch):
+    """Few bytes are much work: rows that come in one partition are dealt to more."""
+    seen = []
+    real = forest.checkpointed
+    monkeypatch.setattr(forest, "checkpointed", lambda df: seen.append((df.columns, df.rdd.getNumPartitions())) or real(df))
+    monkeypatch.setattr(forest, "PAIRS", 1000, raising=False)
+    forest.fit_forest(cube.coalesce(1), CLASSES, trees=8, depth=4)
+    assert [n for columns, n in seen if "x" in columns][0] >= 3
