@@ -219,3 +219,11 @@ def test_growth_is_dealt_out_by_its_work(cube, monkeypatch):
     monkeypatch.setattr(forest, "PAIRS", 1000, raising=False)
     forest.fit_forest(cube.coalesce(1), CLASSES, trees=8, depth=4)
     assert [n for columns, n in seen if "x" in columns][0] >= 3
+
+
+def test_accuracies_take_no_model_to_the_driver(cube, no_nodes_at_the_driver, monkeypatch):
+    model = forest.fit_forest(cube, CLASSES, trees=4, key=["id"])
+    monkeypatch.setattr(forest, "fit_forest", lambda *_, **__: model)
+    no_nodes_at_the_driver()
+    assert forest.out_of_bag_accuracy(model, cube, CLASSES) > 0.6
+    assert forest.holdout_accuracy(cube, CLASSES, "id") > 0.8
